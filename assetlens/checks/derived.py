@@ -47,9 +47,36 @@ HEADER_STYLES: list[list[str]] = [
 WORKBOOK_HEADERS = ["Asset Tag", "Model", "User", "Warranty Expiry"]
 
 
+# Columns used, with their types: with a given schema no footer is read before the query runs.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores, if its files are cut into fewer pieces than there are cores.
+
+    A small table comes as one file with one row group, which a single task would read and
+    work on. A large one has more pieces than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _text(column: str) -> Column:
@@ -58,7 +85,7 @@ def _text(column: str) -> Column:
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -173,7 +200,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Data cells say which order and column they come from; some are blank or marked missing.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     style = F.col("k") % len(HEADER_STYLES)
     headers = F.array(*[F.array(*[F.lit(h) for h in hs]) for hs in HEADER_STYLES])
     placed = orders.withColumn("k", _extract(F.col("o_orderkey"))).withColumn(
@@ -250,5 +277,5 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_mktsegment", "c_nationkey"
     )
-    files = rows.mapInPandas(_pack, "path string, content binary")
+    files = spread(rows, "c_custkey").mapInPandas(_pack, "path string, content binary")
     return files.withColumn("length", F.length("content").cast("bigint"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?\s*$"
 MICROS_PER_DAY = 86_400_000_000
+# More days than lie between any two dates of the years 1 to 9999.
+DAY_SHIFT = 4_000_000
 
 
 def moment(as_of: datetime | str | None = None) -> Column:
@@ -29,7 +31,7 @@ def lenient_date(value: Column, formats: Sequence[str] = ()) -> Column:
     the session zone cannot move a value.
     """
     text = value.cast("string")
-    parsed = [F.when(text.rlike(ISO_DATE), F.trim(text).try_cast("timestamp_ntz"))]
+    parsed = [F.regexp_extract(text, ISO_DATE, 0).try_cast("timestamp_ntz")]
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     for pattern in formats:
         instant = F.try_to_timestamp(
@@ -44,8 +46,10 @@ def lenient_date(value: Column, formats: Sequence[str] = ()) -> Column:
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Days from `start` to `end` as BIGINT, rounded down also below zero."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    per_day = F.lit(MICROS_PER_DAY)
-    # The remainder is taken off first: the quotient is then whole, and exact as a double.
-    return F.round((micros - F.pmod(micros, per_day)) / per_day).cast("bigint")
+    """Days from `start` to `end` as BIGINT, rounded down also below zero.
+
+    Integer division cuts towards zero; so the difference is made positive first.
+    """
+    shift = F.lit(DAY_SHIFT * MICROS_PER_DAY)
+    shifted = F.timestamp_diff("MICROSECOND", start, end) + shift
+    return F.call_function("div", shifted, F.lit(MICROS_PER_DAY)) - F.lit(DAY_SHIFT)

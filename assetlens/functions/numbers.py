@@ -11,7 +11,8 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def lenient_number(value: Column) -> Column:
     """DOUBLE, or NULL where the text is not a plain decimal number.
 
-    Spark's own cast also takes '2020d', 'inf' and 'NaN', hence the pattern.
+    Spark's own cast also takes '2020d', 'inf' and 'NaN', hence the pattern. The value occurs
+    once, as in the other expressions here: a filter on a derived column repeats its whole
+    expression, and repeats of repeats outgrow what the JVM compiles.
     """
-    text = value.cast("string")
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(value.cast("string"), NUMBER, 0).try_cast("double")

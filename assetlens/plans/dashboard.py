@@ -17,6 +17,7 @@ from assetlens.operators.filters import (
     warranty_drilldown,
     warranty_expired,
 )
+from assetlens.operators.roles import WORKSTATION
 from assetlens.plans.register import Register
 from assetlens.sinks.exports import write_exports
 
@@ -72,12 +73,12 @@ def dashboard(
     if persist:
         whole = whole.with_rows(whole.df.persist())
     shown, replacement = apply_filters(whole, spec)
-    has_warranty = "warranty_status" in whole.df.columns
+    has_status = whole.kind == WORKSTATION and "warranty_status" in whole.df.columns
     return Dashboard(
         everything=whole,
         shown=shown,
         replacement=replacement,
-        expired_warranty=warranty_expired(whole) if has_warranty else None,
+        expired_warranty=warranty_expired(whole) if whole.has("warranty_expiry") else None,
         filter_domains=filter_domains(whole),
         quality_report=quality.quality_report(whole),
         quality_details={
@@ -88,8 +89,8 @@ def dashboard(
         },
         kpis=metrics.summary_kpis(whole, spec),
         type_counts=metrics.type_counts(shown),
-        warranty_counts=metrics.warranty_counts(shown),
-        warranty_drilldown=warranty_drilldown(shown) if has_warranty else None,
+        warranty_counts=metrics.warranty_counts(shown) if has_status else None,
+        warranty_drilldown=warranty_drilldown(shown) if has_status else None,
         age_counts=metrics.age_counts(shown),
         age_summary=metrics.age_summary(shown),
         model_counts=metrics.model_counts(shown),
