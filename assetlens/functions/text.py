@@ -47,10 +47,10 @@ def without_markers(value: Column) -> Column:
 
 
 def matches_ignoring_case(value: Column, pattern: str) -> Column:
-    """Whether `pattern` is found anywhere; NULL never matches."""
+    """Whether a regular expression is found anywhere; NULL never matches."""
     return F.coalesce(value.rlike("(?iu)" + pattern), F.lit(False))
 
 
-def quoted_pattern(text: str) -> str:
-    """A regular expression that finds exactly `text`."""
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def contains_ignoring_case(value: Column, text: str) -> Column:
+    """Whether `text` itself is found anywhere, by lower-case forms; NULL never matches."""
+    return F.coalesce(F.lower(value).contains(text.lower()), F.lit(False))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.errors import SearchPatternError
-from assetlens.functions.text import matches_ignoring_case, quoted_pattern
+from assetlens.functions.text import contains_ignoring_case, matches_ignoring_case
 from assetlens.operators.roles import MOBILE, WORKSTATION
 from assetlens.plans.register import Register
 
@@ -84,11 +84,9 @@ def found_in(columns: Sequence[Column], text: str, regex: bool = True) -> Column
             re.compile(text)
         except re.error as error:
             raise SearchPatternError(f"{text!r}: {error}") from error
-    pattern = text if regex else quoted_pattern(text)
+    found = matches_ignoring_case if regex else contains_ignoring_case
     # A chain of tests, not an array of values: it stays in generated code and stops at a hit.
-    return reduce(
-        operator.or_, [matches_ignoring_case(c.cast("string"), pattern) for c in columns]
-    )
+    return reduce(operator.or_, [found(c.cast("string"), text) for c in columns])
 
 
 def found_anywhere(register: Register, spec: FilterSpec) -> Column:

@@ -1,0 +1,156 @@
+"""Sample registers as of a fixed moment."""
+
+import pytest
+
+from assetlens import FilterSpec, Register, dashboard
+from assetlens.operators import filters, metrics, quality
+from assetlens.operators.derive import derived
+from templates import (
+    AS_OF,
+    MOBILE_HEADERS,
+    MOBILE_ROWS,
+    WORKSTATION_HEADERS,
+    WORKSTATION_ROWS,
+    table,
+)
+
+
+@pytest.fixture(scope="module")
+def workstations(spark):
+    return derived(Register.of(table(spark, WORKSTATION_HEADERS, WORKSTATION_ROWS)), AS_OF)
+
+
+@pytest.fixture(scope="module")
+def mobiles(spark):
+    return derived(Register.of(table(spark, MOBILE_HEADERS, MOBILE_ROWS)), AS_OF)
+
+
+def pairs(df):
+    return {r[0]: r[1] for r in df.collect()}
+
+
+def test_kinds(workstations, mobiles):
+    assert (workstations.kind, mobiles.kind) == ("Workstation", "Mobile")
+
+
+def test_warranty_and_age(workstations):
+    rows = workstations.df.select(
+        "asset_tag", "days_to_expiry", "warranty_status", "asset_age"
+    ).collect()
+    assert [tuple(r) for r in sorted(rows)] == [
+        ("WS001", 198, "Active", 3),
+        ("WS002", -198, "Expired", 4),
+        ("WS003", 379, "Active", 2),
+        ("WS004", -594, "Expired", 5),
+        ("WS005", 60, "Expiring Soon", 3),
+    ]
+
+
+def test_counts(workstations, mobiles):
+    assert pairs(metrics.warranty_counts(workstations)) == {
+        "Expired": 2, "Expiring Soon": 1, "Active": 2, "Unknown": 0,
+    }
+    assert metrics.warranty_counts(mobiles) is None
+    for register, mean in ((workstations, 3.4), (mobiles, 3.2)):
+        assert list(pairs(metrics.age_counts(register)).values()) == [0, 3, 2, 0]
+        assert metrics.age_summary(register).first()["mean_age"] == pytest.approx(mean)
+    assert pairs(metrics.type_counts(workstations)) == {"Laptop": 4, "Desktop": 1}
+    assert pairs(metrics.type_counts(mobiles)) == {"Phone": 3, "Tablet": 2}
+
+
+def test_region_totals(workstations, mobiles):
+    def totals(register):
+        cube = metrics.region_model_cube(register).collect()
+        assert [r["n"] for r in cube if r["level"] == 3] == [5]
+        return {r["region"]: r["n"] for r in cube if r["level"] == 1}
+
+    assert totals(workstations) == {"Malaysia": 4, "Singapore": 1}
+    assert totals(mobiles) == {"Headquarters": 3, "Branch": 1, "Field": 1}
+
+
+def test_wide_form_repeats_the_long_form(workstations):
+    models = metrics.pivot_models(workstations)
+    wide = metrics.region_model_pivot(workstations, models).collect()
+    assert [r["region"] for r in wide] == ["Malaysia", "Singapore", None]
+    assert [r["total"] for r in wide] == [4, 1, 5]
+    cells = {
+        (r["region"], r["model"]): r["n"]
+        for r in metrics.region_model_cube(workstations).collect()
+        if r["level"] == 0
+    }
+    for row in wide[:-1]:
+        for model in models:
+            assert row[model] == cells.get((row["region"], model), 0)
+
+
+def test_no_issues(workstations, mobiles):
+    assert quality.quality_report(workstations).count() == 0
+    assert quality.quality_report(mobiles).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("expiry", "days", "status"),
+    [
+        ("2025-06-14", -2, "Expired"),
+        ("2025-06-15", -1, "Expired"),
+        ("2025-06-15 10:30:00", 0, "Expiring Soon"),
+        ("2025-06-16", 0, "Expiring Soon"),
+        ("2025-09-14", 90, "Expiring Soon"),
+        ("2025-09-15", 91, "Active"),
+        ("9999-12-31", 2912720, "Active"),
+        ("0001-01-01", None, None),
+        (None, None, "Unknown"),
+        ("unknown", None, "Unknown"),
+        ("2025-02-30", None, "Unknown"),
+        ("45000", None, "Unknown"),
+        ("", None, "Unknown"),
+    ],
+)
+def test_status_limits(spark, expiry, days, status):
+    from datetime import date, timedelta
+
+    register = Register.of(table(spark, ["Model", "Warranty Expiry"], [("m", expiry)]))
+    row = derived(register, AS_OF).df.first()
+    if status is None or expiry == "9999-12-31":  # far dates: whole days, rounded down
+        days = (date.fromisoformat(expiry) - date(2025, 6, 15)) // timedelta(days=1) - 1
+        status = "Expired" if days < 0 else "Active"
+    assert (row["days_to_expiry"], row["warranty_status"]) == (days, status)
+
+
+def test_email_shapes(spark):
+    emails = [
+        "a@b.com", "a@b.com junk", None, "bad", "", "x a@b.com", "a@b.c", "q\na@b.com",
+    ]
+    register = Register.of(
+        table(spark, ["Model", "User", "Email"], [("m", "u", e) for e in emails])
+    )
+    invalid = {r["user_email"] for r in quality.invalid_email_rows(register).collect()}
+    assert invalid == set(emails[3:])
+
+
+def test_dashboard(spark, tmp_path):
+    register = Register.of(table(spark, WORKSTATION_HEADERS, WORKSTATION_ROWS))
+    spec = FilterSpec(
+        selections={"place": ["Malaysia"]}, replacement_models=["Laptop A"], search="laptop"
+    )
+    board = dashboard(register, spec, AS_OF, persist=True)
+    assert tuple(board.kpis.first()) == (3, 2, 1, pytest.approx(100 / 3))
+    assert board.shown.df.count() == 3
+    assert board.replacement.df.count() == 1
+    assert board.expired_warranty.df.count() == 2
+    assert {r["department"] for r in board.top_departments.collect()} == {
+        "IT", "Finance", "Marketing",
+    }
+    assert "year_of_purchase" not in board.details.columns
+    assert board.quality_details["user"].count() == 0
+    row = metrics.counters(board.everything, spec).first()
+    assert row["total_assets"] == 3 and row["warranty_expired"] == 1
+    assert filters.filter_domains(register).where("role = 'place'").count() == 2
+    board.everything.df.unpersist()
+
+
+def test_dashboard_of_mobiles_has_no_warranty(spark):
+    board = dashboard(Register.of(table(spark, MOBILE_HEADERS, MOBILE_ROWS)), as_of=AS_OF)
+    assert board.warranty_counts is None and board.expired_warranty is None
+    assert board.replacement is None
+    assert tuple(board.kpis.first()) == (5, 5, 0, 0.0)
