@@ -47,10 +47,10 @@ def without_markers(value: Column) -> Column:
 
 
 def matches_ignoring_case(value: Column, pattern: str) -> Column:
-    """Whether a regular expression is found anywhere; NULL never matches."""
-    return F.coalesce(value.rlike("(?iu)" + pattern), F.lit(False))
+    """Whether a regular expression is found anywhere; NULL for NULL."""
+    return value.rlike("(?iu)" + pattern)
 
 
 def contains_ignoring_case(value: Column, text: str) -> Column:
-    """Whether `text` itself is found anywhere, by lower-case forms; NULL never matches."""
-    return F.coalesce(F.lower(value).contains(text.lower()), F.lit(False))
+    """Whether `text` itself is found anywhere, by lower-case forms; NULL for NULL."""
+    return F.lower(value).contains(text.lower())

@@ -43,23 +43,26 @@ class FilterSpec:
 
 
 def one_of(column: Column, values: Sequence[str | None]) -> Column:
-    """Membership that is never NULL; a None among the values selects missing ones."""
+    """Membership; a None among the values selects missing ones.
+
+    For a missing value this is NULL where it is not selected, which filters and counts take as
+    no. Only in this plain form do scans understand the test.
+    """
     present = [v for v in values if v is not None]
-    member = F.coalesce(column.isin(present), F.lit(False)) if present else F.lit(False)
-    return member | column.isNull() if None in values else member
+    if None not in values:
+        return column.isin(present)
+    return column.isin(present) | column.isNull() if present else column.isNull()
 
 
 def effective_selections(
     register: Register, selections: Mapping[str, Sequence[str | None]]
 ) -> dict[str, Sequence[str | None]]:
     """Chosen values per column. Of two roles on one column the later offered one counts."""
-    unknown = set(selections) - set(SELECTABLE[register.kind])
+    offered = [role for role in SELECTABLE[register.kind] if register.has(role)]
+    unknown = set(selections) - set(offered)
     if unknown:
-        raise ValueError(f"{sorted(unknown)} cannot be selected on in a {register.kind} register")
-    chosen: dict[str, Sequence[str | None]] = {}
-    for role in SELECTABLE[register.kind]:
-        if register.has(role):
-            chosen[register.roles[role]] = selections.get(role, ())
+        raise ValueError(f"this {register.kind} register cannot be filtered by {sorted(unknown)}")
+    chosen = {register.roles[role]: selections.get(role, ()) for role in offered}
     return {column: values for column, values in chosen.items() if values}
 
 

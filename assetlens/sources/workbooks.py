@@ -13,8 +13,6 @@ from assetlens.sources.cells import Workbook
 
 ZIP_MAGIC = b"PK"
 ROWS_PER_BATCH = 4096
-# Largest file the binary source can hand over.
-MAX_FILE_BYTES = 2_147_483_647
 
 SHEETS = pa.schema(
     [
@@ -57,7 +55,10 @@ def is_zip(content: Column) -> Column:
 
 
 def triage(files: DataFrame) -> DataFrame:
-    """Per file, whether it can be a workbook at all."""
+    """Per file, whether it can be a workbook at all.
+
+    Files without content are no workbooks either; the scan passes over them.
+    """
     return files.select("path", "length", is_zip(F.col("content")).alias("accepted"))
 
 
