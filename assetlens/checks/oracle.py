@@ -13,10 +13,13 @@ from assetlens.checks.queries import (
     SEARCH,
     WORKSTATION_CHOICES,
     WORKSTATION_SPEC,
+    filter_name,
+    mobile_name,
 )
 from assetlens.functions.text import MISSING_MARKERS
 from assetlens.operators.filters import SELECTABLE, FilterSpec
 from assetlens.operators.headers import HEADER_KEYWORDS
+from assetlens.plans.dashboard import COUNTED_ROLES
 from assetlens.operators.roles import (
     KIND_IDENTIFIERS,
     MOBILE,
@@ -322,6 +325,10 @@ def register_sql(kind: str) -> dict[str, str]:
         f"cast(coalesce(sum(asset_age) filter (where {found}), 0) as bigint) as sum_age, "
         f"avg(asset_age) filter (where {found} and asset_age > 0) as mean_age, "
         f"{conditional} from a where {r.selection()}) k",
+        "role_counts": " union all ".join(
+            f"select '{role}' as role, {role} as value, n from ({counts(r, role)}) c_{role}"
+            for role in COUNTED_ROLES
+        ),
         "type_counts": counts(r, "asset_kind"),
         "age_counts": labels,
         "age_summary": "select cast(coalesce(sum(asset_age), 0) as bigint) as sum_age, "
@@ -340,7 +347,7 @@ def register_sql(kind: str) -> dict[str, str]:
         "order by n desc, location limit 10",
     }
     for role, values in r.choices.items():
-        bodies[f"filter_by_{role}"] = (
+        bodies[f"filter_by_{filter_name(role)}"] = (
             f"select asset_tag, serial_number, {r.columns[role]} as {role} from a "
             f"where {member(r.columns[role], values)}"
         )
@@ -564,5 +571,5 @@ def all_sql() -> dict[str, str]:
     """Every statement by query name."""
     statements = workbook_sql() | grid_sql() | register_sql(WORKSTATION)
     for name, sql in register_sql(MOBILE).items():
-        statements[f"mobile_{name}"] = sql
+        statements[mobile_name(name)] = sql
     return statements

@@ -11,8 +11,9 @@ from assetlens.checks import derived as inputs
 from assetlens.functions.labels import age_label
 from assetlens.functions.text import normalized
 from assetlens.operators import derive, filters, headers, metrics, quality, roles
-from assetlens.operators.filters import SELECTABLE, FilterSpec
+from assetlens.operators.filters import FilterSpec
 from assetlens.operators.roles import MOBILE, WORKSTATION
+from assetlens.plans.dashboard import COUNTED_ROLES
 from assetlens.plans.register import Register
 from assetlens.session import reusable
 from assetlens.sources import workbooks
@@ -209,10 +210,6 @@ def count_of(rows: Callable[[Register], DataFrame]) -> RegisterQuery:
     return lambda register: rows(register).agg(F.count("*").alias("n"))
 
 
-def shown_age_counts(register: Register) -> DataFrame:
-    return metrics.age_counts(register)
-
-
 def shown_pivot(register: Register) -> DataFrame:
     return metrics.region_model_pivot(register, PIVOT_MODELS)
 
@@ -243,8 +240,9 @@ def register_queries(kind: str) -> dict[str, RegisterQuery]:
         "quality_report": quality.quality_report,
         "summary_kpis": lambda r: metrics.summary_kpis(r, spec),
         "counters": lambda r: metrics.counters(r, spec),
+        "role_counts": lambda r: metrics.role_counts(r, COUNTED_ROLES),
         "type_counts": metrics.type_counts,
-        "age_counts": shown_age_counts,
+        "age_counts": metrics.age_counts,
         "age_summary": metrics.age_summary,
         "model_counts": metrics.model_counts,
         "region_model_cube": metrics.region_model_cube,
@@ -252,12 +250,21 @@ def register_queries(kind: str) -> dict[str, RegisterQuery]:
         "top_departments": lambda r: metrics.top_values(r, "department"),
         "top_locations": lambda r: metrics.top_values(r, "location"),
     }
-    for role in SELECTABLE[kind]:
-        if role in choices:
-            queries[f"filter_by_{role}"] = filter_by(role, choices)
+    for role in choices:
+        queries[f"filter_by_{filter_name(role)}"] = filter_by(role, choices)
     return queries
 
 
+def filter_name(role: str) -> str:
+    """Short name of a role in the names of the filter queries."""
+    return "kind" if role == "asset_kind" else role
+
+
+def mobile_name(name: str) -> str:
+    """Name of a query over the mobile register; only that one has programmes."""
+    return name if name.endswith("_programme") else f"mobile_{name}"
+
+
 WORKSTATION_ONLY: dict[str, RegisterQuery] = {
     "export_warranty": lambda r: filters.warranty_expired(r).df,
     "warranty_date": lambda r: rows_with(r, "warranty_expiry", "warranty_expiry_date"),
@@ -306,5 +313,5 @@ def all_queries() -> dict[str, Query]:
     for name, query in (WORKSTATION_ONLY | register_queries(WORKSTATION)).items():
         queries[name] = on_workstations(query)
     for name, query in register_queries(MOBILE).items():
-        queries[f"mobile_{name}"] = on_mobiles(query)
+        queries[mobile_name(name)] = on_mobiles(query)
     return queries

@@ -29,7 +29,7 @@ DETAILS = {
 
 def is_missing_user(user: Column) -> Column:
     """NULL or empty; blanks count as a user."""
-    return user.isNull() | (user == "")
+    return user.isNull() | (user.cast("string") == "")
 
 
 def is_invalid_email(email: Column) -> Column:

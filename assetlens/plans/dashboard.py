@@ -22,6 +22,10 @@ from assetlens.plans.register import Register
 from assetlens.sinks.exports import write_exports
 
 
+# The roles whose values are counted somewhere on the dashboard.
+COUNTED_ROLES = ["asset_kind", "model", "department", "location"]
+
+
 @dataclass(frozen=True)
 class Dashboard:
     """Tables of one register. Those a register has no columns for are None."""
@@ -34,6 +38,8 @@ class Dashboard:
     quality_report: DataFrame
     quality_details: dict[str, DataFrame | None]
     kpis: DataFrame
+    counters: DataFrame
+    role_counts: DataFrame
     type_counts: DataFrame | None
     warranty_counts: DataFrame | None
     warranty_drilldown: DataFrame | None
@@ -65,8 +71,9 @@ def dashboard(
     """Plan every result; nothing runs until a table is used.
 
     The audit and the warranty export look at the whole register, everything else at the rows
-    left by the filters. With `persist` the derived table is kept between results; spread over
-    many executors it is rebuilt piecewise where one is lost.
+    left by the filters. `counters` and `role_counts` hold all figures and counts from one pass
+    each; the single results read no more than the columns they need. With `persist` the
+    derived table is kept between results; pieces on a lost executor are computed again.
     """
     spec = spec or FilterSpec()
     whole = derived(register, as_of, formats)
@@ -88,6 +95,8 @@ def dashboard(
             "user_email": quality.invalid_email_rows(whole),
         },
         kpis=metrics.summary_kpis(whole, spec),
+        counters=metrics.counters(whole, spec),
+        role_counts=metrics.role_counts(shown, COUNTED_ROLES),
         type_counts=metrics.type_counts(shown),
         warranty_counts=metrics.warranty_counts(shown) if has_status else None,
         warranty_drilldown=warranty_drilldown(shown) if has_status else None,

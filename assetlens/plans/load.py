@@ -22,8 +22,10 @@ def load_sheet(
     rows = grid.where((F.col("path") == path) & (F.col("sheet") == sheet))
     overrides = None
     if header_row is not None:
-        overrides = rows.select("path", "sheet").limit(1).withColumn(
-            "header_row", F.lit(checked_manual_row(header_row))
+        overrides = grid.sparkSession.range(1).select(
+            F.lit(path).alias("path"),
+            F.lit(sheet).alias("sheet"),
+            F.lit(checked_manual_row(header_row)).alias("header_row"),
         )
     found = register_table(rows, overrides).select("header_row", "columns").first()
     if found is None:
