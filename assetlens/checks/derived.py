@@ -229,7 +229,9 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("pos", "cells"),
     )
     rows = body.unionByName(top.withColumn("pos", F.col("pos").cast("bigint")))
-    return rows.select("path", F.lit("Assets").alias("sheet"), "pos", "cells")
+    return rows.select(
+        "path", F.lit("Assets").alias("sheet"), "pos", F.size("cells").alias("width"), "cells"
+    )
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:

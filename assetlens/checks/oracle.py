@@ -551,13 +551,14 @@ def workbook_sql() -> dict[str, str]:
         "workbook_triage": "select path, accepted from files",
         "sheet_list": "select path, 0 as sheet_no, 'Assets' as sheet from good union all "
         "select path, 1, 'Notes' from good where k % 3 = 0",
-        "workbook_grid": "select path, 'Assets' as sheet, cast(0 as bigint) as pos, "
+        "workbook_grid": "select path, 'Assets' as sheet, cast(0 as bigint) as pos, 1 as width, "
         "'Asset register' as cells from good "
-        "union all select path, 'Assets', 1, '' from good "
-        f"union all select path, 'Assets', 2, '{'|'.join(WORKBOOK_HEADERS)}' from good "
-        "union all select path, 'Assets', 3, "
+        "union all select path, 'Assets', 1, 0, '' from good "
+        f"union all select path, 'Assets', 2, {len(WORKBOOK_HEADERS)}, "
+        f"'{'|'.join(WORKBOOK_HEADERS)}' from good "
+        "union all select path, 'Assets', 3, 4, "
         "concat('AT', k, '|', c_mktsegment, '|', c_name, '|', expiry) from good "
-        "union all select path, 'Notes', 0, "
+        "union all select path, 'Notes', 0, 3, "
         "concat('-|', k, '|', case when c_nationkey % 2 = 0 then 'True' else 'False' end) "
         "from good where k % 3 = 0",
         "workbook_register": "select path, 'Assets' as sheet, cast(3 as bigint) as pos, "

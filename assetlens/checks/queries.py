@@ -85,7 +85,8 @@ def sheet_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workbook_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = reusable(workbooks.raw_grid(inputs.workbooks(spark, sf_dir)))
-    return workbooks.readable_grid(raw).withColumn("cells", F.array_join("cells", "|", "-"))
+    cells = F.array_join("cells", "|", "-").alias("cells")
+    return workbooks.readable_grid(raw).select("path", "sheet", "pos", "width", cells)
 
 
 def workbook_register(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """From raw grids to tables with named columns, for many registers at once.
 
-A grid has one row per sheet row: `path, sheet, pos, cells`, positions counted from 0.
+A grid has one row per sheet row: `path, sheet, pos, cells`, positions counted from 0. A stored
+grid should also have `width`, the number of cells: then their values need not be read for it.
 """
 
 from __future__ import annotations
@@ -135,19 +136,24 @@ get(transform(
 def register_table(grid: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """One row per register: header position, cleaned columns, last position.
 
-    A single scan with one aggregation. What is collected per register are its first rows, of
-    which there are at most 21.
+    Cells are read of the first rows only, of which a register has at most 21; of the others the
+    positions and widths. Both parts are aggregated per register before they meet.
     """
-    preview = F.when(F.col("pos") <= LAST_MANUAL_ROW, F.struct("pos", "cells"))
+    width = F.col("width") if "width" in grid.columns else F.size("cells")
+    extent = grid.groupBy(*KEYS).agg(
+        F.max(width).alias("width"), F.max("pos").cast("bigint").alias("last_pos")
+    )
     hit = (F.col("pos") < PREVIEW_ROWS) & looks_like_header(F.col("cells"))
-    summary = grid.groupBy(*KEYS).agg(
-        F.coalesce(F.min(F.when(hit, F.col("pos"))).cast("bigint"), F.lit(0).cast("bigint")).alias(
-            "header_row"
-        ),
-        F.max(F.size("cells")).alias("width"),
-        F.max("pos").cast("bigint").alias("last_pos"),
-        F.collect_list(preview).alias("preview"),
+    preview = (
+        grid.where(F.col("pos") <= LAST_MANUAL_ROW)
+        .groupBy(*KEYS)
+        .agg(
+            F.min(F.when(hit, F.col("pos"))).cast("bigint").alias("detected"),
+            F.collect_list(F.struct("pos", "cells")).alias("preview"),
+        )
     )
+    found = F.coalesce("detected", F.lit(0).cast("bigint"))
+    summary = extent.join(preview, KEYS, "left").withColumn("header_row", found)
     if overrides is not None:
         placed = override_header_rows(summary.select(*KEYS, "header_row"), overrides)
         summary = summary.drop("header_row").join(placed.select(*KEYS, "header_row"), KEYS)

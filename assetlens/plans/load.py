@@ -9,6 +9,7 @@ from assetlens.errors import SheetNotFound
 from assetlens.functions.text import without_markers
 from assetlens.operators.headers import checked_manual_row, register_table
 from assetlens.plans.register import Register
+from assetlens.session import kept
 from assetlens.sources.workbooks import raw_grid, readable_grid, sheet_list, workbook_files
 
 
@@ -44,12 +45,14 @@ def load_sheet(
 def open_workbook(
     spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None
 ) -> Register:
-    """One sheet of one workbook, by default the first, as a register."""
+    """One sheet of one workbook, by default the first, as a register.
+
+    The workbook is parsed once; its grid is kept for the results to come.
+    """
     files = workbook_files(spark, path)
     sheets = sheet_list(files).where(F.col("sheet").isNotNull()).orderBy("sheet_no").collect()
     names = [row["sheet"] for row in sheets]
     if not names or (sheet is not None and sheet not in names):
         raise SheetNotFound(f"{path} has sheets {names}, wanted {sheet!r}")
-    return load_sheet(
-        readable_grid(raw_grid(files)), sheets[0]["path"], sheet or names[0], header_row
-    )
+    grid = readable_grid(kept(raw_grid(files)))
+    return load_sheet(grid, sheets[0]["path"], sheet or names[0], header_row)

@@ -64,3 +64,12 @@ def staged(df: DataFrame) -> DataFrame:
 def reusable(df: DataFrame) -> DataFrame:
     """`staged` where the cluster names a folder; otherwise `df`, to be computed per use."""
     return staged(df) if checkpoint_folder(df.sparkSession) else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`staged` where the cluster names a folder; otherwise kept by the executors.
+
+    For what is costly to compute and used several times at once. Parts kept by an executor that
+    is lost are computed again; `spark.catalog.clearCache()` lets go of all.
+    """
+    return staged(df) if checkpoint_folder(df.sparkSession) else df.persist()

@@ -4,49 +4,76 @@ from __future__ import annotations
 
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
-from typing import IO
+from functools import cached_property, lru_cache
+from typing import IO, Any
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 # The built-in number formats that show a date or a time.
 DATE_FORMATS = set(range(14, 23)) | set(range(27, 37)) | {45, 47} | set(range(50, 59))
 SECONDS_PER_DAY = 86_400
+CHUNK_BYTES = 1 << 16
 
 
-def local(tag: str) -> str:
-    """Element name without its namespace."""
-    return tag.rsplit("}", 1)[-1]
+@lru_cache(maxsize=1024)
+def local(name: str) -> str:
+    """Element or attribute name without its namespace or prefix."""
+    return name.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
 
 
-def attribute(element: ElementTree.Element, name: str) -> str | None:
-    """Attribute by name, whatever its namespace."""
-    return next((v for k, v in element.attrib.items() if local(k) == name), None)
-
-
-def elements(stream: IO[bytes], name: str) -> Iterator[ElementTree.Element]:
-    """Complete elements of one name, each taken out of the tree after use."""
-    ancestors: list[ElementTree.Element] = []
-    for event, element in ElementTree.iterparse(stream, events=("start", "end")):
-        if event == "start":
-            ancestors.append(element)
-            continue
-        ancestors.pop()
-        if local(element.tag) == name:
-            yield element
-            if ancestors:
-                ancestors[-1].remove(element)
+@lru_cache(maxsize=20_000)
+def column_index(letters: str) -> int:
+    """0-based column of letters such as AB."""
+    index = 0
+    for letter in letters:
+        index = index * 26 + ord(letter.upper()) - ord("A") + 1
+    return index - 1
 
 
-def text_of(element: ElementTree.Element) -> str:
-    """Text of a string item: its runs joined, pronunciation hints left out."""
-    parts = []
-    for child in element:
-        if local(child.tag) == "t":
-            parts.append(child.text or "")
-        elif local(child.tag) == "r":
-            parts.extend(t.text or "" for t in child if local(t.tag) == "t")
-    return "".join(parts)
+def parsed(
+    stream: IO[bytes],
+    start: Callable[[str, dict[str, str]], None],
+    text: Callable[[str], None],
+    end: Callable[[str], None],
+    finished: list[Any],
+) -> Iterator[Any]:
+    """Feed a document to handlers, and give what they put into `finished` as it comes."""
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler = start
+    parser.CharacterDataHandler = text
+    parser.EndElementHandler = end
+    last = False
+    while not last:
+        chunk = stream.read(CHUNK_BYTES)
+        last = not chunk
+        parser.Parse(chunk, last)
+        yield from finished
+        finished.clear()
+
+
+def shared_strings(stream: IO[bytes]) -> Iterator[str]:
+    """String items in order: their runs joined, pronunciation hints left out."""
+    finished: list[str] = []
+    parts: list[str] = []
+    inside: list[str] = []
+
+    def start(name: str, _: dict[str, str]) -> None:
+        inside.append(local(name))
+        if inside[-1] == "si":
+            parts.clear()
+
+    def text(data: str) -> None:
+        if inside and inside[-1] == "t" and "rPh" not in inside:
+            parts.append(data)
+
+    def end(_: str) -> None:
+        if inside.pop() == "si":
+            finished.append("".join(parts))
+
+    return parsed(stream, start, text, end, finished)
 
 
 class Workbook:
@@ -54,49 +81,42 @@ class Workbook:
 
     def __init__(self, file: IO[bytes]):
         self.archive = zipfile.ZipFile(file)
+        self.members = set(self.archive.namelist())
         self.sheets: list[tuple[str, str]] = []
         self.epoch = datetime(1899, 12, 30)
-        self._read_directory()
-        self._strings: list[str] | None = None
-        self._dates: set[int] | None = None
-
-    def _read_directory(self) -> None:
         targets = {}
-        with self.archive.open("xl/_rels/workbook.xml.rels") as stream:
-            for link in elements(stream, "Relationship"):
-                if (link.get("Type") or "").endswith("/worksheet"):
-                    target = link.get("Target") or ""
-                    targets[link.get("Id")] = (
-                        target.lstrip("/") if target.startswith("/") else "xl/" + target
-                    )
-        with self.archive.open("xl/workbook.xml") as stream:
-            root = ElementTree.parse(stream).getroot()
-        for element in root.iter():
+        for link in self._document("xl/_rels/workbook.xml.rels"):
+            if (link.get("Type") or "").endswith("/worksheet"):
+                target = link.get("Target") or ""
+                targets[link.get("Id")] = (
+                    target.lstrip("/") if target.startswith("/") else "xl/" + target
+                )
+        for element in self._document("xl/workbook.xml").iter():
             if local(element.tag) == "workbookPr" and element.get("date1904") in ("1", "true"):
                 self.epoch = datetime(1904, 1, 1)
-            if local(element.tag) == "sheet" and attribute(element, "id") in targets:
-                name = element.get("name") or ""
-                self.sheets.append((name, targets[attribute(element, "id")]))
+            elif local(element.tag) == "sheet":
+                link = next((v for k, v in element.attrib.items() if local(k) == "id"), None)
+                if link in targets:
+                    self.sheets.append((element.get("name") or "", targets[link]))
+
+    def _document(self, member: str) -> ElementTree.Element:
+        with self.archive.open(member) as stream:
+            return ElementTree.parse(stream).getroot()
 
-    @property
+    @cached_property
     def strings(self) -> list[str]:
         """Shared strings by index."""
-        if self._strings is None:
-            self._strings = []
-            if "xl/sharedStrings.xml" in self.archive.namelist():
-                with self.archive.open("xl/sharedStrings.xml") as stream:
-                    self._strings = [text_of(item) for item in elements(stream, "si")]
-        return self._strings
-
-    @property
-    def dates(self) -> set[int]:
+        if "xl/sharedStrings.xml" not in self.members:
+            return []
+        with self.archive.open("xl/sharedStrings.xml") as stream:
+            return list(shared_strings(stream))
+
+    @cached_property
+    def dates(self) -> set[str]:
         """Indexes of the cell styles that show dates."""
-        if self._dates is None:
-            self._dates = set()
-            if "xl/styles.xml" in self.archive.namelist():
-                with self.archive.open("xl/styles.xml") as stream:
-                    self._dates = date_styles(ElementTree.parse(stream).getroot())
-        return self._dates
+        if "xl/styles.xml" not in self.members:
+            return set()
+        return {str(index) for index in date_styles(self._document("xl/styles.xml"))}
 
     def rows(self, member: str) -> Iterator[tuple[int, list[str | None]]]:
         """Position and cells of every row down to the last one with a value.
@@ -105,60 +125,76 @@ class Workbook:
         """
         expected = 0
         with self.archive.open(member) as stream:
-            for row in elements(stream, "row"):
-                position = int(row.get("r") or expected + 1) - 1
-                cells = self._cells(row)
-                if any(v is not None for v in cells):
-                    for blank in range(expected, position):
-                        yield blank, []
-                    yield position, cells
-                    expected = position + 1
-
-    def _cells(self, row: ElementTree.Element) -> list[str | None]:
+            for position, cells in self._filled_rows(stream):
+                for blank in range(expected, position):
+                    yield blank, []
+                yield position, cells
+                expected = position + 1
+
+    def _filled_rows(self, stream: IO[bytes]) -> Iterator[tuple[int, list[str | None]]]:
+        finished: list[tuple[int, list[str | None]]] = []
         cells: list[str | None] = []
-        for cell in row:
-            if local(cell.tag) != "c":
-                continue
-            reference = cell.get("r")
-            column = column_index(reference) if reference else len(cells)
-            cells.extend([None] * (column - len(cells)))
-            cells.append(self._value(cell))
-        while cells and cells[-1] is None:
-            cells.pop()
-        return cells
-
-    def _value(self, cell: ElementTree.Element) -> str | None:
-        kind = cell.get("t") or "n"
-        parts = {local(child.tag): child for child in cell}
-        if kind == "inlineStr":
-            return (text_of(parts["is"]) or None) if "is" in parts else None
-        raw = parts["v"].text if "v" in parts else None
-        if raw is None or kind == "e":
-            return None
+        parts: list[str] = []
+        position, column = -1, -1
+        kind = style = None
+        reading = hint = False
+
+        def start(name: str, attributes: dict[str, str]) -> None:
+            nonlocal position, column, kind, style, reading, hint
+            tag = local(name)
+            if tag == "c":
+                reference = attributes.get("r")
+                column = column_index(reference.rstrip("0123456789")) if reference else column + 1
+                kind, style = attributes.get("t"), attributes.get("s")
+                parts.clear()
+            elif tag == "v" or tag == "t":
+                reading = not hint
+            elif tag == "row":
+                position = int(attributes.get("r") or position + 2) - 1
+                column = -1
+                cells.clear()
+            elif tag == "rPh":
+                hint = True
+
+        def text(data: str) -> None:
+            if reading:
+                parts.append(data)
+
+        def end(name: str) -> None:
+            nonlocal reading, hint
+            tag = local(name)
+            if tag == "v" or tag == "t":
+                reading = False
+            elif tag == "c":
+                value = self._value(kind, style, "".join(parts)) if parts else None
+                if value is not None:
+                    cells.extend([None] * (column - len(cells)))
+                    cells.append(value)
+            elif tag == "row":
+                if cells:
+                    finished.append((position, cells.copy()))
+            elif tag == "rPh":
+                hint = False
+
+        return parsed(stream, start, text, end, finished)
+
+    def _value(self, kind: str | None, style: str | None, raw: str) -> str | None:
         if kind == "s":
             return self.strings[int(raw)] or None
+        if kind == "inlineStr" or kind == "str":
+            return raw
+        if kind == "e":
+            return None
         if kind == "b":
             return "True" if raw in ("1", "true") else "False"
-        if kind == "str":
-            return raw
         if kind == "d":
             return raw.replace("T", " ")
         number = float(raw)
-        if int(cell.get("s") or 0) in self.dates:
+        if style in self.dates:
             return moment_text(number, self.epoch)
         return str(int(number)) if number.is_integer() else repr(number)
 
 
-def column_index(reference: str) -> int:
-    """0-based column of a reference such as AB12."""
-    index = 0
-    for letter in reference:
-        if not letter.isalpha():
-            break
-        index = index * 26 + ord(letter.upper()) - ord("A") + 1
-    return index - 1
-
-
 def date_styles(root: ElementTree.Element) -> set[int]:
     """Indexes of the cell formats whose number format is a date."""
     custom = {}

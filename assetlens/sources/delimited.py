@@ -53,9 +53,13 @@ def delimited_grid(
     fields = F.from_csv("value", F.lit(schema), options)
     cells = F.array(*[F.nullif(fields[f"c{i}"], F.lit("")) for i in range(width)])
     parsed = numbered_lines(spark, path).select("path", "pos", cells.alias("cells"))
-    used = F.array_max(
+    width_of = F.array_max(
         F.transform("cells", lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(F.lit(0)))
     )
-    return parsed.select(
-        "path", F.lit(sheet).alias("sheet"), "pos", F.slice("cells", F.lit(1), used).alias("cells")
+    return parsed.withColumn("width", width_of).select(
+        "path",
+        F.lit(sheet).alias("sheet"),
+        "pos",
+        "width",
+        F.slice("cells", F.lit(1), F.col("width")).alias("cells"),
     )

@@ -27,12 +27,16 @@ GRID = pa.schema(
         ("path", pa.string()),
         ("sheet", pa.string()),
         ("pos", pa.int64()),
+        ("width", pa.int32()),
         ("cells", pa.list_(pa.string())),
         ("error", pa.string()),
     ]
 )
 SHEETS_DDL = "path string, sheet_no int, sheet string, error string"
-GRID_DDL = "path string, sheet string, pos bigint, cells array<string>, error string"
+GRID_DDL = (
+    "path string, sheet string, pos bigint, width int, cells array<string>, error string"
+)
+GRID_COLUMNS = ["path", "sheet", "pos", "width", "cells"]
 
 
 def workbook_files(spark: SparkSession, path: str) -> DataFrame:
@@ -89,14 +93,14 @@ def _grid_rows(path: str, content: bytes) -> Iterator[tuple]:
     try:
         workbook = Workbook(io.BytesIO(content))
     except Exception as error:
-        yield path, None, None, None, f"{type(error).__name__}: {error}"
+        yield path, None, None, None, None, f"{type(error).__name__}: {error}"
         return
     for name, member in workbook.sheets:
         try:
             for position, cells in workbook.rows(member):
-                yield path, name, position, cells, None
+                yield path, name, position, len(cells), cells, None
         except Exception as error:
-            yield path, name, None, None, f"{type(error).__name__}: {error}"
+            yield path, name, None, None, None, f"{type(error).__name__}: {error}"
 
 
 def _grid_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,5 +139,5 @@ def read_errors(raw: DataFrame) -> DataFrame:
 def readable_grid(raw: DataFrame) -> DataFrame:
     """Rows of the sheets that were read to their end; a broken sheet is left out whole."""
     broken = read_errors(raw).where(F.col("sheet").isNotNull()).select("path", "sheet")
-    rows = raw.where(F.col("error").isNull()).select("path", "sheet", "pos", "cells")
+    rows = raw.where(F.col("error").isNull()).select(*GRID_COLUMNS)
     return rows.join(broken, ["path", "sheet"], "left_anti")

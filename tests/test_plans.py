@@ -5,7 +5,7 @@ import pytest
 from assetlens import FilterSpec, Register
 from assetlens.checks import derived as inputs
 from assetlens.checks.queries import all_queries
-from assetlens.operators import filters, metrics
+from assetlens.operators import filters, headers, metrics
 from assetlens.operators.derive import derived
 
 WITH_PYTHON = {"workbook_triage", "sheet_list", "workbook_grid", "workbook_register"}
@@ -69,3 +69,16 @@ def test_counted_cells_are_shared(stored):
     df = metrics.region_model_cube(stored)
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_headers_are_found_without_reading_all_cells(spark, small, tmp_path):
+    path = str(tmp_path / "grid")
+    inputs.grid(spark, small).write.parquet(path)
+    registers = headers.register_table(spark.read.parquet(path))
+    scans = [line for line in plan(registers).splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    extent, preview = sorted(scans, key=lambda line: "cells" in line.split("ReadSchema")[1])
+    assert "cells" not in extent.split("ReadSchema")[1]
+    assert "LessThanOrEqual(pos,20)" in preview
+    # Both parts are partitioned by register already when they meet.
+    assert plan(registers).count("Exchange hashpartitioning(path") == 2
