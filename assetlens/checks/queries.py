@@ -92,11 +92,21 @@ def workbook_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workbook_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = reusable(workbooks.raw_grid(inputs.workbooks(spark, sf_dir)))
     grid = workbooks.readable_grid(raw)
-    return headers.canonical_rows(grid, headers.register_table(grid)).select(
+    return headers.canonical_rows(grid, stored_registers(grid)).select(
         "path", "sheet", "pos", "asset_type", "asset_tag", "model", "user", "warranty_expiry"
     )
 
 
+def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid, as a table where there is a folder for it: several branches read it."""
+    return reusable(inputs.grid(spark, sf_dir))
+
+
+def stored_registers(grid: DataFrame) -> DataFrame:
+    """The registers of a grid, likewise."""
+    return reusable(headers.register_table(grid))
+
+
 def header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.detect_header_rows(inputs.grid(spark, sf_dir))
 
@@ -107,8 +117,8 @@ def header_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def promote_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = inputs.grid(spark, sf_dir)
-    return headers.promote_headers(grid, headers.register_table(grid))
+    grid = stored_grid(spark, sf_dir)
+    return headers.promote_headers(grid, stored_registers(grid))
 
 
 def promote_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +158,13 @@ def missing_model_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = inputs.grid(spark, sf_dir)
-    return headers.canonical_rows(grid, headers.register_table(grid)).drop("sheet", "cells")
+    grid = stored_grid(spark, sf_dir)
+    return headers.canonical_rows(grid, stored_registers(grid)).drop("sheet", "cells")
 
 
 def search_all_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = inputs.grid(spark, sf_dir)
-    rows = headers.canonical_rows(grid, headers.register_table(grid))
+    grid = stored_grid(spark, sf_dir)
+    rows = headers.canonical_rows(grid, stored_registers(grid))
     found = F.exists("cells", lambda v: filters.found_in([v], "^V[0-9]*7_[12]$"))
     return rows.where(found).select("path", "pos", "asset_type")
 

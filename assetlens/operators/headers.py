@@ -227,7 +227,8 @@ def canonical_rows(
     """All usable registers as one table under role names.
 
     Registers without a model column are left out; `missing_model` lists them. `cells` keeps
-    the values of all columns, for searches and exports.
+    the values of all columns, for searches and exports. Give a stored table of registers where
+    there are many: knowing its size beforehand, Spark need not shuffle the grid for a small one.
     """
     # Without a last position a register has no slices, hence no rows.
     usable = F.when(F.col("roles.model.col").isNotNull(), F.col("last_pos"))
@@ -239,11 +240,12 @@ def canonical_rows(
         F.transform("columns", lambda c: c["col"]).alias("cols"),
         *[F.col(f"roles.{role}.col").alias(f"at_{role}") for role in ROLES],
     )
-    rows = data_rows(grid, slim, rows_per_slice)
+    present = F.transform("cells", without_markers)
+    rows = data_rows(grid, slim, rows_per_slice).withColumn("cells", present)
     return rows.select(
         *KEYS,
         F.col("pos").cast("bigint").alias("pos"),
         "asset_type",
-        *[without_markers(F.get("cells", F.col(f"at_{role}"))).alias(role) for role in ROLES],
-        F.transform("cols", lambda i: without_markers(F.get("cells", i))).alias("cells"),
+        *[F.expr(f"get(cells, at_{role})").alias(role) for role in ROLES],
+        F.expr("transform(cols, i -> get(cells, i))").alias("cells"),
     )

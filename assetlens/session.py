@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
@@ -45,20 +47,19 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back from there.
+    """Write `df` as a table under the shared checkpoint folder and read it from there.
 
-    Used where two branches of a plan have to see the very same rows. The copy outlives lost
-    executors. Without a folder this fails: a machine-local default would not.
+    Used where two branches of a plan have to see the very same rows, or where rows are costly
+    to compute. The table outlives lost executors, and scans of it read only what they need.
+    Without a folder this fails: a machine-local default would not do on a cluster.
     """
     spark = df.sparkSession
     folder = checkpoint_folder(spark)
-    context = spark.sparkContext
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
+    if not folder:
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder first")
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/assetlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reusable(df: DataFrame) -> DataFrame:
