@@ -16,7 +16,7 @@ from assetlens.functions.text import contains_ignoring_case, matches_ignoring_ca
 from assetlens.operators.roles import MOBILE, WORKSTATION
 from assetlens.plans.register import Register
 
-# The roles a selection may be made on, in the order in which they are offered.
+# The roles a selection may be made on, in the order in which they are offered.
 SELECTABLE = {
     WORKSTATION: [
         "model",

@@ -16,6 +16,7 @@ from assetlens.operators.filters import (
 )
 from assetlens.plans.register import Register
 
+# Fixed value: how many values a ranking shows.
 TOP = 10
 
 

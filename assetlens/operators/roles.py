@@ -70,6 +70,7 @@ ROLES = [
     "programme",
 ]
 
+# The role that stands for the region.
 REGION_ROLE = {WORKSTATION: "place", MOBILE: "site"}
 
 

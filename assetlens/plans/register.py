@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from assetlens.errors import ModelColumnMissing
 from assetlens.operators.roles import REGION_ROLE, kind_of, resolve
 
-# Headers of the derived columns. A column typed exactly so is replaced when they are derived.
+# Headers of the derived columns. A column typed exactly so is replaced when they
+# are derived.
 DERIVED_HEADERS = {
     "asset_age": "Asset Age",
     "warranty_expiry_date": "Warranty Expiry Date",

@@ -189,9 +189,11 @@ class Workbook:
             return "True" if raw in ("1", "true") else "False"
         if kind == "d":
             return raw.replace("T", " ")
+        if style is not None and style in self.dates:
+            return moment_text(float(raw), self.epoch)
+        if raw.isdecimal() and raw[0] != "0":
+            return raw
         number = float(raw)
-        if style in self.dates:
-            return moment_text(number, self.epoch)
         return str(int(number)) if number.is_integer() else repr(number)
 
 
@@ -218,6 +220,7 @@ def is_date_format(code: str) -> bool:
     return re.search("[dmhysDMHYS]", bare) is not None
 
 
+@lru_cache(maxsize=100_000)
 def moment_text(serial: float, epoch: datetime) -> str:
     """ISO text of a date serial; a serial below one is a time of day."""
     days, fraction = divmod(serial, 1)

@@ -145,3 +145,28 @@ def test_slices_change_nothing(spark, small):
     sliced = headers.canonical_rows(cells, table, rows_per_slice=5).drop("cells")
     assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.collect()))
     assert whole.count() > 1000
+
+
+def test_a_large_register_is_spread_when_it_is_shuffled(spark):
+    """A hot register of 4000 rows, joined by shuffle: no key holds more than a slice."""
+    rows = spark.range(1, 4001).select(
+        F.lit("hot").alias("path"),
+        F.lit("Assets").alias("sheet"),
+        F.col("id").alias("pos"),
+        F.array(F.col("id").cast("string"), F.lit("m"), F.lit("u")).alias("cells"),
+    )
+    cells = rows.unionByName(grid(spark, {"hot": [HEADER], "cold": [HEADER, ["1", "m", "u"]]}))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = headers.register_table(cells)
+        found = headers.canonical_rows(cells, table, rows_per_slice=100)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(path" in text and "BroadcastHashJoin" not in text
+        assert {int(r["asset_tag"]) for r in found.where("path = 'hot'").collect()} == set(
+            range(1, 4001)
+        )
+        joined = headers.data_rows(cells, table.select("path", "sheet", "header_row", "last_pos"), 100)
+        assert joined.count() == 4001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
