@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,15 @@ PIVOT_MODELS = [f"Brand#{i}" for i in range(1, 26)]
 # ------------------------------------------------------------------------- inputs
 
 
+@lru_cache(maxsize=4)
 def workstations(spark: SparkSession, sf_dir: str) -> Register:
-    """The workstation register with its derived columns."""
+    """The workstation register with its derived columns; the plan is built once per session."""
     return derive.derived(inputs.workstation_register(spark, sf_dir), inputs.AS_OF)
 
 
+@lru_cache(maxsize=4)
 def mobiles(spark: SparkSession, sf_dir: str) -> Register:
-    """The mobile register with its derived columns."""
+    """The mobile register, likewise."""
     return derive.derived(inputs.mobile_register(spark, sf_dir), inputs.AS_OF)
 
 
@@ -128,7 +131,7 @@ def promote_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers.register_table(inputs.grid(spark, sf_dir))
+    return headers.register_table(stored_grid(spark, sf_dir))
 
 
 def clean_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.functions.text import normalized, normalized_name
+from assetlens.functions.text import normalized_name
 
 WORKSTATION = "Workstation"
 MOBILE = "Mobile"
@@ -132,13 +132,21 @@ def role_column_sql(terms: Sequence[str]) -> str:
 
 
 def classified(registers: DataFrame) -> DataFrame:
-    """Add both scores and `asset_type` to a table with a `columns` array of (col, name)."""
-    names = F.transform("columns", lambda c: normalized(c["name"]))
-    scored = registers.withColumn("normalized", names)
-    for kind in KINDS:
-        scored = scored.withColumn(f"{kind.lower()}_score", F.expr(kind_score_sql(kind)))
+    """Add both scores and `asset_type` to a table with a `columns` array of (col, name).
+
+    Also adds `normalized`, the normalised names. All come out of one expression that mentions
+    `columns` once: what a filter on them repeats is short then.
+    """
+    scores = ", ".join(f"'{kind.lower()}_score', {kind_score_sql(kind)}" for kind in KINDS)
+    names = "transform(columns, c -> regexp_replace(lower(c.name), '[^a-z0-9]', ''))"
+    facts = f"named_struct('normalized', normalized, {scores})"
+    scored = registers.withColumn(
+        "facts", F.expr(f"get(transform(array({names}), normalized -> {facts}), 0)")
+    ).select("*", "facts.*")
     better = F.col("workstation_score") > F.col("mobile_score")
-    return scored.withColumn("asset_type", F.when(better, WORKSTATION).otherwise(MOBILE))
+    return scored.drop("facts").withColumn(
+        "asset_type", F.when(better, WORKSTATION).otherwise(MOBILE)
+    )
 
 
 def with_roles(registers: DataFrame) -> DataFrame:
@@ -191,8 +199,12 @@ def asset_types(registers: DataFrame) -> DataFrame:
 
 def missing_model(registers: DataFrame) -> DataFrame:
     """The registers that have no model column, which makes them unusable."""
+    found = " ".join(
+        f"when '{kind}' then exists(normalized, h -> contains(h, '{role_terms(kind)['model'][0]}'))"
+        for kind in KINDS
+    )
     return (
-        with_roles(registers)
-        .where(F.col("roles.model.col").isNull())
+        classified(registers)
+        .where(f"not case asset_type {found} end")
         .select("path", "sheet", "asset_type", "header_row")
     )
