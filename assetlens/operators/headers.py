@@ -76,13 +76,14 @@ def checked_manual_row(row: int) -> int:
 def override_header_rows(detected: DataFrame, overrides: DataFrame) -> DataFrame:
     """Replace detected positions by the manual ones of `overrides(path, sheet, header_row)`.
 
-    A manual position outside 0..20 is ignored and flagged. Both tables hold one row per
-    register; whether the smaller one is broadcast is left to its size.
+    A manual position outside 0..20 is ignored and flagged; other columns stay. Both tables hold
+    one row per register; whether the smaller one is broadcast is left to its size.
     """
     manual = overrides.select(*KEYS, F.col("header_row").cast("bigint").alias("manual"))
     valid = F.col("manual").between(0, LAST_MANUAL_ROW)
+    others = [c for c in detected.columns if c != "header_row"]
     return detected.join(manual, KEYS, "left").select(
-        *KEYS,
+        *others,
         F.when(valid, F.col("manual")).otherwise(F.col("header_row")).alias("header_row"),
         F.coalesce(valid, F.lit(False)).alias("is_manual"),
         F.coalesce(~valid, F.lit(False)).alias("is_rejected"),
@@ -91,7 +92,6 @@ def override_header_rows(detected: DataFrame, overrides: DataFrame) -> DataFrame
 
 # ------------------------------------------------------------------------ names
 
-
 # Names of the `width` columns under the header cells `cells`, as an array of (col, name).
 #
 # A blank cell is named after its position. An exact repeat gets the first number that makes it
@@ -155,8 +155,7 @@ def register_table(grid: DataFrame, overrides: DataFrame | None = None) -> DataF
     found = F.coalesce("detected", F.lit(0).cast("bigint"))
     summary = extent.join(preview, KEYS, "left").withColumn("header_row", found)
     if overrides is not None:
-        placed = override_header_rows(summary.select(*KEYS, "header_row"), overrides)
-        summary = summary.drop("header_row").join(placed.select(*KEYS, "header_row"), KEYS)
+        summary = override_header_rows(summary, overrides)
     header = F.expr("get(filter(preview, p -> p.pos = header_row), 0).cells")
     return (
         summary.select(

@@ -197,7 +197,10 @@ def region_model_pivot(register: Register, models: Sequence[str]) -> DataFrame |
     cells = region_model_counts(register)
     if cells is None:
         return None
-    columns = [F.coalesce(F.sum(F.when(F.col("model") == m, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, m in enumerate(models)]
+    columns = [
+        F.coalesce(F.sum(F.when(F.col("model") == m, F.col("n"))), F.lit(0)).alias(f"c{i}")
+        for i, m in enumerate(models)
+    ]
     total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total")
     by_region = cells.groupBy("region").agg(*columns, total)
     grand = cells.agg(*columns, total).withColumn("region", F.lit(None).cast("string"))

@@ -23,7 +23,10 @@ def test_positions_across_splits(spark, small_splits, tmp_path):
     rng = random.Random(3)
     texts = {}
     for name, count in (("a.csv", 3000), ("b.csv", 1), ("c.csv", 700), ("d.csv", 40)):
-        lines = ["" if rng.random() < 0.1 else f"{name} {i} " + "x" * rng.randint(0, 60) for i in range(count)]
+        lines = [
+            "" if rng.random() < 0.1 else f"{name} {i} " + "x" * rng.randint(0, 60)
+            for i in range(count)
+        ]
         (tmp_path / name).write_text("\n".join(lines) + "\n")
         texts[name] = lines
     lines = numbered_lines(spark, str(tmp_path))
