@@ -38,7 +38,9 @@ def semi_join_sliced(
     def with_slices(df: DataFrame) -> DataFrame:
         return df.join(hot, F.xxhash64(key) == F.col("hot_hash"), "left").drop("hot_hash")
 
-    spread = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.col("slices"))
+    # The hash is cut down first: added to a partition number in full it could overflow.
+    content = F.pmod(F.xxhash64(*rows.columns), F.col("slices"))
+    spread = F.pmod(content + F.spark_partition_id(), F.col("slices"))
     left = (
         with_slices(rows)
         .withColumn(
