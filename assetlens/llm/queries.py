@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm import exact_dedup, mixing, sharding
+from assetlens.llm import (
+    exact_dedup,
+    frames,
+    license_scan,
+    mixing,
+    secret_scan,
+    sharding,
+    token_counts,
+    warc,
+)
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -70,11 +79,34 @@ def op8_source_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(archives, payloads=False).drop("url")
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), frames.new_path(spark, "ledger")).drop("blob")
+
+
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(
+        table(spark, sf_dir, "documents"), license_scan.known_licenses(spark)
+    )
+
+
+def op10_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_source_mix": op4_source_mix,
+        "op5_dictionary_warc": op5_dictionary_warc,
+        "op7_secret_ledger": op7_secret_ledger,
         "op8_source_shards": op8_source_shards,
+        "op9_license_digests": op9_license_digests,
+        "op10_bpe_counts": op10_bpe_counts,
     }
 
 
