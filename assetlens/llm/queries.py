@@ -12,6 +12,7 @@ from assetlens.llm import (
     frames,
     license_scan,
     mixing,
+    ngram_join,
     secret_scan,
     sharding,
     token_counts,
@@ -84,6 +85,10 @@ def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).drop("url")
 
 
+def op6_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), size=3, per_cent=90)
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), frames.new_path(spark, "ledger")).drop("blob")
 
@@ -103,6 +108,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op4_source_mix": op4_source_mix,
         "op5_dictionary_warc": op5_dictionary_warc,
+        "op6_ngram_groups": op6_ngram_groups,
         "op7_secret_ledger": op7_secret_ledger,
         "op8_source_shards": op8_source_shards,
         "op9_license_digests": op9_license_digests,
