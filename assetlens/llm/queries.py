@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.llm import (
+    decontaminate,
     exact_dedup,
     frames,
     license_scan,
     mixing,
     ngram_join,
+    quality,
     secret_scan,
     sharding,
     token_counts,
@@ -40,6 +42,15 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_tiled_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -106,6 +117,8 @@ def op10_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_tiled_leaks": op2_tiled_leaks,
+        "op3_quality_scores": op3_quality_scores,
         "op4_source_mix": op4_source_mix,
         "op5_dictionary_warc": op5_dictionary_warc,
         "op6_ngram_groups": op6_ngram_groups,

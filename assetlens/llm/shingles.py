@@ -18,6 +18,8 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters and digits only, with all bytes beyond ASCII: words without their punctuation.
+IS_LETTER = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -33,10 +35,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = IS_WORD
+) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (A-Z as a-z) of the texts `data[offsets[i]:offsets[i + 1]]`, and where each
-    text's words start among them. Words are runs of bytes other than space and \\t to \\r."""
-    word = IS_WORD[data]
+    text's words start among them. Words are runs of bytes of the `kind`, by default of those other than space and \\t to \\r."""
+    word = kind[data]
     edge = word.copy()
     edge[1:] &= ~word[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]
@@ -83,7 +87,7 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(words, min(size, len(words))))
 
 
-def texts_words(column: pa.Array) -> Iterator[np.ndarray]:
+def texts_words(column: pa.Array, kind: np.ndarray = IS_WORD) -> Iterator[np.ndarray]:
     """The word hashes of each text of an Arrow column of strings without nulls."""
     wide = pa.types.is_large_string(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32).astype(np.int64)
@@ -94,7 +98,7 @@ def texts_words(column: pa.Array) -> Iterator[np.ndarray]:
     while at < len(column):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TEXT_BYTES, "right")) - 1)
         begin = offsets[at]
-        hashes, first = word_hashes(data[begin : offsets[stop]], offsets[at : stop + 1] - begin)
+        hashes, first = word_hashes(data[begin : offsets[stop]], offsets[at : stop + 1] - begin, kind)
         for text in range(stop - at):
             yield hashes[first[text] : first[text + 1]]
         at = stop

@@ -4,7 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetlens.llm import frames, mixing, sharding
+from assetlens.llm import decontaminate, frames, mixing, ngram_join, quality, sharding
+
+#: Near duplicates share this many per cent of their shingles of so many words.
+SHINGLE_WORDS = 5
+PER_CENT = 80
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from `labels`, doesn't reject."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; documents without words are no group."""
+    return ngram_join.one_per_group(docs, size=SHINGLE_WORDS, per_cent=PER_CENT)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of `benchmark`."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +36,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-STAGES = [("mix sources", mix_sources), ("shard", shard)]
+STAGES = [
+    ("quality classifier", reject_poor),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix_sources),
+    ("sharding", shard),
+]
 
 #: The classifier can't be expressed in SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
