@@ -240,7 +240,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    listed = archives.select("archive").repartition("archive")
+    listed = archives.select("archive").repartition(max(1, archives.count()), "archive")
     return listed.mapInArrow(read, ", ".join(fields))
 
 
