@@ -70,13 +70,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """`df` over all cores, if its files are cut into fewer pieces than there are cores.
-
-    A small table comes as one file with one row group, which a single task would read and
-    work on. A large one has more pieces than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """`df` dealt out by `key`, at any size; a join on that key needs no further exchange of it."""
+    return df.repartition(key)
 
 
 def _text(column: str) -> Column:

@@ -9,7 +9,6 @@ from assetlens.checks.queries import (
     LITERAL,
     MOBILE_CHOICES,
     MOBILE_SPEC,
-    PIVOT_MODELS,
     SEARCH,
     WORKSTATION_CHOICES,
     WORKSTATION_SPEC,
@@ -97,6 +96,9 @@ AGE_CATEGORY = """
 
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
+#: The models of the given tables, stated here so that a column that is missing shows.
+PIVOT_MODELS = [f"Brand#{i}" for i in range(1, 26)]
+
 
 class RegisterSql:
     """Names of one kind of register, and the common part of its statements."""

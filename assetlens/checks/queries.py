@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,19 +48,16 @@ MOBILE_CHOICES: dict[str, list[str | None]] = {
 }
 SEARCH = "nation_1$|^brand#2[0-3]$"
 LITERAL = "(old)"
-PIVOT_MODELS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 # ------------------------------------------------------------------------- inputs
 
 
-@lru_cache(maxsize=4)
 def workstations(spark: SparkSession, sf_dir: str) -> Register:
-    """The workstation register with its derived columns; the plan is built once per session."""
+    """The workstation register with its derived columns."""
     return derive.derived(inputs.workstation_register(spark, sf_dir), inputs.AS_OF)
 
 
-@lru_cache(maxsize=4)
 def mobiles(spark: SparkSession, sf_dir: str) -> Register:
     """The mobile register, likewise."""
     return derive.derived(inputs.mobile_register(spark, sf_dir), inputs.AS_OF)
@@ -225,7 +221,7 @@ def count_of(rows: Callable[[Register], DataFrame]) -> RegisterQuery:
 
 
 def shown_pivot(register: Register) -> DataFrame:
-    return metrics.region_model_pivot(register, PIVOT_MODELS)
+    return metrics.region_model_pivot(register, metrics.pivot_models(register))
 
 
 def register_queries(kind: str) -> dict[str, RegisterQuery]:

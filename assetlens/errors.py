@@ -21,3 +21,7 @@ class HeaderRowError(AssetLensError):
 
 class SheetNotFound(AssetLensError):
     """The workbook has no readable sheet of that name."""
+
+
+class SeveralWorkbooks(ValueError):
+    """A path that should name one workbook holds more."""

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?\s*$"
+ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?\s*$"
 MICROS_PER_DAY = 86_400_000_000
 # More days than lie between any two dates of the years 1 to 9999.
 DAY_SHIFT = 4_000_000

@@ -52,5 +52,5 @@ def matches_ignoring_case(value: Column, pattern: str) -> Column:
 
 
 def contains_ignoring_case(value: Column, text: str) -> Column:
-    """Whether `text` itself is found anywhere, by lower-case forms; NULL for NULL."""
-    return F.lower(value).contains(text.lower())
+    """Whether `text` itself is found anywhere, by the same test as a pattern; NULL for NULL."""
+    return matches_ignoring_case(value, "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E")

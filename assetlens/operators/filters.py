@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.errors import SearchPatternError
@@ -80,6 +81,15 @@ def marked_for_replacement(register: Register, models: Sequence[str | None]) ->
     return one_of(register.col("model"), models)
 
 
+def check_pattern(pattern: str) -> None:
+    """Fails on a pattern that the JVM, which runs it, doesn't accept."""
+    session = SparkSession.getActiveSession()
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile("(?iu)" + pattern)
+    except IllegalArgumentException as error:
+        raise SearchPatternError(f"{pattern!r}: {error}") from error
+
+
 def found_in(columns: Sequence[Column], text: str, regex: bool = True) -> Column:
     """Whether any of the columns holds the text, ignoring case; by default a regular expression."""
     if regex:
@@ -87,6 +97,7 @@ def found_in(columns: Sequence[Column], text: str, regex: bool = True) -> Column
             re.compile(text)
         except re.error as error:
             raise SearchPatternError(f"{text!r}: {error}") from error
+        check_pattern(text)
     found = matches_ignoring_case if regex else contains_ignoring_case
     # A chain of tests, not an array of values: it stays in generated code and stops at a hit.
     return reduce(operator.or_, [found(c.cast("string"), text) for c in columns])
@@ -121,7 +132,7 @@ def filter_domains(register: Register) -> DataFrame:
     """Distinct values per selectable role, missing ones included, in one pass."""
     roles = [role for role in SELECTABLE[register.kind] if register.has(role)]
     pairs = F.array(
-        *[F.struct(F.lit(r).alias("role"), register.col(r).alias("value")) for r in roles]
+        *[F.struct(F.lit(r).alias("role"), register.col(r).cast("string").alias("value")) for r in roles]
     )
     return register.df.select(F.inline(pairs)).distinct().orderBy("role", "value")
 

@@ -192,19 +192,27 @@ def region_model_pivot(register: Register, models: Sequence[str]) -> DataFrame |
     """The cross-tab in wide form: a row per region, a column per given model, totals.
 
     For display. `is_total` marks the grand total, so that no region name can be mistaken for
-    it. `models` names the columns; `total` covers all models, given or not.
+    it. `models` names the columns, with `_` added to a name that is taken but for case; `total`
+    covers all models, given or not.
     """
     cells = region_model_counts(register)
     if cells is None:
         return None
     columns = [
-        F.coalesce(F.sum(F.when(F.col("model") == m, F.col("n"))), F.lit(0)).alias(f"c{i}")
+        F.coalesce(F.sum(F.when(F.col("model").eqNullSafe(F.lit(m)), F.col("n"))), F.lit(0)).alias(f"c{i}")
         for i, m in enumerate(models)
     ]
     total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total")
     by_region = cells.groupBy("region").agg(*columns, total)
     grand = cells.agg(*columns, total).withColumn("region", F.lit(None).cast("string"))
-    named = [F.col(f"c{i}").alias(m) for i, m in enumerate(models)]
+    taken = {"region", "total", "is_total"}
+    named = []
+    for i, model in enumerate(models):
+        name = "unnamed" if model is None else model
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        named.append(F.col(f"c{i}").alias(name))
     return (
         by_region.withColumn("is_total", F.lit(False))
         .unionByName(grand.withColumn("is_total", F.lit(True)))
@@ -213,17 +221,14 @@ def region_model_pivot(register: Register, models: Sequence[str]) -> DataFrame |
     )
 
 
-def pivot_models(register: Register, limit: int = 10_000) -> list[str]:
+def pivot_models(register: Register) -> list[str]:
     """The models in order, as columns for the wide cross-tab.
 
-    Runs a job. Fails beyond `limit` models, which no display can hold; the long form has no
-    such bound.
+    Runs a job and holds the list on the driver, as the plan with a column per model does anyway;
+    for very many models use the long form, `region_model_cube`.
     """
-    rows = value_counts(register, "model").select("model").orderBy("model").limit(limit + 1)
-    models = [row["model"] for row in rows.collect()]
-    if len(models) > limit:
-        raise ValueError(f"more than {limit} models; use region_model_cube")
-    return models
+    rows = value_counts(register, "model").select("model").orderBy("model")
+    return [row["model"] for row in rows.collect()]
 
 
 def model_share(register: Register) -> DataFrame:

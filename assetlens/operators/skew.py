@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1_000_000
-HOT_KEYS = 10_000
 
 
 def semi_join_sliced(
@@ -17,23 +16,18 @@ def semi_join_sliced(
 ) -> DataFrame:
     """Rows whose `key` is in `counted(key, n)`, plus a `slice` column.
 
-    Keys with more than `rows_per_slice` rows are spread over n / rows_per_slice slices. The
-    list of them is broadcast: at most 10,000 pairs of hash and number, whatever the data. Keys
-    beyond that list are joined like any other in a single slice; each holds less than one
-    ten-thousandth of all rows.
+    Keys with more than `rows_per_slice` rows are spread over n / rows_per_slice slices, however
+    many such keys there are; there is at most one per `rows_per_slice` rows. Spark's own size
+    check decides how the list of them is joined.
 
     The slice of a row depends on its content and on its partition, both of which a repeated
     task finds again, so that copies of one row are spread too.
     """
     hot = (
         counted.where(F.col("n") > rows_per_slice)
-        .orderBy(F.desc("n"), key)
-        .limit(HOT_KEYS)
         .groupBy(F.xxhash64(key).alias("hot_hash"))
         .agg(F.ceil(F.max("n") / rows_per_slice).cast("int").alias("slices"))
     )
-    # At most HOT_KEYS rows of 12 bytes.
-    hot = F.broadcast(hot)
 
     def with_slices(df: DataFrame) -> DataFrame:
         return df.join(hot, F.xxhash64(key) == F.col("hot_hash"), "left").drop("hot_hash")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.errors import SheetNotFound
+from assetlens.errors import SeveralWorkbooks, SheetNotFound
 from assetlens.functions.text import without_markers
 from assetlens.operators.headers import checked_manual_row, register_table
 from assetlens.plans.register import Register
@@ -50,6 +50,8 @@ def open_workbook(
     The workbook is parsed once; its grid is kept for the results to come.
     """
     files = workbook_files(spark, path)
+    if files.select("path").limit(2).count() > 1:
+        raise SeveralWorkbooks(f"{path} holds more than one workbook; open them one by one")
     sheets = sheet_list(files).where(F.col("sheet").isNotNull()).orderBy("sheet_no").collect()
     names = [row["sheet"] for row in sheets]
     if not names or (sheet is not None and sheet not in names):

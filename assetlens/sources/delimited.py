@@ -5,7 +5,9 @@ Spark's delimited reader drops blank lines, and so shifts positions; hence lines
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetlens.session import staged
@@ -45,13 +47,27 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimited_grid(
-    spark: SparkSession, path: str, width: int, separator: str = ",", sheet: str = "Assets"
+    spark: SparkSession, path: str, separator: str = ",", sheet: str = "Assets"
 ) -> DataFrame:
-    """Files as one-sheet grids of at most `width` cells; quoted fields are understood."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": separator, "ignoreLeadingWhiteSpace": "false"}
-    fields = F.from_csv("value", F.lit(schema), options)
-    cells = F.array(*[F.nullif(fields[f"c{i}"], F.lit("")) for i in range(width)])
+    """Files as one-sheet grids, every line to its own width; quoted fields are understood.
+
+    A line that leaves a quote open is an error: what follows would be counted as further rows.
+    """
+    sep = re.escape(separator)
+    field = rf'{sep}("[^"]*(""[^"]*)*"(?={sep}|$)|[^{sep}]*)'
+    closed = F.when(
+        F.length(F.replace("value", F.lit('"'))) % 2 == F.length("value") % 2, F.col("value")
+    ).otherwise(F.raise_error(F.concat(F.lit("a quote is left open in "), "path")))
+
+    def content(found: Column) -> Column:
+        bare = F.substr(found, F.lit(len(separator) + 1))
+        inner = F.replace(F.substr(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
+        quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) > 1)
+        return F.nullif(F.when(quoted, inner).otherwise(bare), F.lit(""))
+
+    cells = F.transform(
+        F.regexp_extract_all(F.concat(F.lit(separator), closed), F.lit(field), F.lit(0)), content
+    )
     parsed = numbered_lines(spark, path).select("path", "pos", cells.alias("cells"))
     width_of = F.array_max(
         F.transform("cells", lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(F.lit(0)))

@@ -41,7 +41,7 @@ def test_grid(spark, tmp_path):
     (tmp_path / "r.csv").write_text(
         'Register printout\n\nAsset Tag,Model,User\nA1,"M, one",Ann\nA2,,\n\nA3,"say ""x""", b \n'
     )
-    rows = delimited_grid(spark, str(tmp_path / "r.csv"), width=5)
+    rows = delimited_grid(spark, str(tmp_path / "r.csv"))
     cells = {r["pos"]: r["cells"] for r in rows.collect()}
     assert cells[0] == ["Register printout"]
     assert cells[1] == [] and cells[5] == []
@@ -49,3 +49,21 @@ def test_grid(spark, tmp_path):
     assert cells[4] == ["A2"]
     assert cells[6][2] == " b "
     assert register_table(rows).first()["header_row"] == 2
+
+
+def test_lines_of_differing_width_keep_all_cells(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('A,B,C,D,E5\nx\n"a ""q"" b",,"c,d",\n,,,,,,last\n')
+    rows = delimited_grid(spark, str(tmp_path / "w.csv")).collect()
+    cells = {r["pos"]: r["cells"] for r in rows}
+    assert cells == {
+        0: ["A", "B", "C", "D", "E5"],
+        1: ["x"],
+        2: ['a "q" b', None, "c,d"],
+        3: [None] * 6 + ["last"],
+    }
+
+
+def test_an_open_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"x\ny",q,r\n')
+    with pytest.raises(Exception, match="quote is left open"):
+        delimited_grid(spark, str(tmp_path / "q.csv")).collect()

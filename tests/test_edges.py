@@ -200,10 +200,30 @@ def test_a_model_called_total_stays_a_model(spark):
     assert [x["total"] for x in wide if x["is_total"]] == [2]
 
 
-def test_too_many_models_for_the_wide_form(spark):
-    r = register(spark, ["Model", "Place"], [("a", "p"), ("b", "p")])
-    with pytest.raises(ValueError, match="region_model_cube"):
-        metrics.pivot_models(r, limit=1)
+def test_models_named_like_columns_of_the_wide_form(spark, tmp_path):
+    r = register(spark, ["Model", "Place"], [(m, "p") for m in ("M1", "region", "total", "Total", "m1")])
+    wide = metrics.region_model_pivot(r, metrics.pivot_models(r))
+    assert wide.columns == ["region", "M1", "Total_", "m1_", "region_", "total__", "total", "is_total"]
+    wide.write.parquet(str(tmp_path / "wide"))
+    assert [x["total"] for x in spark.read.parquet(str(tmp_path / "wide")).collect()] == [5, 5]
+
+
+def test_domains_of_a_typed_register(spark):
+    from assetlens.plans.register import Register
+
+    df = spark.sql("SELECT 'm' AS Model, 7 AS Site, 'IT' AS Department, DATE'2020-01-02' AS Location")
+    found = filters.filter_domains(Register.of(df)).collect()
+    assert {r["value"] for r in found} >= {"7", "IT", "2020-01-02"}
+
+
+def test_patterns_only_one_engine_takes(spark):
+    from assetlens.errors import SearchPatternError
+
+    r = register(spark, ["Model", "Place"], [("a(b", "p")])
+    with pytest.raises(SearchPatternError):
+        filters.found_in([r.col("model")], "(?P<n>a)")
+    hits = r.df.where(filters.found_in([r.col("model")], "A(B", regex=False))
+    assert hits.count() == 1
 
 
 def test_ties_go_by_value(spark):

@@ -55,3 +55,16 @@ def test_copies_are_spread(hot):
     assert len(sizes) == 10 and max(sizes.values()) <= 1000
     # Cold keys are left in one slice.
     assert joined.where("asset_tag like 't%' and slice > 0").count() == 0
+
+
+def test_every_hot_key_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from assetlens.operators.skew import semi_join_sliced
+
+    keys = 10_500
+    rows = spark.range(keys * 6).select((F.col("id") % keys).cast("string").alias("k"), "id")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"))
+    found = semi_join_sliced(rows, counted, "k", rows_per_slice=2)
+    slices = found.groupBy("k").agg(F.countDistinct("slice").alias("s"), F.count("*").alias("n"))
+    assert slices.where("n = 6 AND s > 1").count() > 0.95 * keys and found.count() == keys * 6
