@@ -21,8 +21,11 @@ FEW = 4
 #: Of the tokens counted that often, at most so many are demoted, the most frequent ones.
 MOST_DEMOTED = 1 << 20
 ROUNDS = 2
+#: Linked sets must have one first token in common, and one more for so many tokens they have.
+TOKENS_PER_COMMON = 20
 SLOTS = 24
-CANDIDATE_BITS = 26
+#: Bits of the tables that tell which tokens and sets may matter: 16 MB each.
+TABLE_BITS = 27
 FLUSH_BYTES = 4 << 20
 
 
@@ -35,13 +38,18 @@ def needed(n: int, per_cent: int) -> int:
     return -(-per_cent * n // 100)
 
 
+def common(n: int) -> int:
+    return 1 + n // TOKENS_PER_COMMON
+
+
 def first_tokens(tokens: np.ndarray, per_cent: int, demoted: np.ndarray | None) -> np.ndarray:
-    """The tokens of which any linked set has one: as many as may be missing, and one.
+    """As many tokens as may be missing, and `common(n)` more: so many any linked set has among its own.
 
+    Of two sizes the smaller number holds, as each set's first tokens include those for it.
     They come first in the order of (times demoted, hash). Any order finds all links, as long as
     it is the same for all sets; one with frequent tokens last finds few others.
     """
-    count = len(tokens) - needed(len(tokens), per_cent) + 1
+    count = len(tokens) - needed(len(tokens), per_cent) + common(len(tokens))
     if demoted is None:
         return tokens[:count]
     level = demoted[tokens >> np.uint64(64 - SLOTS)]
@@ -86,16 +94,28 @@ ADDRESS = pa.field("cls", pa.binary())
 TOKENS = pa.field("tokens", pa.list_(pa.int64()))
 
 
-def firsts(texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray | None) -> DataFrame:
-    """cls and first tokens of each set."""
-    order = None if demoted is None else texts.sparkSession.sparkContext.broadcast(demoted)
+def firsts(
+    texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray | None, table: np.ndarray | None = None
+) -> DataFrame:
+    """cls and first tokens of each set; with `table` only those tokens that it holds."""
+    hints = texts.sparkSession.sparkContext.broadcast((demoted, table))
 
-    def make(address: bytes, tokens: np.ndarray) -> tuple:
-        return address, first_tokens(tokens, per_cent, order and order.value)
+    def make(address: bytes, tokens: np.ndarray) -> tuple | None:
+        demoted, table = hints.value
+        some = first_tokens(tokens, per_cent, demoted)
+        if table is not None:
+            some = some[held(table, some)]
+        return (address, some) if len(some) else None
 
     return texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
 
 
+def token_counts(texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray | None) -> DataFrame:
+    """How many sets have each token among their first (more, if tasks share copies of a set)."""
+    found = firsts(texts, size, per_cent, demoted).select(F.explode("tokens").alias("token"))
+    return found.groupBy("token").agg(F.count("*").alias("n"))
+
+
 def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
     """How late tokens come in the order, by the top bits of their hash: a table of fixed size, 16 MB.
 
@@ -105,8 +125,7 @@ def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
     """
     demoted = None
     for _ in range(ROUNDS):
-        found = firsts(texts, size, per_cent, demoted).select(F.explode("tokens").alias("token"))
-        counts = found.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > FEW)
+        counts = token_counts(texts, size, per_cent, demoted).filter(F.col("n") > FEW)
         level = F.floor(F.log2("n")).cast("int").alias("level")
         counts = frames.staged(counts.select("token", level), "frequent")
         at_level = counts.groupBy("level").count().orderBy(F.desc("level")).collect()
@@ -191,26 +210,29 @@ def verified(per_cent: int):
 
 
 def members(group: pa.ListScalar) -> list[tuple[bytes, np.ndarray]]:
-    if not group.is_valid:
-        return []
-    held = group.values
-    names, sets = held.field("cls"), held.field("tokens")
-    return [(names[k].as_py(), sets[k].values.to_numpy().view(np.uint64)) for k in range(len(held))]
+    rows = group.values
+    names, sets = rows.field("cls"), rows.field("tokens")
+    return [(names[k].as_py(), sets[k].values.to_numpy().view(np.uint64)) for k in range(len(rows))]
 
 
-def candidate_slots(classes: DataFrame) -> np.ndarray:
-    """A bit per slot of addresses: 8 MB, however many addresses."""
-    slot = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("bigint") % (1 << CANDIDATE_BITS) + 1
+def bit_table(numbers: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each of the numbers in the one column: 16 MB, however many numbers."""
+    slot = F.pmod(F.col(numbers.columns[0]), F.lit(1 << TABLE_BITS)) + 1
     rows = (
-        classes.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
+        numbers.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
         .collect()
     )
-    bits = np.zeros(1 << CANDIDATE_BITS, dtype=bool)
+    table = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
     for row in rows:
-        part = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little").astype(bool)
-        bits[(row.bucket - 1) * 32768 :][:32768] = part
-    return np.packbits(bits)
+        table[(row.bucket - 1) * 4096 :][:4096] = np.frombuffer(bytes(row.bits), np.uint8)
+    return table
+
+
+def held(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers may be in the table; all that are, and few others while it is sparse."""
+    slot = numbers & np.uint64((1 << TABLE_BITS) - 1)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def similar_groups(
@@ -225,8 +247,9 @@ def similar_groups(
     1. Equal sets are one class; all else works on classes. Classes with the same smallest token
        and about the same size make a group, cut by the classes' address where it is large.
     2. The matrix has a cell per group and token that comes first in one of its sets. Groups
-       with a cell of the same token, and sizes that allow a link, are candidates.
-    3. Sets of candidate groups are read once more; a bit table of fixed size spares the others.
+       with enough cells of the same tokens, and sizes that allow a link, are candidates.
+       Bit tables of fixed size spare tokens that no other set has among its first.
+    3. Sets of candidate groups are read once more; a bit table spares the others.
        Each pair of candidate groups meets in one row, where the union of one bounds
        the overlap with each set of the other before its sets are compared, exactly.
     4. Spanning links of each pair of groups give the components.
@@ -255,39 +278,43 @@ def similar_groups(
         ),
         "groups",
     )
-    found = firsts(texts, size, per_cent, demotions(texts, size, per_cent))
+    demoted = demotions(texts, size, per_cent)
+    shared = bit_table(token_counts(texts, size, per_cent, demoted).filter("n > 1").select("token"))
+    found = firsts(texts, size, per_cent, demoted, shared)
     cells = frames.staged(
         found.join(grouped, "cls").select("group", "band", F.explode("tokens").alias("token")).distinct(), "matrix"
     )
-    shared = cells.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).filter("g < h")
-    live = frames.staged(cells.join(frames.staged(shared.select("token"), "shared"), "token"), "live")
-    one, two = live.alias("one"), live.alias("two")
+    one, two = cells.alias("one"), cells.alias("two")
+    # All sets of a group are at least as large as its band begins.
+    smaller = F.floor(F.exp(F.least("one.band", "two.band") * width) * (1 - 1e-9))
     pairs = one.join(
         two,
         (F.col("one.token") == F.col("two.token")) & (F.col("one.group") < F.col("two.group"))
         & (F.abs(F.col("one.band") - F.col("two.band")) <= 1),
-    ).select(F.col("one.group").alias("a"), F.col("two.group").alias("b")).distinct()
+    ).groupBy(F.col("one.group").alias("a"), F.col("two.group").alias("b")).agg(
+        F.count("*").alias("n"), F.min(smaller).alias("smaller")
+    ).filter(F.col("n") >= 1 + F.floor(F.col("smaller") / TOKENS_PER_COMMON)).select("a", "b")
     pairs = frames.staged(pairs, "pairs")
     inner = grouped.groupBy("group").agg(F.count("*").alias("sets")).filter("sets > 1").select("group")
-    opened = frames.staged(pairs.select(F.col("a").alias("group")).union(pairs.select("b")).union(inner).distinct(), "opened")
-    wanted = frames.staged(grouped.join(opened, "group").select("group", "cls"), "wanted")
-    table = docs.sparkSession.sparkContext.broadcast(candidate_slots(wanted))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("group")).union(
+        inner.select(F.col("group").alias("a"), F.col("group").alias("b"), "group")
+    )
+    ends = frames.staged(ends, "ends")
+    wanted = frames.staged(grouped.join(ends.select("group").distinct(), "group").select("group", "cls"), "wanted")
+    address = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("bigint")
+    opened = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(address.alias("number"))))
 
     def make(address: bytes, tokens: np.ndarray) -> tuple | None:
-        slot = int.from_bytes(address[:4], "big") & ((1 << CANDIDATE_BITS) - 1)
-        return (address, tokens) if table.value[slot >> 3] >> (7 - (slot & 7)) & 1 else None
+        number = np.array([int.from_bytes(address[:4], "big")], dtype=np.uint64)
+        return (address, tokens) if held(opened.value, number)[0] else None
 
     sets = texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
-    sets = sets.join(wanted, "cls").groupBy("group", "cls").agg(F.any_value("tokens").alias("tokens"))
-    blobs = frames.staged(sets.groupBy("group").agg(F.collect_list(F.struct("cls", "tokens")).alias("sets")), "opened-sets")
-    between = (
-        pairs.join(blobs.select(F.col("group").alias("a"), F.col("sets").alias("left")), "a")
-        .join(blobs.select(F.col("group").alias("b"), F.col("sets").alias("right")), "b")
-        .select("left", "right")
+    sets = sets.groupBy("cls").agg(F.any_value("tokens").alias("tokens")).join(wanted, "cls")
+    meeting = sets.join(ends, "group").groupBy("a", "b").agg(
+        F.collect_list(F.when(F.col("group") == F.col("a"), F.struct("cls", "tokens"))).alias("left"),
+        F.collect_list(F.when(F.col("group") != F.col("a"), F.struct("cls", "tokens"))).alias("right"),
     )
-    within = blobs.filter("size(sets) > 1").select(F.col("sets").alias("left"), F.lit(None).cast(blobs.schema["sets"].dataType).alias("right"))
-    check = verified(per_cent)
-    links = between.mapInArrow(check, "a binary, b binary, n bigint").union(within.mapInArrow(check, "a binary, b binary, n bigint"))
+    links = meeting.select("left", "right").mapInArrow(verified(per_cent), "a binary, b binary, n bigint")
     links = frames.staged(links, "links")
     forest = components(links.filter("b IS NOT NULL").select("a", "b"))
     named = classes.join(forest.withColumnRenamed("node", "cls"), "cls")
@@ -306,6 +333,21 @@ def similar_groups(
     )
 
 
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """The rows of `docs` but for near duplicates, with the columns of `docs`.
+
+    Of each component one row stays: one with the smallest id, and of several such rows the first
+    by number. Rows without words are no duplicates of anything and all stay. Rows get their
+    number when they are written once, are decided on without their texts, and texts of those that
+    stay move once.
+    """
+    rows = frames.staged(frames.numbered(docs.select(F.struct("*").alias("row"))), "dedup-docs")
+    text = F.col(f"row.`{text_col}`").alias("text")
+    found = similar_groups(rows.select(F.struct(F.col(f"row.`{id_col}`").isNull().alias("missing"), F.col(f"row.`{id_col}`").alias("id"), "marker").alias("place"), text), "place", "text", **rule)
+    stay = found.filter(F.col("place") == F.col("component_id")).select(F.col("place.marker").alias("marker"))
+    return rows.join(frames.staged(stay, "dedup-stay"), "marker", "left_semi").select("row.*")
+
+
 def addressed(rows: DataFrame, size: int) -> DataFrame:
     """id, n, cls (the set's address, null if empty) and low (its smallest token) of each row."""
 
