@@ -235,10 +235,78 @@ def held(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def in_groups(classes: DataFrame) -> DataFrame:
+    """cls, n, band, comp and group of each class (with `root`, of a component known so far, or null).
+
+    Classes of one component and about the same size make a group; so do classes of none that have
+    the same smallest token. Large ones are cut by the classes' address.
+    """
+    keys = ["comp", "near", "band"]
+    classes = classes.withColumn("comp", F.when(F.col("root").isNotNull(), F.xxhash64("root")))
+    classes = classes.withColumn("near", F.when(F.col("root").isNull(), F.col("low")))
+    large = classes.groupBy(*keys).agg(F.sum("n").alias("total")).filter(F.col("total") > GROUP_TOKENS)
+    large = frames.staged(large.select(*keys, F.ceil(F.col("total") / GROUP_TOKENS).alias("slices")), "large").alias("large")
+    same = [F.col(f"classes.{k}").eqNullSafe(F.col(f"large.{k}")) for k in keys]
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("slices", F.lit(1)))
+    joined = classes.alias("classes").join(large, same, "left").select("classes.*", part.alias("part"))
+    return frames.staged(joined.select("cls", "n", "band", "comp", F.xxhash64(*keys, "part").alias("group")), "groups")
+
+
+def opened_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """cls and tokens of the classes in `wanted`, read from the texts; a bit table spares most others."""
+    address = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("bigint")
+    opened = texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select(address.alias("number"))))
+
+    def make(address: bytes, tokens: np.ndarray) -> tuple | None:
+        number = np.array([int.from_bytes(address[:4], "big")], dtype=np.uint64)
+        return (address, tokens) if held(opened.value, number)[0] else None
+
+    sets = texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
+    return sets.groupBy("cls").agg(F.any_value("tokens").alias("tokens"))
+
+
+def enough_cells(cells: DataFrame, width: float, keys: list[str], bands: tuple[str, str]) -> DataFrame:
+    """`keys` of joined cells that have as many tokens in common as linked sets of these bands must."""
+    # All sets of a group are at least as large as its band begins.
+    smaller = F.floor(F.exp(F.least(*bands) * width) * (1 - 1e-9))
+    found = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.min(smaller).alias("smaller"))
+    return found.filter(F.col("n") >= 1 + F.floor(F.col("smaller") / TOKENS_PER_COMMON)).select(*keys)
+
+
+def met(sets: DataFrame, keys: list[str], per_cent: int) -> DataFrame:
+    """Links of the sets (`keys`, cls, tokens, side 0 or 1) that meet under the same keys."""
+    listed = [F.collect_list(F.when(F.col("side") == k, F.struct("cls", "tokens"))).alias(f"side_{k}") for k in (0, 1)]
+    meeting = sets.groupBy(*keys).agg(*listed).select("side_0", "side_1")
+    return frames.staged(meeting.mapInArrow(verified(per_cent), "a binary, b binary, n bigint"), "links")
+
+
+def through_hubs(texts: DataFrame, found: DataFrame, grouped: DataFrame, size: int, per_cent: int, width: float) -> DataFrame:
+    """node and root of components that links with hubs show; there may be more links.
+
+    Hubs of a token are the sets with the smallest and the largest address that have it among their
+    first tokens. Each hub meets the groups it has enough cells in common with, so the work grows
+    with the number of cells. A cluster of sets that are all alike becomes one component, without
+    the pairs of its groups.
+    """
+    cells = found.join(grouped, "cls").select("cls", "group", "band", F.explode("tokens").alias("token"))
+    both = F.array(*[f(F.struct("cls", "band")) for f in (F.min, F.max)])
+    hubs = cells.groupBy("token").agg(both.alias("hubs"), F.count("*").alias("n")).filter("n > 1")
+    hubs = frames.staged(hubs.select("token", F.explode(F.array_distinct("hubs")).alias("hub")), "hubs")
+    hubs = hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.band").alias("hub_band"))
+    shared = cells.select("group", "band", "token").distinct().join(hubs, "token").filter("abs(band - hub_band) <= 1")
+    ends = frames.staged(enough_cells(shared, width, ["hub", "group"], ("band", "hub_band")), "hub-ends")
+    wanted = grouped.join(ends.select("group").distinct(), "group", "left_semi").select("cls").union(ends.select("hub"))
+    sets = frames.staged(opened_sets(texts, size, frames.staged(wanted.distinct(), "hub-wanted")), "hub-sets")
+    one = ends.join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", "group", F.col("hub").alias("cls"), "tokens", F.lit(0).alias("side"))
+    two = sets.join(grouped.select("cls", "group"), "cls").join(ends, "group").select("hub", "group", "cls", "tokens", F.lit(1).alias("side"))
+    return components(met(one.union(two), ["hub", "group"], per_cent).filter("b IS NOT NULL").select("a", "b"))
+
+
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, per_cent: int = 90
-) -> DataFrame:
-    """Per row of `docs`: id, n_shingles, component_id, n_links, set_id.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, per_cent: int = 90,
+    count_links: bool = True,
+) -> DataFrame:
+    """Per row of `docs`: id, n_shingles, component_id, set_id and, with `count_links`, n_links.
 
     A text's set holds its distinct shingles of `size` words, A-Z as a-z; of fewer words, the whole
     sequence. Two sets link when 100 * intersection >= per_cent * union. component_id is the
@@ -254,6 +322,11 @@ def similar_groups(
        the overlap with each set of the other before its sets are compared, exactly.
     4. Spanning links of each pair of groups give the components.
 
+    To count links, all candidate groups must meet, and a cluster of similar sets has pairs of groups
+    by the square. Components don't need that: without `count_links`, links with hubs are found
+    first, the sets of a component found so make groups of their own, and only groups that aren't of
+    one component meet. The components are the same.
+
     Texts without words, missing ones included, have no shingles and are alone. A missing id is
     passed over by the minimum; a component without ids has none. Repeated rows are one class. An
     empty table gives an empty one; further columns are not read.
@@ -267,68 +340,51 @@ def similar_groups(
         rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min("id").alias("min_id")).select("*", band),
         "classes",
     )
-    large = (
-        classes.groupBy("low", "band").agg(F.sum("n").alias("total")).filter(F.col("total") > GROUP_TOKENS)
-        .select("low", "band", F.ceil(F.col("total") / GROUP_TOKENS).alias("slices"))
-    )
-    part = F.pmod(F.xxhash64("cls"), F.coalesce("slices", F.lit(1)))
-    grouped = frames.staged(
-        classes.join(frames.staged(large, "large"), ["low", "band"], "left").select(
-            "cls", "n", "band", F.xxhash64("low", "band", part).alias("group")
-        ),
-        "groups",
-    )
+    grouped = in_groups(classes.withColumn("root", F.lit(None).cast("binary")))
     demoted = demotions(texts, size, per_cent)
     shared = bit_table(token_counts(texts, size, per_cent, demoted).filter("n > 1").select("token"))
     found = firsts(texts, size, per_cent, demoted, shared)
+    known = None
+    if not count_links:
+        found = frames.staged(found, "firsts")
+        known = frames.staged(through_hubs(texts, found, grouped, size, per_cent, width), "hub-components")
+        grouped = in_groups(classes.join(known.withColumnRenamed("node", "cls"), "cls", "left"))
     cells = frames.staged(
-        found.join(grouped, "cls").select("group", "band", F.explode("tokens").alias("token")).distinct(), "matrix"
+        found.join(grouped, "cls").select("group", "band", "comp", F.explode("tokens").alias("token")).distinct(), "matrix"
     )
     one, two = cells.alias("one"), cells.alias("two")
-    # All sets of a group are at least as large as its band begins.
-    smaller = F.floor(F.exp(F.least("one.band", "two.band") * width) * (1 - 1e-9))
+    apart = F.coalesce(F.col("one.comp") != F.col("two.comp"), F.lit(True))
     pairs = one.join(
         two,
         (F.col("one.token") == F.col("two.token")) & (F.col("one.group") < F.col("two.group"))
-        & (F.abs(F.col("one.band") - F.col("two.band")) <= 1),
-    ).groupBy(F.col("one.group").alias("a"), F.col("two.group").alias("b")).agg(
-        F.count("*").alias("n"), F.min(smaller).alias("smaller")
-    ).filter(F.col("n") >= 1 + F.floor(F.col("smaller") / TOKENS_PER_COMMON)).select("a", "b")
-    pairs = frames.staged(pairs, "pairs")
-    inner = grouped.groupBy("group").agg(F.count("*").alias("sets")).filter("sets > 1").select("group")
+        & (F.abs(F.col("one.band") - F.col("two.band")) <= 1) & apart,
+    ).select(F.col("one.group").alias("a"), F.col("two.group").alias("b"), F.col("one.band").alias("band_a"), F.col("two.band").alias("band_b"))
+    pairs = frames.staged(enough_cells(pairs, width, ["a", "b"], ("band_a", "band_b")), "pairs")
+    owner = F.coalesce("comp", F.xxhash64("cls"))
+    inner = grouped.groupBy("group").agg(F.min(owner).alias("least"), F.max(owner).alias("most")).filter("least != most")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("group")).union(
         inner.select(F.col("group").alias("a"), F.col("group").alias("b"), "group")
     )
     ends = frames.staged(ends, "ends")
     wanted = frames.staged(grouped.join(ends.select("group").distinct(), "group").select("group", "cls"), "wanted")
-    address = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("bigint")
-    opened = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(address.alias("number"))))
-
-    def make(address: bytes, tokens: np.ndarray) -> tuple | None:
-        number = np.array([int.from_bytes(address[:4], "big")], dtype=np.uint64)
-        return (address, tokens) if held(opened.value, number)[0] else None
-
-    sets = texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
-    sets = sets.groupBy("cls").agg(F.any_value("tokens").alias("tokens")).join(wanted, "cls")
-    meeting = sets.join(ends, "group").groupBy("a", "b").agg(
-        F.collect_list(F.when(F.col("group") == F.col("a"), F.struct("cls", "tokens"))).alias("left"),
-        F.collect_list(F.when(F.col("group") != F.col("a"), F.struct("cls", "tokens"))).alias("right"),
-    )
-    links = meeting.select("left", "right").mapInArrow(verified(per_cent), "a binary, b binary, n bigint")
-    links = frames.staged(links, "links")
-    forest = components(links.filter("b IS NOT NULL").select("a", "b"))
+    sets = opened_sets(texts, size, wanted).join(wanted, "cls").join(ends, "group")
+    links = met(sets.select("a", "b", "cls", "tokens", (F.col("group") != F.col("a")).cast("int").alias("side")), ["a", "b"], per_cent)
+    spanning = links.filter("b IS NOT NULL").select("a", "b")
+    forest = components(spanning if known is None else spanning.union(known.select("node", "root")))
     named = classes.join(forest.withColumnRenamed("node", "cls"), "cls")
     smallest = named.groupBy("root").agg(F.min("min_id").alias("component"))
     placed = named.select("cls", "root").join(smallest, "root").select("cls", "component")
-    degrees = links.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_links"))
-    results = classes.join(placed, "cls", "left").join(degrees, "cls", "left").select(
-        "cls", F.coalesce("component", "min_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    results = classes.join(placed, "cls", "left").select("cls", F.coalesce("component", "min_id").alias("component_id"))
+    extra = []
+    if count_links:
+        degrees = links.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_links"))
+        results = results.join(degrees, "cls", "left")
+        extra = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     return rows.join(frames.staged(results, "class-results"), "cls", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *extra,
         F.lower(F.hex("cls")).alias("set_id"),
     )
 
@@ -343,7 +399,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = frames.staged(frames.numbered(docs.select(F.struct("*").alias("row"))), "dedup-docs")
     text = F.col(f"row.`{text_col}`").alias("text")
-    found = similar_groups(rows.select(F.struct(F.col(f"row.`{id_col}`").isNull().alias("missing"), F.col(f"row.`{id_col}`").alias("id"), "marker").alias("place"), text), "place", "text", **rule)
+    found = similar_groups(rows.select(F.struct(F.col(f"row.`{id_col}`").isNull().alias("missing"), F.col(f"row.`{id_col}`").alias("id"), "marker").alias("place"), text), "place", "text", count_links=False, **rule)
     stay = found.filter(F.col("place") == F.col("component_id")).select(F.col("place.marker").alias("marker"))
     return rows.join(frames.staged(stay, "dedup-stay"), "marker", "left_semi").select("row.*")
 

@@ -63,6 +63,10 @@ def check(docs, size, per_cent):
             want[(r.doc_id, 0, r.doc_id, 0)] += 1
     found = ngram_join.similar_groups(docs, size=size, per_cent=per_cent).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found) == want
+    found = ngram_join.similar_groups(docs, size=size, per_cent=per_cent, count_links=False).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter(
+        k[:3] for k in want.elements()
+    )
     return len(links)
 
 
