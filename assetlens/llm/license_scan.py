@@ -131,19 +131,14 @@ def license_scan(
     """
     known = frames.staged(digest_table(licenses), "licenses")
     longest = known.agg(F.max("length")).first()[0] or 0
-    text = F.col(text_col)
-    units = canonical(
-        F.concat(F.array(frames.whole(text)), F.split(frames.whole(text), "\n"))
-    )
-    digests = F.transform(
-        units, lambda t, at: F.when((at == 0) | F.length(t).between(1, 2 * longest), digest(t))
-    )
+    lines = canonical(F.split(frames.whole(F.col(text_col)), "\n"))
+    # Copyright lines end with their line and marks become spaces, so a text is its lines, joined.
+    whole = F.array_join(F.filter("lines", lambda t: t != ""), " ")
+    digests = F.transform("lines", lambda t: F.when(F.length(t).between(1, 2 * longest), digest(t)))
     rows = frames.staged(
         frames.numbered(
-            docs.select(F.col(id_col).alias("id"), digests.alias("digests")).select(
-                "id",
-                F.col("digests")[0].alias("digest"),
-                F.array_distinct(F.array_compact(F.expr("slice(digests, 2, size(digests))"))).alias("lines"),
+            docs.select(F.col(id_col).alias("id"), lines.alias("lines")).select(
+                "id", digest(whole).alias("digest"), F.array_distinct(F.array_compact(digests)).alias("lines")
             )
         ),
         "license-rows",
