@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -170,6 +172,50 @@ def test_whole_license(spark):
     assert got == {1: name, 2: None}
 
 
+def found_licenses(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = license_scan.license_scan(docs, license_scan.known_licenses(spark)).collect()
+    return {r.doc_id: (r.license, r.notices) for r in rows}
+
+
+def test_full_licenses(spark):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    names = sorted(p.stem for p in folder.iterdir())
+    assert names == sorted(license_scan.FULL) and {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} < set(names)
+    texts = [(folder / f"{name}.txt").read_text() for name in names]
+    # As a comment, and wrapped anew within paragraphs but for copyright lines.
+    wrap = lambda p: textwrap.indent(p, "# ") if re.search(r"(?i)copyright \(c\)", p) else textwrap.fill(p, 61, initial_indent="# ", subsequent_indent="# ")
+    wrapped = ["\n\n".join(map(wrap, t.split("\n\n"))) for t in texts]
+    got = found_licenses(spark, texts + wrapped)
+    assert [got[k][0] for k in range(2 * len(names))] == names + names
+
+
+def test_license_variants(spark):
+    apache = (Path(license_scan.__file__).parent / "licenses/Apache-2.0.txt").read_text()
+    cases = [
+        (license_scan.MIT_TERMS, "MIT"),
+        (f"The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n{license_scan.MIT_TERMS}", "MIT"),
+        (license_scan.KNOWN[4][1].replace("BSD 3-Clause License. ", "").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause"),
+        (apache[: apache.index("END OF TERMS")], "Apache-2.0"),
+        (apache[: apache.index("   APPENDIX")], "Apache-2.0"),
+        (license_scan.MIT_TERMS[:-30], None),
+    ]
+    got = found_licenses(spark, [text for text, _ in cases])
+    assert [got[k][0] for k in range(len(cases))] == [name for _, name in cases]
+
+
+def test_standard_notices(spark):
+    lines = {
+        '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file': "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-or-later\ncode": "GPL-2.0",
+        "x\n/* SPDX-License-Identifier: AGPL-3.0-only */\ny": "AGPL-3.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicence, v. 2.0.": None,
+        "LICENCED under the MIT licence\nbody": "MIT",
+    }
+    got = found_licenses(spark, list(lines))
+    assert [got[k][1] for k in range(len(lines))] == list(lines.values())
+
+
 def test_empty_exact(nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
 
