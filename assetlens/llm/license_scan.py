@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from importlib.resources import files
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,10 +191,37 @@ def tags() -> set[tuple[str, str]]:
     }
 
 
-#: Lines that name a year and holder, or reserve rights, and what separates words.
-NOTICE = r"(^|\n)[\t #*/;.-]*((copyright|\(c\)|©)[\t ]*)+([0-9]{4}|<year>|\[year\]|\[yyyy\])[^\n]*"
-RIGHTS = r"(^|\n)[\t #*/;.-]*all rights reserved[.]?[\t ]*"
-MARKS = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+#: Spaces, and what may stand before a notice in its line.
+GAP = r"[\p{Z}\t]"
+LEAD = r"(?:^|\n)[\p{P}\p{S}\p{Z}\t]*?"
+YEAR = r"(?:[0-9]{4}|19yy|[<\[{]year[>\]}]|[<\[{]yyyy[>\]}])"
+SIGN = r"(?:\(c\)|©|&copy;)"
+#: Words that follow "copyright" in sentences of licences; any others are a holder's.
+NO_HOLDER = (
+    r"(?:also|and|are|as|be|been|can|claims?|disclaimers?|doctrines?|does|for|from|has|have|holders?|if|in|including|infringements?"
+    r"|interests?|is|laws?|licen[cs]\w*|lines?|may|must|not|notices?|of|on|only|or|owners?|ownership|permissions?|protections?"
+    r"|registrations?|resulting|rights?|shall|should|statements?|such|than|that|then|these|this|those|to|treat\w+|under|was|were"
+    r"|which|will|with|without"
+    r"|the[\p{Z}\t]+(?:software|library|librar\w+|programs?|work|works|code|document|package))(?![\p{L}\p{N}])"
+)
+#: Sentences about a licence that may follow the holder on the same line.
+TERMS = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:dual[- ])?licen[cs]ed|released|distributed|published|provided|made{GAP}+available|available|subject){GAP}+(?:under|to)"
+    rf"|permission{GAP}+(?:is|to)|redistribution{GAP}+(?:and|of)|everyone{GAP}+is{GAP}+permitted|(?:use|usage){GAP}+of{GAP}+this"
+    rf"|this{GAP}+(?:\w+{GAP}+){{1,3}}(?:is|may|are)(?![\p{{L}}\p{{N}}])|the{GAP}+(?:software|work|program|code|asf){GAP}+(?:is|licen[cs]es)"
+    rf"|spdx-licen[cs]e-identifier|mit{GAP}+licen[cs]e|apache{GAP}+licen[cs]e)"
+)
+#: Lines that name the holder of a copyright, with or without a year, up to a licence's sentence.
+NOTICE = (
+    rf"{LEAD}(?:(?:copyright[\p{{Z}}\t:,-]*)?(?:©|&copy;)|copyright[\p{{Z}}\t:,-]*{SIGN}|\(c\){GAP}*copyright(?![\p{{L}}\p{{N}}])"
+    rf"|(?:copyright|\(c\))[\p{{Z}}\t:,-]*{YEAR}|\(c\)(?=[^\n]*all{GAP}rights{GAP}reserved)"
+    rf"|copyright(?:{GAP}*:{GAP}*|{GAP})(?>{GAP}*)(?!{NO_HOLDER})(?=[\p{{L}}<\[{{]))"
+    rf"[^\n]*?(?={TERMS}|\n|\z)"
+)
+RIGHTS = rf"{LEAD}all{GAP}+rights{GAP}+reserved[.]?{GAP}*"
+#: What separates words: all but letters, digits and marks on letters, in ASCII texts and in others.
+ASCII_MARKS = r"[^0-9a-z]+"
+MARKS = r"[^0-9a-z\p{L}\p{M}\p{N}\p{Cs}\p{Co}\p{Cn}]+"
 
 
 def respelled(text: Column) -> Column:
@@ -206,13 +235,27 @@ def respelled(text: Column) -> Column:
 def canonical(texts: Column) -> Column:
     """The canonical form of each text of an array, before spellings.
 
-    Lower case; no copyright lines; what is neither letter nor digit is one space. A step at a
-    time, so that each is computed once.
+    Lower case; no copyright lines, with or without a year, but for a licence's sentence on them;
+    what is neither letter nor digit, in ASCII or beyond it, is one space. A step at a time, so
+    that each is computed once; patterns are tried only where a word of theirs is.
     """
     texts = F.transform(texts, frames.ascii_lower)
-    texts = F.transform(texts, lambda t: F.regexp_replace(t, NOTICE, "\n"))
-    texts = F.transform(texts, lambda t: F.regexp_replace(t, RIGHTS, "\n"))
-    return F.transform(texts, lambda t: F.trim(F.regexp_replace(t, MARKS, " ")))
+    signs = [F.lit(sign) for sign in ("copyright", "(c)", "©", "&copy;")]
+    texts = F.transform(
+        texts,
+        lambda t: F.when(reduce(or_, [F.contains(t, sign) for sign in signs]), F.regexp_replace(t, NOTICE, "\n")).otherwise(t),
+    )
+    texts = F.transform(
+        texts, lambda t: F.when(F.contains(t, F.lit("reserved")), F.regexp_replace(t, RIGHTS, "\n")).otherwise(t)
+    )
+    return F.transform(
+        texts,
+        lambda t: F.trim(
+            F.when(F.length(t) == F.octet_length(t), F.regexp_replace(t, ASCII_MARKS, " ")).otherwise(
+                F.regexp_replace(t, MARKS, " ")
+            )
+        ),
+    )
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:

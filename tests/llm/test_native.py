@@ -204,6 +204,59 @@ def test_license_variants(spark):
     assert [got[k][0] for k in range(len(cases))] == [name for _, name in cases]
 
 
+def test_copyright_lines(spark):
+    heads = [
+        "Copyright (c) Microsoft Corporation.",
+        "Copyright (c) Facebook, Inc. and its affiliates.",
+        "Copyright: 2020 X",
+        "Copyright: A. Person <a@b.example>",
+        "Copyright Microsoft Corporation",
+        "Copyright The Foo Authors. All rights reserved.",
+        "© A. Person",
+        "(c) Microsoft Corporation. All rights reserved.",
+        "\u00a9\u00a02020\u00a0\u2014 A. Person",
+        "Copyright\u00a0(c)\u00a02020 A",
+    ]
+    got = found_licenses(spark, [f"MIT License\n\n{head}\n\n{license_scan.MIT_TERMS}" for head in heads])
+    assert got == {k: ("MIT", "MIT") for k in range(len(heads))}
+
+
+def test_licence_after_copyright(spark):
+    lines = {
+        "Copyright 2020 The Foo Authors. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "# Copyright (c) Foo, Inc. All rights reserved. Released under the MIT License.": "MIT",
+        "Copyright 2020 X \u2014 SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        f"Copyright (c) 2020 X. {license_scan.MIT_TERMS}": "MIT",
+        "Copyright 2020 Released Software Ltd.": None,
+    }
+    got = found_licenses(spark, list(lines))
+    assert [got[k] for k in range(len(lines))] == [(name, name) for name in lines.values()]
+
+
+def test_unicode_marks(spark):
+    mit = license_scan.MIT_TERMS
+    typed = [
+        mit.replace('"AS IS"', "\u201cAS IS\u201d"),
+        mit.replace(", free of charge,", "\u2014free of charge\u2014"),
+        mit.replace(" ", "\u00a0"),
+        "\ufeff\u2022 " + mit.replace("Software", "Soft\u00e9ware", 1),
+        "\ufeff\u2022 " + mit,
+    ]
+    got = found_licenses(spark, typed)
+    assert [got[k][0] for k in range(5)] == ["MIT", "MIT", "MIT", None, "MIT"]
+
+
+def test_sentences_on_copyright_stay(spark):
+    """Lines of licences that begin with "copyright" or "(c)" name no holder, however they are wrapped."""
+    name, bsd = license_scan.KNOWN[4]
+    texts = [re.sub(r"(?i) (?=copyright|notice|holder|owner)", "\n", bsd), re.sub(r"(?i) (?=copyright)", "\n", bsd)]
+    apache = (Path(license_scan.__file__).parent / "licenses/Apache-2.0.txt").read_text()
+    gpl = (Path(license_scan.__file__).parent / "licenses/GPL-3.0.txt").read_text()
+    texts += [re.sub(r"(?i) (?=copyright(?! \(c\)| \[| owner\])|\(c\) y)", "\n", t) for t in (apache, gpl)]
+    got = found_licenses(spark, texts)
+    assert [got[k][0] for k in range(4)] == [name, name, "Apache-2.0", "GPL-3.0"]
+
+
 def test_standard_notices(spark):
     lines = {
         '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file': "Apache-2.0",
