@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,12 @@ from assetlens.llm.ngram_join import bit_table, held
 
 TILE_WORDS = 5
 COVERAGE = 0.8
+#: Items of fewer words have shorter tiles: one changed word takes up to a tile's length from the
+#: covered ones, which for longer items leaves COVERAGE.
+SHORT_ITEM = 25
+SHORT_TILE = 3
+#: Punctuation, symbols, spaces and controls beyond ASCII; no letters, digits or marks on them.
+MARKS = r"[^\x00-\x7f\p{L}\p{M}\p{N}\p{Cs}\p{Co}\p{Cn}]+"
 
 
 def runs(places: np.ndarray, seeds: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -113,7 +120,8 @@ def seeded(least: int, table):
 
 def with_seeds(rows: DataFrame, least: int, table=None) -> DataFrame:
     """key, id, words, places and seeds of rows (id, text); seeds are hashes of `least` words."""
-    read = rows.select(F.unhex(F.sha2("text", 256)).alias("key"), "text", "id")
+    spaced = F.when(F.length("text") == F.octet_length("text"), F.col("text")).otherwise(F.regexp_replace("text", MARKS, " "))
+    read = rows.select(F.unhex(F.sha2("text", 256)).alias("key"), spaced.alias("text"), "id")
     schema = T.StructType(
         [
             T.StructField("key", T.BinaryType()),
@@ -152,31 +160,47 @@ TILED = "key binary, item_key binary, covered_words bigint, n_tiles bigint, long
 
 def leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-    item_text: str = "text", least: int = TILE_WORDS, coverage: float = COVERAGE,
+    item_text: str = "text", least: int = TILE_WORDS, coverage: float = COVERAGE, whole_short: bool = False,
 ) -> DataFrame:
     """Pairs of a document and a test item whose words the document covers to `coverage` or more.
 
     Columns: id, item id, item_words, covered_words, coverage, n_tiles, longest_tile, tiles
-    (place in the document:place in the item:words, by place), text_key. Words are runs of
-    ASCII letters and digits and of all characters beyond ASCII, A-Z as a-z. Tiles are matches of at least `least` words that share no word with each
-    other on either side, the longest first, so passages whose parts are in another order count.
-
-    1. Seeds are hashes of `least` words, rolled along texts and items. A bit table of the items'
-       seeds, of fixed size, goes to all tasks; documents without a seed of it end there.
+    (place in the document:place in the item:words, by place), text_key. Words are runs of letters
+    and digits, A-Z as a-z; punctuation, symbols and spaces of all scripts separate them. Tiles are
+    matches of at least `least` words (SHORT_TILE for items under SHORT_ITEM words) that share no
+    word with each other on either side, the longest first, so passages whose parts are in another
+    order count.
+
+    1. Seeds are hashes of as many words as a tile must have, rolled along texts and items. A bit
+       table of the items' seeds, of fixed size, goes to all tasks; documents without a seed of it
+       end there. Items with long and with short tiles take one scan each, if there are any.
     2. Seeds of documents and items meet in a join. Pairs whose seeds, apart from each other, could
        not cover enough are left out.
     3. The matches of a pair are tiled in one task: its memory follows the item and the text's seeds.
 
     Equal texts are tiled once and equal items too; their rows get the same results. Items of fewer
-    than `least` words, missing ones included, can't be told from chance and match nothing; so do
-    missing and empty texts. Ids may be missing or repeat. Empty tables give an empty one;
-    further columns are not read.
+    than `least` words can't be told from chance: they match nothing, or with `whole_short` where
+    all their words stand together. Missing and empty texts and items match nothing. Ids may be
+    missing or repeat. Empty tables give an empty one; further columns are not read.
     """
-    tests = frames.staged(
-        with_seeds(items.select(F.col(item_id).alias("id"), frames.whole(F.col(item_text)).alias("text")), least)
-        .filter(F.col("words") >= least),
-        "tests",
-    )
+    passages = items.select(F.col(item_id).alias("id"), frames.whole(F.col(item_text)).alias("text"))
+    short = min(least, SHORT_TILE)
+    classes = [(least, SHORT_ITEM, None), (short, least, SHORT_ITEM - 1)] if least < SHORT_ITEM else [(least, least, None)]
+    if whole_short:
+        classes += [(k, k, k) for k in range(1, least)]
+    found = []
+    for tile, low, high in classes:
+        tests = with_seeds(passages, tile).filter(F.col("words") >= low)
+        tests = frames.staged(tests if high is None else tests.filter(F.col("words") <= high), "tests")
+        if not found or not tests.isEmpty():
+            found.append(leaks_of(docs, tests, id_col, text_col, item_id, tile, coverage))
+    return reduce(DataFrame.unionAll, found)
+
+
+def leaks_of(
+    docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, item_id: str, least: int, coverage: float
+) -> DataFrame:
+    """What `leaks` gives of items with their seeds, all of one length of tiles."""
     unique = (
         tests.filter("seeds IS NOT NULL").select(F.col("key").alias("item_key"), F.col("words").alias("item_words"), F.col("seeds").alias("item_seeds"))
         .dropDuplicates(["item_key"])

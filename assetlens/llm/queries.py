@@ -43,7 +43,9 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def op2_tiled_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole_short=True
+    )
     return found.drop("text_key")
 
 

@@ -101,6 +101,27 @@ def test_leaks_against_plain(spark, small):
     assert want and {(r.doc_id, r.item_id): (r.item_words, r.covered_words) for r in rows} == want
 
 
+def test_edited_leaks(spark):
+    """One changed word anywhere in an item, and punctuation of all scripts, hide nothing."""
+    words = {n: [f"item{n}w{k}" for k in range(n)] for n in (15, 20, 24, 25, 40)}
+    edited = [" ".join(["before", *item[:at], "changed", *item[at + 1 :], "after"]) for item in words.values() for at in range(len(item))]
+    marked = ["\u201c" + "\u201d\u2014".join(item) + "\u2026" for item in words.values()]
+    docs = spark.createDataFrame(list(enumerate(edited + marked)), "doc_id bigint, text string")
+    tests = spark.createDataFrame([(n, " ".join(item)) for n, item in words.items()], "item_id bigint, text string")
+    found = Counter(r.item_id for r in decontaminate.leaks(docs, tests).collect())
+    assert found == {n: n + 1 for n in words}
+    assert decontaminate.without_leaks(docs, tests).isEmpty()
+
+
+def test_short_items(spark):
+    tests = spark.createDataFrame([(1, "one"), (2, "two words"), (4, "four words in all"), (0, "")], "item_id bigint, text string")
+    texts = ["words two", "these two words", "x four words in all y", "four words here in all", "only One."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = decontaminate.leaks(docs, tests, whole_short=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.covered_words, r.tiles) for r in rows) == [(1, 2, 2, "1:0:2"), (2, 4, 4, "1:0:4"), (4, 1, 1, "1:0:1")]
+    assert decontaminate.leaks(docs, tests).isEmpty()
+
+
 def test_leaks_awkward(awkward, nothing, planted):
     tests = awkward.selectExpr("doc_id AS item_id", "text", "marker")
     rows = decontaminate.leaks(awkward, tests).collect()
