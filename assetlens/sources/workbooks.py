@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,20 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """All files under `path` as `path, length, content`, those without content too.
+
+    The scan passes over empty files, so they are taken from the list of files it was planned with.
+    """
+    files = workbook_files(spark, path)
+    names = [(re.sub("^([a-z0-9.+-]+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    return files.unionByName(
+        empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+    )
+
+
 def is_zip(content: Column) -> Column:
     """Whether file content starts like a zip archive."""
     return F.coalesce(F.substring(content, 1, len(ZIP_MAGIC)) == F.lit(ZIP_MAGIC), F.lit(False))
@@ -61,7 +77,7 @@ def is_zip(content: Column) -> Column:
 def triage(files: DataFrame) -> DataFrame:
     """Per file, whether it can be a workbook at all.
 
-    Files without content are no workbooks either; the scan passes over them.
+    Files without content are no workbooks either; of `uploads` they are listed as such.
     """
     return files.select("path", "length", is_zip(F.col("content")).alias("accepted"))
 

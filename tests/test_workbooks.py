@@ -69,6 +69,18 @@ def test_triage(files):
     }
 
 
+def test_triage_lists_empty_files(spark, folder, tmp_path):
+    rows = by_name(workbooks.triage(workbooks.uploads(spark, folder)))
+    assert {n: [(r["length"] > 0, r["accepted"]) for r in found] for n, found in rows.items()} == {
+        "shared_True.xlsx": [(True, True)], "shared_False.xlsx": [(True, True)], "old.xls": [(True, False)],
+        "truncated.xlsx": [(True, True)], "half.xlsx": [(True, True)], "empty.xlsx": [(False, False)],
+    }
+    (tmp_path / "a b%20+é.xlsx").write_bytes(b"PK")
+    (tmp_path / "none é+.xlsx").write_bytes(b"")
+    rows = workbooks.triage(workbooks.uploads(spark, str(tmp_path))).collect()
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["accepted"]) for r in rows) == [("a b%20+é.xlsx", True), ("none é+.xlsx", False)]
+
+
 def test_sheets(files):
     sheets = by_name(workbooks.sheet_list(files))
     assert [r["sheet"] for r in sheets["shared_True.xlsx"]] == ["Assets", "Flags & more", "Empty"]
