@@ -29,6 +29,9 @@ ARCHIVE_BYTES = 32 * 1024 * 1024
 #: The dictionary of an archive is built from its records: from so many bytes of them, spread evenly.
 SAMPLE_BYTES = 4 * 1024 * 1024
 DICTIONARY_BYTES = 64 * 1024
+#: What a record gives to the sample at most, and the pieces of a longer one.
+RECORD_BYTES = 64 * 1024
+PIECE_BYTES = 4 * 1024
 LEVEL = 3
 #: Fixed value: the profile of records whose payload stands elsewhere.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,17 +79,37 @@ def record(page: dict) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def sampled(one: bytes) -> bytes:
+    """A record, or of a long one RECORD_BYTES in pieces spread evenly from its first byte to its last."""
+    if len(one) <= RECORD_BYTES:
+        return one
+    pieces = RECORD_BYTES // PIECE_BYTES
+    starts = (k * (len(one) - PIECE_BYTES) // (pieces - 1) for k in range(pieces))
+    return b"".join(one[at : at + PIECE_BYTES] for at in starts)
+
+
+def packed_bytes(records: list[bytes], own: zstandard.ZstdCompressionDict | None) -> int:
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=own)
+    return sum(len(packer.compress(one)) for one in records)
+
+
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records of an archive, or none where they are too few or too short."""
+    """A dictionary from records of an archive.
+
+    Where they are too few or too short to train one, it is plain content of about one record's
+    size, taken from their starts, or none if that would make the archive larger.
+    """
     total = sum(map(len, records))
     some = records
     if total > SAMPLE_BYTES:
         some = random.Random(len(records)).sample(records, max(1, len(records) * SAMPLE_BYTES // total))
-    samples = [r[:65536] for r in some]
+    samples = [sampled(r) for r in some]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, f=18, accel=4, level=LEVEL)
     except zstandard.ZstdError:
-        return None
+        content = b"".join(samples)[: min(DICTIONARY_BYTES, total // len(records))]
+        plain = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return plain if packed_bytes(records, plain) + len(content) < packed_bytes(records, None) else None
 
 
 def write_archive(path: str, records: list[bytes]) -> int:

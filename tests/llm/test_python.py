@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -142,6 +143,24 @@ def test_archive_round_trip(spark, medium, tmp_path):
         assert r.payload is None or bytes(r.payload) == raw
 
 
+def test_small_archive_has_a_dictionary(tmp_path):
+    """Too few records to train a dictionary from, but alike; and ones where it would not pay."""
+    body = random.Random(3).randbytes(20_000)
+    for records, pays in (([b"WARC/1.1\r\n%d " % k + body for k in range(4)], True), ([b"WARC/1.1 alone" + body], False)):
+        path = str(tmp_path / f"{len(records)}.warc.zst")
+        assert (warc.write_archive(path, records) > 0) == pays
+        assert [raw for _, raw in warc.records_of(path)] == records
+        assert os.path.getsize(path) < (30_000 if pays else 20_100)
+
+
+def test_samples_reach_into_long_records():
+    one = b"".join(b"%07d " % k for k in range(100_000))
+    sample = warc.sampled(one)
+    assert len(sample) == warc.RECORD_BYTES and sample.startswith(one[:4096]) and sample.endswith(one[-4096:])
+    assert one[len(one) // 2 :][:200_000].find(sample[len(sample) // 2 :][:4096]) >= 0
+    assert warc.sampled(one[:60_000]) == one[:60_000]
+
+
 def test_archives_roll(spark, medium, tmp_path):
     pages = [r.asDict() for r in spark.read.parquet(f"{medium}/pages.parquet").limit(20).collect()]
     records = [warc.record({"payload": p["html"].encode(), "marker": i, "first_marker": None, "page_id": p["page_id"], "url": p["url"], "first_id": None}) for i, p in enumerate(pages)]
