@@ -221,11 +221,29 @@ def region_model_pivot(register: Register, models: Sequence[str]) -> DataFrame |
     )
 
 
+def region_model_map(register: Register) -> DataFrame | None:
+    """The cross-tab with a row per region and its models in one column, totals.
+
+    `models` has each model of the region with its count, in the order of models. All grouping is
+    done in Spark and the plan is the same for any number of models; a row holds the models of its
+    region, the total's those of all.
+    """
+    cells = region_model_counts(register)
+    if cells is None:
+        return None
+    models = F.sort_array(F.collect_list(F.struct("model", "n"))).alias("models")
+    total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total")
+    by_region = cells.groupBy("region").agg(models, total).withColumn("is_total", F.lit(False))
+    grand = cells.groupBy("model").agg(F.sum("n").alias("n")).agg(models, total)
+    grand = grand.withColumns({"region": F.lit(None).cast("string"), "is_total": F.lit(True)})
+    return by_region.unionByName(grand).orderBy("is_total", "region")
+
+
 def pivot_models(register: Register) -> list[str]:
     """The models in order, as columns for the wide cross-tab.
 
     Runs a job and holds the list on the driver, as the plan with a column per model does anyway;
-    for very many models use the long form, `region_model_cube`.
+    for very many models use `region_model_map` or the long form, `region_model_cube`.
     """
     rows = value_counts(register, "model").select("model").orderBy("model")
     return [row["model"] for row in rows.collect()]

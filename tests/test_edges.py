@@ -208,6 +208,17 @@ def test_models_named_like_columns_of_the_wide_form(spark, tmp_path):
     assert [x["total"] for x in spark.read.parquet(str(tmp_path / "wide")).collect()] == [5, 5]
 
 
+def test_wide_form_without_a_column_per_model(spark):
+    assets = [(f"m{k:04}", "p" if k % 3 else "q") for k in range(3000)] + [("m0001", "q"), (None, "q"), ("m0001", None)]
+    r = register(spark, ["Model", "Place"], assets)
+    wide = metrics.region_model_map(r).collect()
+    assert [(x["region"], x["total"], x["is_total"]) for x in wide] == [("p", 2000, False), ("q", 1001, False), (None, 3001, True)]
+    counts = [dict(map(tuple, x["models"])) for x in wide]
+    assert [len(c) for c in counts] == [2000, 1001, 3000] and [c.get("m0001") for c in counts] == [1, 1, 2]
+    nothing = metrics.region_model_map(r.with_rows(r.df.where("model = 'zzz'"))).collect()
+    assert [(x["region"], x["models"], x["total"]) for x in nothing] == [(None, [], 0)]
+
+
 def test_domains_of_a_typed_register(spark):
     from assetlens.plans.register import Register
 
