@@ -14,6 +14,7 @@ from assetlens.llm import (
     license_scan,
     mixing,
     ngram_join,
+    piece_codec,
     quality,
     secret_scan,
     sharding,
@@ -116,6 +117,10 @@ def op10_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.piece_ids(table(spark, sf_dir, "documents"), digests=True)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -128,6 +133,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_shards": op8_source_shards,
         "op9_license_digests": op9_license_digests,
         "op10_bpe_counts": op10_bpe_counts,
+        "op11_piece_codec": op11_piece_codec,
     }
 
 
