@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,13 @@ from assetlens.llm.token_counts import tokenizer_path
 MODEL = "piece_bpe_32k.model"
 #: How a vocabulary writes a space.
 SPACE = "▁"
-#: Encoded words kept per worker, in two halves, each word of so many characters at most.
-CACHED_WORDS = 400_000
-CACHED_CHARS = 64
+#: Words of so many characters at most are learned, so many at a time.
+LEARNED_CHARS = 32
+LEARNED_TOGETHER = 4096
+#: When so many learned words are held, those not asked for since half as many came are let go.
+HELD_WORDS = 400_000
+#: Texts are taken together up to so many characters.
+TOGETHER_CHARS = 4 << 20
 
 
 def byte_by_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -35,27 +40,86 @@ codecs.register_error("assetlens-byte-by-byte", byte_by_byte)
 
 
 class Words(dict):
-    """The ids of words seen lately. When half the room is taken, words not asked for since go."""
+    """Ids of words. Ones that were not learned go through an agenda of their own, and aren't kept."""
 
     def __init__(self, merged: Callable[[str], tuple[int, ...]]) -> None:
         super().__init__()
         self.merged = merged
-        self.older: dict[str, tuple[int, ...]] = {}
         self.new: list[tuple[str, tuple[int, ...]]] = []
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.merged(word)
-            self.new.append((word, ids))
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS // 2:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
+        ids = self.merged(word)
+        self.new.append((word, ids))
         return ids
 
 
+class Agendas:
+    """The agendas of many words at a time: a row per word, whose cells hold the ranks of its adjacent pairs.
+
+    Each round takes the best pair of every row that has one, and enters the ranks of the two pairs
+    that the joined symbol makes. Pieces need different scores, so that ranks are unique.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[float, int]]) -> None:
+        ranked = sorted((piece for piece in pieces if len(piece) > 1), key=pieces.__getitem__)
+        self.none = np.int32(len(ranked))
+        self.ids = np.array([*(pieces[piece][1] for piece in ranked), -1], dtype=np.int32)
+        halves = [
+            (left[1] << 32 | right[1], rank)
+            for rank, piece in enumerate(ranked)
+            for cut in range(1, len(piece))
+            if (left := pieces.get(piece[:cut])) and (right := pieces.get(piece[cut:]))
+        ]
+        halves.sort()
+        self.keys, self.ranks = (np.array(column) for column in zip(*halves, strict=True))
+        self.ranks = self.ranks.astype(np.int32)
+        self.symbols = np.full(0x110000, -1, dtype=np.int32)
+        for piece, (_, number) in pieces.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = number
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the piece that each pair of symbols makes; of pairs that make none, `none`."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+
+    def merged(self, words: list[str]) -> list[tuple[int, ...] | None]:
+        """Ids of each word, None where one has a character that is no piece."""
+        count, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        flat = self.symbols[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        width, row = int(sizes.max()), np.repeat(np.arange(count), sizes)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Two cells beyond the last: the end of a row, and what stands before its start.
+        symbols = np.full((count, width + 2), -1, dtype=np.int32)
+        symbols[row, column] = flat
+        agenda = np.full((count, width + 2), self.none, dtype=np.int32)
+        inner = np.flatnonzero(column[1:])
+        agenda[row[inner], column[inner]] = self.pairs(flat[inner], flat[inner + 1])
+        after = np.tile(np.arange(1, width + 3, dtype=np.int32), (count, 1))
+        after[np.arange(count), sizes - 1] = width
+        before = np.tile(np.arange(-1, width + 1, dtype=np.int32), (count, 1))
+        before[:, 0] = width + 1
+        foreign = np.zeros(count, dtype=bool)
+        foreign[row[flat < 0]] = True
+        rows = np.flatnonzero(~foreign)
+        while len(rows):
+            at = agenda[rows].argmin(axis=1)
+            best = agenda[rows, at]
+            some = best < self.none
+            rows, at, best = rows[some], at[some], best[some]
+            then = after[rows, at]
+            beyond, ahead, joined = after[rows, then], before[rows, at], self.ids[best]
+            symbols[rows, at], symbols[rows, then], agenda[rows, then] = joined, -1, self.none
+            after[rows, at], before[rows, beyond] = beyond, at
+            agenda[rows, at] = self.pairs(joined, symbols[rows, beyond])
+            agenda[rows, ahead] = self.pairs(symbols[rows, ahead], joined)
+        left = symbols[:, :width] >= 0
+        ends, ids = np.cumsum(left.sum(axis=1)).tolist(), symbols[:, :width][left].tolist()
+        found = [tuple(ids[begin:end]) for begin, end in zip([0, *ends], ends, strict=False)]
+        return [None if other else some for other, some in zip(foreign.tolist(), found, strict=True)]
+
+
 class Codec:
     """Encodes and decodes under one merge-type model file with byte fallback.
 
@@ -100,7 +164,10 @@ class Codec:
         # A space mark that follows another character begins a word, if no piece has it inside.
         inside = any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
         self.words = re.compile(".+" if inside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
-        self.known = Words(self.merged)
+        self.known, self.older = Words(self.merged), Words(self.merged)
+        # Only runs of marks share scores in the models at hand; equal scores need the one agenda's order.
+        scores = [score for piece, (score, _) in self.pieces.items() if piece.strip(SPACE) and len(piece) > 1]
+        self.agendas = Agendas(self.pieces) if not inside and len(scores) == len(set(scores)) else None
         self.plain = {number for _, number in self.pieces.values()}
         self.silent = {number for number, written in enumerate(self.written) if not written}
         self.decimal = [str(number) for number in range(len(self.written))]
@@ -147,12 +214,37 @@ class Codec:
                 ids.append(found[1])
         return tuple(ids)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, spaces as marks and one more before it. An empty text has none."""
+        return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def learn(self, words: set[str]) -> None:
+        """Merge the words that aren't known, many at a time where they are short and plain."""
+        if len(self.known) >= HELD_WORDS // 2:
+            self.known.new, kept = [], self.known.new
+            self.older, self.known = self.known, Words(self.merged)
+            self.known.new = kept
+        asked = words - self.known.keys()
+        for word in asked & self.older.keys():
+            self.known[word] = self.older[word]
+        new = [word for word in asked - self.older.keys() if len(word) <= LEARNED_CHARS]
+        for begin in range(0, len(new), LEARNED_TOGETHER):
+            some = new[begin : begin + LEARNED_TOGETHER]
+            plain = [word for word in some if word.rfind(SPACE) < 1] if self.agendas else []
+            merged = dict(zip(plain, self.agendas.merged(plain), strict=True)) if plain else {}
+            for word in some:
+                ids = merged.get(word)
+                ids = self.known[word] = self.merged(word) if ids is None else ids
+                self.known.new.append((word, ids))
+
+    def of_words(self, words: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+
     def encode(self, text: str) -> list[int]:
         """All ids of a text, without begin or end; an empty one has none."""
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        return list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(marked))))
+        words = self.split(text)
+        self.learn(set(words))
+        return self.of_words(words)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids. The mark before the text is taken away; bytes that are no character are replaced."""
@@ -165,16 +257,17 @@ class Codec:
         begins_plain = bool(runs) and bool(runs[0]) and runs[0][0] in self.plain
         return text[1:] if begins_plain and text.startswith(" ") else text
 
-    def differences(self) -> Iterator[str]:
+    def differences(self) -> list[str]:
         """Words merged since the last call for which the library has other ids, or decodes them otherwise."""
-        some, self.known.new = self.known.new, []
-        # All words begin with a mark; the library puts one before a text.
-        asked = [word[1:].replace(SPACE, " ") for word, _ in some]
-        expected = self.library.encode(asked, num_threads=1)
-        for (word, ids), text, theirs in zip(some, asked, expected, strict=True):
-            # Of a lone mark the library sees an empty text, which has no ids.
-            if text and (list(ids) != theirs or self.library.decode(theirs) != self.decode(ids)):
-                yield word
+        # Of a lone mark the library sees an empty text, which has no ids.
+        some, self.known.new = [pair for pair in self.known.new if pair[0] != SPACE], []
+        # All words begin with a mark, or are whole texts with one; the library puts one before a text.
+        expected = self.library.encode([word[1:].replace(SPACE, " ") for word, _ in some], num_threads=1)
+        wrong = [word for (word, ids), theirs in zip(some, expected, strict=True) if list(ids) != theirs]
+        together = list(chain.from_iterable(ids for _, ids in some))
+        if not wrong and self.library.decode(together) != self.decode(together):
+            wrong = [word for word, ids in some if self.library.decode(list(ids)) != self.decode(ids)]
+        return wrong
 
 
 @lru_cache(maxsize=2)
@@ -187,6 +280,20 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def together(column: pa.Array) -> Iterator[list[str]]:
+    """Texts, so many at a time that they have TOGETHER_CHARS characters, or one longer text."""
+    some, size = [], 0
+    for scalar in column:
+        text = scalar.as_py()
+        if some and size + len(text) > TOGETHER_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def piece_ids(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -201,7 +308,7 @@ def piece_ids(
     is the text made of them again. ids_sha256 is of the decimal ids joined by commas, decoded_sha256
     of the decoded text in UTF-8. In each Arrow batch the library encodes and decodes every word
     that went through the agenda, with `whole_check` every whole text; if it has anything else, the job
-    fails. One pass, no shuffle; a task holds a batch of rows. Ids of words seen lately are kept.
+    fails. One pass, no shuffle; a task holds a batch of rows. Ids of short words seen lately are kept.
 
     Missing and empty texts have no ids and decode to an empty text. A text's space marks (U+2581) decode
     to spaces, as in the library. Texts without spaces run through one agenda as a whole. Ids of
@@ -215,22 +322,21 @@ def piece_ids(
         own = codec(tokenizer_path(model))
         for batch in batches:
             n_tokens, ids_out, decoded_out = [], [], []
-            for text in (scalar.as_py() for scalar in batch.column(1)):
-                ids = own.encode(text)
-                decoded = own.decode(ids)
-                if whole_check:
-                    expected = own.library.encode(text, num_threads=1)
-                    if ids != expected or decoded != own.library.decode(expected):
-                        raise ValueError(f"the library has other ids for {text[:80]!r}")
-                n_tokens.append(len(ids))
-                if digests:
-                    ids_out.append(sha256(",".join(map(own.decimal.__getitem__, ids))))
-                    decoded_out.append(sha256(decoded))
-                else:
-                    ids_out.append(ids)
-                    decoded_out.append(decoded)
-            if other := next(own.differences(), None):
-                raise ValueError(f"the library has other ids for {other[:80]!r}")
+            for texts in together(batch.column(1)):
+                split = [own.split(text) for text in texts]
+                own.learn(set(chain.from_iterable(split)))
+                for text, words in zip(texts, split, strict=True):
+                    ids = own.of_words(words)
+                    decoded = own.decode(ids)
+                    if whole_check:
+                        expected = own.library.encode(text, num_threads=1)
+                        if ids != expected or decoded != own.library.decode(expected):
+                            raise ValueError(f"the library has other ids for {text[:80]!r}")
+                    n_tokens.append(len(ids))
+                    ids_out.append(sha256(",".join(map(own.decimal.__getitem__, ids))) if digests else ids)
+                    decoded_out.append(sha256(decoded) if digests else decoded)
+                if wrong := own.differences():
+                    raise ValueError(f"the library has other ids for {wrong[0][:80]!r}")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

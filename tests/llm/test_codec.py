@@ -52,7 +52,7 @@ def test_encode(own, text):
     ids = own.encode(text)
     assert ids == own.library.encode(text)
     assert own.decode(ids) == own.library.decode(ids)
-    assert next(own.differences(), None) is None
+    assert own.differences() == []
 
 
 @settings(max_examples=400, deadline=None)
@@ -62,11 +62,19 @@ def test_decode(own, ids):
 
 
 def test_words_go_when_room_is_taken(own, monkeypatch):
-    monkeypatch.setattr(piece_codec, "CACHED_WORDS", 4)
+    monkeypatch.setattr(piece_codec, "HELD_WORDS", 4)
     small = piece_codec.Codec(tokenizer_path(piece_codec.MODEL))
-    text = " ".join(f"word{k % 7} other{k}" for k in range(50))
-    assert small.encode(text) == own.library.encode(text)
-    assert len(small.known) <= 2 and len(small.known.older) <= 2
+    for k in range(50):
+        text = f"word{k % 7} other{k} again{k - 1}"
+        assert small.encode(text) == own.library.encode(text)
+        assert len(small.known) <= 6 and len(small.older) <= 6
+
+
+def test_one_agenda_or_many(own):
+    """Words that go through the rows of many agendas get what they get by one agenda each."""
+    words = ["▁a", "▁hello", "▁hel", "▁", "▁internationalisation", "▁zzzzzz", "▁naïve", "▁été,", "▁x_y.z", "▁∮foreign"]
+    for word, ids in zip(words, own.agendas.merged(words), strict=True):
+        assert ids == (None if "∮" in word and "∮" not in own.pieces else own.merged(word))
 
 
 def test_long_word(own):
@@ -76,9 +84,10 @@ def test_long_word(own):
 
 def test_a_difference_is_told(own):
     wrong = piece_codec.Codec(tokenizer_path(piece_codec.MODEL))
-    wrong.pieces = {k: v for k, v in wrong.pieces.items() if k != "▁hello"}
+    pieces = {k: v for k, v in wrong.pieces.items() if k != "▁hello"}
+    wrong.agendas = piece_codec.Agendas(pieces)
     wrong.encode("hello there")
-    assert list(wrong.differences()) == ["▁hello"]
+    assert wrong.differences() == ["▁hello"]
 
 
 def test_other_models_are_refused(own, tmp_path):
