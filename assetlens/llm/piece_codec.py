@@ -224,10 +224,9 @@ class Codec:
             self.known.new, kept = [], self.known.new
             self.older, self.known = self.known, Words(self.merged)
             self.known.new = kept
-        asked = words - self.known.keys()
-        for word in asked & self.older.keys():
-            self.known[word] = self.older[word]
-        new = [word for word in asked - self.older.keys() if len(word) <= LEARNED_CHARS]
+        asked = [word for word in words if word not in self.known and len(word) <= LEARNED_CHARS]
+        new = [word for word in asked if word not in self.older]
+        self.known.update((word, self.older[word]) for word in asked if word in self.older)
         for begin in range(0, len(new), LEARNED_TOGETHER):
             some = new[begin : begin + LEARNED_TOGETHER]
             plain = [word for word in some if word.rfind(SPACE) < 1] if self.agendas else []

@@ -84,10 +84,10 @@ def test_long_word(own):
 
 def test_a_difference_is_told(own):
     wrong = piece_codec.Codec(tokenizer_path(piece_codec.MODEL))
-    pieces = {k: v for k, v in wrong.pieces.items() if k != "▁hello"}
+    pieces = {k: v for k, v in wrong.pieces.items() if k != "▁there"}
     wrong.agendas = piece_codec.Agendas(pieces)
     wrong.encode("hello there")
-    assert wrong.differences() == ["▁hello"]
+    assert wrong.differences() == ["▁there"]
 
 
 def test_other_models_are_refused(own, tmp_path):
