@@ -161,9 +161,13 @@ class Codec:
                 self.written.append(trainer.unk_surface.encode())
             else:
                 self.written.append(b"")
-        # A space mark that follows another character begins a word, if no piece has it inside.
+        # A space mark that follows another character begins a word, if no piece has it inside; a line
+        # feed is a word, if it is in no piece: nothing is ever merged across.
         inside = any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
-        self.words = re.compile(".+" if inside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
+        self.lone = "" if any("\n" in piece for piece in self.pieces) else "\n"
+        between = f"[^{SPACE}{self.lone}]"
+        apart = f"{SPACE}+{between}*|{between}+" + ("|\n" if self.lone else "")
+        self.words = re.compile(".+" if inside else apart, re.DOTALL)
         self.known, self.older = Words(self.merged), Words(self.merged)
         # Only runs of marks share scores in the models at hand; equal scores need the one agenda's order.
         scores = [score for piece, (score, _) in self.pieces.items() if piece.strip(SPACE) and len(piece) > 1]
@@ -225,16 +229,17 @@ class Codec:
             self.older, self.known = self.known, Words(self.merged)
             self.known.new = kept
         asked = [word for word in words if word not in self.known and len(word) <= LEARNED_CHARS]
-        new = [word for word in asked if word not in self.older]
-        self.known.update((word, self.older[word]) for word in asked if word in self.older)
-        for begin in range(0, len(new), LEARNED_TOGETHER):
-            some = new[begin : begin + LEARNED_TOGETHER]
-            plain = [word for word in some if word.rfind(SPACE) < 1] if self.agendas else []
-            merged = dict(zip(plain, self.agendas.merged(plain), strict=True)) if plain else {}
-            for word in some:
-                ids = merged.get(word)
-                ids = self.known[word] = self.merged(word) if ids is None else ids
-                self.known.new.append((word, ids))
+        new = [word for word in asked if word not in self.older] if self.older else asked
+        if len(new) < len(asked):
+            self.known.update((word, self.older[word]) for word in asked if word in self.older)
+        plain = [word for word in new if word.rfind(SPACE) < 1] if self.agendas else []
+        for begin in range(0, len(plain), LEARNED_TOGETHER):
+            some = plain[begin : begin + LEARNED_TOGETHER]
+            self.known.update(zip(some, self.agendas.merged(some), strict=True))
+        for word in new if len(plain) < len(new) else plain:
+            if self.known.get(word) is None:
+                self.known[word] = self.merged(word)
+        self.known.new += zip(new, map(self.known.__getitem__, new), strict=True)
 
     def of_words(self, words: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, words)))
@@ -258,13 +263,18 @@ class Codec:
 
     def differences(self) -> list[str]:
         """Words merged since the last call for which the library has other ids, or decodes them otherwise."""
-        # Of a lone mark the library sees an empty text, which has no ids.
+        # The library puts a mark before a text, as most words have; others are asked for after a lone
+        # character. Of a lone mark it would see an empty text, which has no ids.
         some, self.known.new = [pair for pair in self.known.new if pair[0] != SPACE], []
-        # All words begin with a mark, or are whole texts with one; the library puts one before a text.
-        expected = self.library.encode([word[1:].replace(SPACE, " ") for word, _ in some], num_threads=1)
-        wrong = [word for (word, ids), theirs in zip(some, expected, strict=True) if list(ids) != theirs]
-        together = list(chain.from_iterable(ids for _, ids in some))
-        if not wrong and self.library.decode(together) != self.decode(together):
+        before = self.merged(SPACE) + self.merged("\n")
+        asked = [word[1:].replace(SPACE, " ") if word[0] == SPACE else "\n" + word for word, _ in some]
+        own = [ids if word[0] == SPACE else before + ids for word, ids in some]
+        expected = self.library.encode(asked, num_threads=1)
+        together = list(chain.from_iterable(own))
+        wrong: list[str] = []
+        if list(map(len, own)) != list(map(len, expected)) or together != list(chain.from_iterable(expected)):
+            wrong = [word for (word, _), ids, theirs in zip(some, own, expected, strict=True) if list(ids) != theirs]
+        elif self.library.decode(together) != self.decode(together):
             wrong = [word for word, ids in some if self.library.decode(list(ids)) != self.decode(ids)]
         return wrong
 

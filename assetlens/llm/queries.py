@@ -12,10 +12,12 @@ from assetlens.llm import (
     exact_dedup,
     frames,
     license_scan,
+    manifest,
     mixing,
     ngram_join,
     piece_codec,
     quality,
+    ranked_search,
     secret_scan,
     sharding,
     token_counts,
@@ -121,6 +123,102 @@ def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_ids(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    without_breaks = F.replace("text", F.lit("\n"), F.lit(""))
+    tampered = {"text": F.when(even, without_breaks).otherwise(F.col("text"))}
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered=tampered).drop("proof")
+
+
+def h_sql(*values: str) -> str:
+    parts = (f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values)
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32, bit by bit, over the characters of a decimal number.
+CRC_SQL = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda crc, c: list_reduce(
+    list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda x, bit: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"""
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS grp,
+         CASE WHEN {CRC_SQL} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM documents),
+leaves AS (
+  SELECT doc_id, grp, {h_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+         {h_sql("doc_id", "source", "lang", "n_chars", "tampered")} AS other
+  FROM d),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY grp) AS n
+  FROM leaves),
+tree AS (
+  SELECT grp, 0 AS level, n, place, leaf AS h FROM placed
+  UNION ALL
+  SELECT grp, any_value(level) + 1, (any_value(n) + 2) // 3, place // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM tree WHERE n > 1 GROUP BY grp, place // 3),
+subroots AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, n, place, h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, (any_value(n) + 2) // 3, place // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM top WHERE n > 1 GROUP BY place // 3),
+heights AS (SELECT grp, max(level) AS height FROM tree GROUP BY grp),
+steps AS (
+  SELECT p.doc_id, t.level,
+         coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place < p.place // (3 ** t.level)::BIGINT), '') AS ahead,
+         coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place > p.place // (3 ** t.level)::BIGINT), '') AS behind
+  FROM placed p JOIN tree t ON t.grp = p.grp AND t.n > 1 AND t.place // 3 = p.place // (3 ** (t.level + 1))::BIGINT
+  GROUP BY p.doc_id, t.level
+  UNION ALL
+  SELECT p.doc_id, any_value(height) + t.level,
+         coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place < s.place // (3 ** t.level)::BIGINT), ''),
+         coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place > s.place // (3 ** t.level)::BIGINT), '')
+  FROM placed p JOIN heights USING (grp) JOIN subroots s USING (grp)
+  JOIN top t ON t.n > 1 AND t.place // 3 = s.place // (3 ** (t.level + 1))::BIGINT
+  GROUP BY p.doc_id, t.level),
+folds AS (
+  SELECT doc_id, 0::BIGINT AS level, other AS h FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(s.ahead || f.h || s.behind)
+  FROM folds f JOIN steps s ON s.doc_id = f.doc_id AND s.level = f.level),
+proofs AS (SELECT doc_id, sha256(string_agg(ahead || behind, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY doc_id)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+       l.h AS folded_root, l.h = r.h AS verified
+FROM placed p JOIN subroots s USING (grp) CROSS JOIN (SELECT h FROM top WHERE n = 1) r
+LEFT JOIN proofs USING (doc_id)
+JOIN (SELECT doc_id, arg_max(h, level) AS h FROM folds GROUP BY doc_id) l ON l.doc_id = p.doc_id
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS.format(LOWER.format("coalesce(text, '')"))} AS terms FROM documents),
+sized AS (SELECT doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+postings AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS.format(LOWER.format("coalesce(text, '')"))}) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -134,8 +232,15 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_digests": op9_license_digests,
         "op10_bpe_counts": op10_bpe_counts,
         "op11_piece_codec": op11_piece_codec,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op4_source_mix": OP4_SQL,
+        "op12_merkle_manifest": OP12_SQL,
+        "op13_ranked_search": OP13_SQL,
+    }
