@@ -15,7 +15,7 @@ from assetlens.operators.filters import FilterSpec
 from assetlens.operators.roles import MOBILE, WORKSTATION
 from assetlens.plans.dashboard import COUNTED_ROLES
 from assetlens.plans.register import Register
-from assetlens.session import reusable
+from assetlens.session import staged
 from assetlens.sources import workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,13 +83,13 @@ def sheet_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workbook_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = reusable(workbooks.raw_grid(inputs.workbooks(spark, sf_dir)))
+    raw = staged(workbooks.raw_grid(inputs.workbooks(spark, sf_dir)))
     cells = F.array_join("cells", "|", "-").alias("cells")
     return workbooks.readable_grid(raw).select("path", "sheet", "pos", "width", cells)
 
 
 def workbook_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = reusable(workbooks.raw_grid(inputs.workbooks(spark, sf_dir)))
+    raw = staged(workbooks.raw_grid(inputs.workbooks(spark, sf_dir)))
     grid = workbooks.readable_grid(raw)
     return headers.canonical_rows(grid, stored_registers(grid)).select(
         "path", "sheet", "pos", "asset_type", "asset_tag", "model", "user", "warranty_expiry"
@@ -98,12 +98,12 @@ def workbook_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid, as a table where there is a folder for it: several branches read it."""
-    return reusable(inputs.grid(spark, sf_dir))
+    return staged(inputs.grid(spark, sf_dir))
 
 
 def stored_registers(grid: DataFrame) -> DataFrame:
     """The registers of a grid, likewise."""
-    return reusable(headers.register_table(grid))
+    return staged(headers.register_table(grid))
 
 
 def header_row(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,14 @@ AGE_LIMITS = [1, 3, 5]
 
 
 def warranty_label(days: Column) -> Column:
-    """Label for days to expiry; NULL is Unknown.
-
-    One bucket spans the days that count as soon; buckets 0 and 2 lie before and after it.
-    """
-    *dated, unknown = [F.lit(label) for label in WARRANTY_LABELS]
-    bucket = F.width_bucket(
-        days.cast("double"), F.lit(0.0), F.lit(EXPIRING_WITHIN_DAYS + 1.0), F.lit(1)
+    """Label for days to expiry; NULL is Unknown."""
+    expired, soon, active, unknown = WARRANTY_LABELS
+    return (
+        F.when(days.isNull(), unknown)
+        .when(days < 0, expired)
+        .when(days <= EXPIRING_WITHIN_DAYS, soon)
+        .otherwise(active)
     )
-    return F.coalesce(F.get(F.array(*dated), bucket.cast("int")), unknown)
 
 
 def age_label(age: Column) -> Column:

@@ -6,7 +6,7 @@ grid should also have `width`, the number of cells: then their values need not b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.errors import HeaderRowError
@@ -92,42 +92,91 @@ def override_header_rows(detected: DataFrame, overrides: DataFrame) -> DataFrame
 
 # ------------------------------------------------------------------------ names
 
-# Names of the `width` columns under the header cells `cells`, as an array of (col, name).
-#
-# A blank cell is named after its position. An exact repeat gets the first number that makes it
-# unlike every name typed and every name given before; typed cells go before blank ones. Only
-# header rows with repeats pay for the numbering.
-#
-# A one-element array with `transform` binds a value to a name, so that it is not repeated
-# wherever it is used.
-PROMOTED_NAMES = """
-array_sort(get(transform(array(array_sort(transform(
-    sequence(0, width - 1),
-    i -> named_struct(
-        'blank', coalesce(get(cells, i), '') = '',
-        'col', i,
-        'name', if(coalesce(get(cells, i), '') = '', concat('Unnamed: ', i), get(cells, i)))
-))), entries ->
-    if(size(array_distinct(transform(entries, e -> e.name))) = size(entries),
-        transform(entries, e -> named_struct('col', e.col, 'name', e.name)),
-        aggregate(entries, cast(array() as array<struct<col:int,name:string>>), (seen, e) ->
-            concat(seen, array(named_struct('col', e.col, 'name',
-                if(not exists(seen, s -> s.name = e.name), e.name,
-                    get(filter(
-                        transform(sequence(1, size(entries)), k -> concat(e.name, '.', k)),
-                        n -> not exists(entries, o -> o.name = n)
-                            and not exists(seen, s -> s.name = n)), 0))))))
-)), 0))
+# The `width` columns under the header cells `cells`, as an array of (col, name, blank). A blank cell is
+# named after its position.
+HEADER_ENTRIES = """
+transform(sequence(0, width - 1), i -> named_struct(
+    'col', i,
+    'name', if(coalesce(get(cells, i), '') = '', concat('Unnamed: ', i), get(cells, i)),
+    'blank', coalesce(get(cells, i), '') = ''))
 """
+# What a name looks like that might have been given to a repeat: a stem and a number without leading zeros.
+NUMBERED = r"(?s)^(.*)\.([1-9][0-9]{0,17})\z"
+TRIMMED = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
-# Names trimmed, and of equal ones the first column only.
-CLEANED_COLUMNS = r"""
-get(transform(
-    array(transform(promoted, c -> named_struct('col', c.col, 'name',
-        regexp_replace(c.name, '(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '')))),
-    trimmed -> filter(trimmed, (c, i) -> not exists(slice(trimmed, 1, i), b -> b.name = c.name))
-), 0)
-"""
+
+def trimmed(name: Column) -> Column:
+    """A name without white space around it."""
+    return F.regexp_replace(name, TRIMMED, "")
+
+
+def numbered_repeats(entries: DataFrame) -> DataFrame:
+    """Keys, col and name of `entries` (keys, col, name, blank), names made unlike within the keys.
+
+    Of equal names the first typed one stays, or else the first; each repeat gets the stem with the
+    first number that is neither typed by someone nor given to a repeat before. As a number has no dot, a name
+    given to a repeat of one stem is never one of another: so stems are numbered apart.
+
+    The j-th repeat's number is j and as many more as there are taken numbers up to it. The i-th smallest
+    taken number t pushes on all repeats from t - i + 1; so repeats and taken numbers are sorted
+    together, and each repeat counts the taken ones up to its place. All is sorting and counting, linear but
+    for the sort, however many equal names there are.
+    """
+    within = Window.partitionBy(*KEYS, "name").orderBy("blank", "col")
+    ranked = entries.withColumn("repeat", (F.row_number().over(within) - 1).cast("bigint"))
+    stems = ranked.where("repeat = 1").select(*KEYS, "name")
+    typed = entries.select(
+        *KEYS,
+        F.regexp_extract("name", NUMBERED, 1).alias("stem"),
+        F.regexp_extract("name", NUMBERED, 2).try_cast("bigint").alias("number"),
+    )
+    taken = typed.where("number IS NOT NULL").withColumnRenamed("stem", "name").distinct()
+    taken = taken.join(stems, [*KEYS, "name"], "left_semi")
+    in_order = Window.partitionBy(*KEYS, "name").orderBy("number")
+    pushes = taken.select(
+        *KEYS,
+        "name",
+        (F.col("number") - F.row_number().over(in_order) + 1).alias("place"),
+        F.lit(1).alias("taken"),
+        F.lit(None).cast("int").alias("col"),
+    )
+    repeats = ranked.where("repeat > 0").select(*KEYS, "name", F.col("repeat").alias("place"), F.lit(0).alias("taken"), "col")
+    so_far = (
+        Window.partitionBy(*KEYS, "name")
+        .orderBy("place", F.desc("taken"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    number = F.col("place") + F.sum("taken").over(so_far)
+    given = repeats.unionByName(pushes).withColumn("number", number).where("taken = 0")
+    named = given.select(*KEYS, "col", F.concat("name", F.lit("."), F.col("number").cast("string")).alias("name"))
+    return ranked.where("repeat = 0").select(*KEYS, "col", "name").unionByName(named)
+
+
+def first_of_equal_names(names: DataFrame) -> DataFrame:
+    """Keys, col and trimmed name of `names`; of equal trimmed names within the keys the first column only."""
+    cleaned = names.select(*KEYS, "col", trimmed(F.col("name")).alias("name"))
+    within = Window.partitionBy(*KEYS, "name").orderBy("col")
+    return cleaned.withColumn("nth", F.row_number().over(within)).where("nth = 1").drop("nth")
+
+
+def with_clean_columns(headed: DataFrame) -> DataFrame:
+    """`headed` (keys, cells, width, ...) with `columns`, an array of (col, name), for `cells` and `width`.
+
+    Registers whose names all differ, trimmed ones too, are named in place. Only the others are taken apart
+    into one row per column, named, and brought together again.
+    """
+    others = [c for c in headed.columns if c not in ("cells", "width")]
+    entries = headed.select(*others, F.expr(HEADER_ENTRIES).alias("entries"))
+    in_place = F.transform("entries", lambda e: F.struct(e["col"].alias("col"), trimmed(e["name"]).alias("name")))
+    known = entries.withColumn("columns", in_place)
+    alike = F.size(F.array_distinct(F.transform("columns", lambda c: c["name"]))) < F.size("columns")
+    plain = known.where(~alike).select(*others, "columns")
+    apart = known.where(alike).drop("columns")
+    cells = apart.select(*KEYS, F.inline("entries"))
+    listed = first_of_equal_names(numbered_repeats(cells)).groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list(F.struct("col", "name"))).alias("columns")
+    )
+    return plain.unionByName(apart.drop("entries").join(listed, KEYS).select(*others, "columns"))
 
 
 # --------------------------------------------------------------------- registers
@@ -157,17 +206,14 @@ def register_table(grid: DataFrame, overrides: DataFrame | None = None) -> DataF
     if overrides is not None:
         summary = override_header_rows(summary, overrides)
     header = F.expr("get(filter(preview, p -> p.pos = header_row), 0).cells")
-    return (
-        summary.select(
-            *KEYS,
-            "header_row",
-            "last_pos",
-            F.greatest("width", F.lit(1)).alias("width"),
-            header.alias("cells"),
-        )
-        .withColumn("promoted", F.expr(PROMOTED_NAMES))
-        .select(*KEYS, "header_row", "last_pos", F.expr(CLEANED_COLUMNS).alias("columns"))
+    headed = summary.select(
+        *KEYS,
+        "header_row",
+        "last_pos",
+        F.greatest("width", F.lit(1)).alias("width"),
+        header.alias("cells"),
     )
+    return with_clean_columns(headed)
 
 
 def column_catalogue(registers: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from assetlens.errors import SeveralWorkbooks, SheetNotFound
 from assetlens.functions.text import without_markers
 from assetlens.operators.headers import checked_manual_row, register_table
 from assetlens.plans.register import Register
-from assetlens.session import kept
+from assetlens.session import staged
 from assetlens.sources.workbooks import raw_grid, readable_grid, sheet_list, workbook_files
 
 
@@ -56,5 +56,5 @@ def open_workbook(
     names = [row["sheet"] for row in sheets]
     if not names or (sheet is not None and sheet not in names):
         raise SheetNotFound(f"{path} has sheets {names}, wanted {sheet!r}")
-    grid = readable_grid(kept(raw_grid(files)))
+    grid = readable_grid(staged(raw_grid(files)))
     return load_sheet(grid, sheets[0]["path"], sheet or names[0], header_row)

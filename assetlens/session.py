@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,36 +42,38 @@ def build_session(
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+#: Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write `df` as a table under the shared checkpoint folder and read it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names.
 
-    Used where two branches of a plan have to see the very same rows, or where rows are costly
-    to compute. The table outlives lost executors, and scans of it read only what they need.
-    Without a folder this fails: a machine-local default would not do on a cluster.
+    A local session that names none gets a folder of its own. On a cluster a machine-local folder would
+    not do, so there it is an error.
     """
-    spark = df.sparkSession
-    folder = checkpoint_folder(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder first")
-    path = f"{folder.rstrip('/')}/assetlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that executors share")
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="assetlens-")
+        folder = _own_folders[context.applicationId]
+    return folder.rstrip("/")
 
 
-def reusable(df: DataFrame) -> DataFrame:
-    """`staged` where the cluster names a folder; otherwise `df`, to be computed per use."""
-    return staged(df) if checkpoint_folder(df.sparkSession) else df
+def new_path(spark: SparkSession, name: str = "assetlens") -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`staged` where the cluster names a folder; otherwise kept by the executors.
+def staged(df: DataFrame) -> DataFrame:
+    """Write `df` as a table under the shared checkpoint folder and read it from there.
 
-    For what is costly to compute and used several times at once. Parts kept by an executor that
-    is lost are computed again; `spark.catalog.clearCache()` lets go of all.
+    Used where two branches of a plan have to see the very same rows, or where rows are costly
+    to compute. The table outlives lost executors, and scans of it read only what they need.
     """
-    return staged(df) if checkpoint_folder(df.sparkSession) else df.persist()
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

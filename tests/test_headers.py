@@ -1,7 +1,9 @@
 """Header detection, manual rows, promotion and names of columns."""
 
 import io
+import itertools
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -70,10 +72,13 @@ def test_overrides(spark):
 
 def names_of(spark, header_rows):
     """Names before trimming, per header row."""
-    rows = [(i, h, len(h)) for i, h in enumerate(header_rows)]
-    df = spark.createDataFrame(rows, "i int, cells array<string>, width int")
-    found = df.select("i", F.expr(headers.PROMOTED_NAMES).alias("columns")).collect()
-    return {r["i"]: [c["name"] for c in r["columns"]] for r in found}
+    rows = [(str(i), "s", h, len(h)) for i, h in enumerate(header_rows)]
+    df = spark.createDataFrame(rows, "path string, sheet string, cells array<string>, width int")
+    entries = df.select("path", "sheet", F.inline(F.expr(headers.HEADER_ENTRIES)))
+    found: dict = {}
+    for row in headers.numbered_repeats(entries).collect():
+        found.setdefault(int(row["path"]), {})[row["col"]] = row["name"]
+    return {i: [names[col] for col in sorted(names)] for i, names in found.items()}
 
 
 def test_repeated_names_agree_with_pandas(spark):
@@ -90,6 +95,19 @@ def test_repeated_names_agree_with_pandas(spark):
         assert found[i] == list(expected), row
 
 
+def test_thousands_of_equal_headers(spark):
+    """Repeats are numbered by sorting; numbers that others have typed are passed over."""
+    typed = [f"X.{k}" for k in range(2, 4000, 3)]
+    cells = ["X"] * 5000 + typed + ["Y", "", "X.007"]
+    start = time.monotonic()
+    table = headers.register_table(grid(spark, {"p": [cells, ["a"]], "q": [HEADER, ["a"]]}))
+    columns = {r["path"]: [c["name"] for c in r["columns"]] for r in table.collect()}
+    assert time.monotonic() - start < 30
+    free = (f"X.{k}" for k in range(1, 10**6) if f"X.{k}" not in set(typed))
+    expected = ["X", *itertools.islice(free, 4999), *typed, "Y", f"Unnamed: {len(cells) - 2}", "X.007"]
+    assert columns == {"p": expected, "q": HEADER}
+
+
 def test_trimmed_names_are_kept_once(spark):
     table = headers.register_table(
         grid(spark, {"p": [[" Asset Tag", "Model", "Model", "Asset Tag ", " User\t"], ["a"]]})

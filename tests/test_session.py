@@ -18,12 +18,21 @@ def test_staged_tables_are_read_back(spark):
     assert "FileScan" in table._jdf.queryExecution().executedPlan().toString()
 
 
-def test_without_a_folder(spark, monkeypatch):
-    monkeypatch.setattr(session, "checkpoint_folder", lambda _: None)
-    df = spark.range(3)
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.staged(df)
-    assert session.reusable(df) is df
-    kept = session.kept(df)
-    assert kept.storageLevel.useMemory and kept.count() == 3
-    kept.unpersist()
+class Unnamed:
+    """A session that names no folder."""
+
+    class conf:
+        @staticmethod
+        def get(_, default):
+            return default
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_without_a_folder():
+    own = session.checkpoint_folder(Unnamed("local[2]"))
+    assert own == session.checkpoint_folder(Unnamed("local[2]"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.checkpoint_folder(Unnamed(master))
