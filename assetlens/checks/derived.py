@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assetlens.checks.packing import pack_workbook
 from assetlens.plans.register import Register
+from assetlens.session import new_path
 
 AS_OF = "2001-06-15 10:30:00"
 ORDERS_PER_EXTRACT = 32
@@ -70,8 +71,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """`df` dealt out by `key`, at any size; a join on that key needs no further exchange of it."""
-    return df.repartition(key)
+    """`df` dealt out by `key` over as many tasks as shuffles have, also where it is small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _text(column: str) -> Column:
@@ -80,7 +81,7 @@ def _text(column: str) -> Column:
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+        table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -244,6 +245,52 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Date patterns that registers write their dates in; a register's is its number modulo their count.
+DATE_STYLES = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd MMM yyyy", "dd.MM.yyyy"]
+DATED_REGISTERS = 200
+
+
+def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date as text per order, in a register of its customer: each register in its own style, with dirt."""
+    number = F.col("o_custkey") % DATED_REGISTERS
+    key = F.col("o_orderkey")
+    styled = F.coalesce(
+        *[
+            F.when(number % len(DATE_STYLES) == i, F.date_format("o_orderdate", pattern))
+            for i, pattern in enumerate(DATE_STYLES)
+        ]
+    )
+    value = (
+        F.when(key % 19 == 0, None)
+        .when(key % 23 == 0, "unknown")
+        .when(key % 29 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .otherwise(styled)
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("register_"), number.cast("string")).alias("path"),
+        F.lit("Assets").alias("sheet"),
+        key.alias("pos"),
+        value.alias("value"),
+    )
+
+
+def printouts(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of delimited text: a record per customer, with quotes and line ends within cells."""
+    key = F.col("c_custkey")
+    note = F.when(key % 4 == 0, F.concat(F.lit('said ""'), "c_mktsegment", F.lit('""\n\nand, left'))).when(
+        key % 4 == 1, F.concat("c_mktsegment", F.lit("\n"))
+    )
+    cells = [
+        _text("c_custkey"),
+        F.when(note.isNotNull(), F.concat(F.lit('"'), note, F.lit('"'))).otherwise(F.col("c_mktsegment")),
+        F.when(key % 5 != 0, F.col("c_name")).otherwise(""),
+        F.when(key % 3 == 0, F.lit('6" rack')).otherwise(""),
+    ]
+    folder = new_path(spark, "printouts")
+    table(spark, sf_dir, "customer").select(F.concat_ws(",", *cells).alias("value")).write.text(folder)
+    return folder
+
+
 # --------------------------------------------------------------------- workbooks
 
 

@@ -15,17 +15,52 @@ from assetlens.checks.queries import (
     filter_name,
     mobile_name,
 )
-from assetlens.functions.text import MISSING_MARKERS
-from assetlens.operators.filters import SELECTABLE, FilterSpec
-from assetlens.operators.headers import HEADER_KEYWORDS
-from assetlens.plans.dashboard import COUNTED_ROLES
-from assetlens.operators.roles import (
-    KIND_IDENTIFIERS,
-    MOBILE,
-    ROLES,
-    WORKSTATION,
-    role_terms,
-)
+from assetlens.operators.filters import FilterSpec
+
+# Fixed values, stated here once more: the comparison must not share them with the code it checks.
+WORKSTATION, MOBILE = "Workstation", "Mobile"
+HEADER_KEYWORDS = (
+    "model serial user department asset workstation location site computer employee email product mobile "
+    "programme program"
+).split()
+MISSING_MARKERS = ["", *"#N/A #NA -1.#IND -1.#QNAN -NaN -nan 1.#IND 1.#QNAN <NA> N/A NA NULL NaN None n/a nan null".split()]
+MISSING_MARKERS.append("#N/A N/A")
+KIND_IDENTIFIERS = {
+    WORKSTATION: ["workstation", "model", "warranty", "place"],
+    MOBILE: ["product", "programme", "program"],
+}
+#: Roles in the order of the canonical table, with their terms per kind, normalised.
+TERMS = [
+    ("asset_tag", ["assettag"], ["assettag"]),
+    ("model", ["model"], ["product"]),
+    ("asset_kind", ["workstationtype"], ["producttype"]),
+    ("serial_number", ["serialnumber"], ["serialnumber"]),
+    ("user", ["user"], ["user"]),
+    ("user_email", ["email"], ["email"]),
+    ("department", ["department"], ["department"]),
+    ("location", ["location"], ["location"]),
+    ("site", ["site"], ["site"]),
+    ("place", ["place"], []),
+    ("purchase_year", ["yearofpurchase"], ["yearofpurchase"]),
+    ("warranty_expiry", ["warrantyexpiry"], []),
+    ("status", ["workstationstatus"], []),
+    ("state", ["state"], ["state"]),
+    ("programme", [], ["programme", "program"]),
+]
+ROLES = [role for role, _, _ in TERMS]
+#: The roles that may be selected, in the order in which they are offered.
+SELECTABLE = {
+    WORKSTATION: ["model", "asset_kind", "site", "location", "department", "status", "place", "state"],
+    MOBILE: ["model", "asset_kind", "site", "location", "department", "programme", "state"],
+}
+#: The roles of the counts over several of them.
+COUNTED_ROLES = ["asset_kind", "model", "department", "location"]
+
+
+def role_terms(kind: str) -> dict[str, list[str]]:
+    """Terms per role of a kind."""
+    return {t[0]: names for t in TERMS if (names := t[1 if kind == WORKSTATION else 2])}
+
 
 AS_OF = "timestamp '2001-06-15 10:30:00'"
 
@@ -341,6 +376,17 @@ def register_sql(kind: str) -> dict[str, str]:
         f"cast(grouping({r.region}, {model}) as integer) as level, count(*) as n from a "
         f"where {r.region} is not null and {model} is not null "
         f"group by cube ({r.region}, {model})",
+        "region_model_blocks": "select region, block, first_model, last_model, models, total, is_total from ("
+        f"with cells as (select {r.region} as region, {model} as model, count(*) as n from a "
+        f"where {r.region} is not null and {model} is not null group by all), "
+        "totals as (select model, cast(sum(n) as bigint) as n, "
+        "cast((row_number() over (order by model) - 1) // 10 as bigint) as block from cells group by model), "
+        "ends as (select block, min(model) as first_model, max(model) as last_model from totals group by block), "
+        "rows as (select c.region, c.model, c.n, block, false as is_total from cells c join totals using (model) "
+        "union all select null, model, n, block, true from totals) "
+        "select region, block, first_model, last_model, "
+        "string_agg(concat(model, '=', n), '|' order by model) as models, cast(sum(n) as bigint) as total, is_total "
+        "from rows join ends using (block) group by all) b",
         "model_share": f"select model, n, cast(n as double) / sum(n) over () * 100 as share "
         f"from ({counts(r, 'model')}) c",
         "top_departments": f"select * from ({counts(r, 'department')}) c "
@@ -370,7 +416,11 @@ def workstation_bodies(r: RegisterSql) -> dict[str, str]:
         "from a"
         for s in ["Expired", "Expiring Soon", "Active", "Unknown"]
     )
+    named = "asset_tag, model, serial_number, days_to_expiry from a where"
     return {
+        "export_files": f"select 'workstation_assets_20010615' as export, {named} {r.selection()} and {r.found(r.spec.search or "")} "
+        f"union all select 'workstation_expired_20010615', {named} {r.selection()} and {r.replaced()} "
+        f"union all select 'warranty_expired_20010615', {named} warranty_status = 'Expired'",
         "export_warranty": "select * from a where warranty_status = 'Expired'",
         "warranty_date": "select asset_tag, serial_number, warranty_expiry, "
         "warranty_expiry_date from a",
@@ -469,7 +519,7 @@ resolved as (
 cells as (
   select g.k, g.pos, c.name, g.col,
     case when g.value not in ({quoted(MISSING_MARKERS)}) then g.value end as value
-  from grid g join detected d on g.k = d.k join columns c on g.k = c.k and g.col = c.col
+  from grid g join {{headers}} d on g.k = d.k join columns c on g.k = c.k and g.col = c.col
   where g.pos > d.header_row),
 canonical as (
   select c.k, c.pos, r.asset_type, {{roles}}
@@ -532,9 +582,76 @@ def grid_sql() -> dict[str, str]:
         "cast(count(*) as integer) as total_columns "
         "from overridden o join columns c on o.k = c.k group by o.k, header_row"
     )
+    statements["promote_override_rows"] = base("overridden") + (
+        "select concat('extract_', k) as path, 'Assets' as sheet, pos, name, value from cells"
+    )
+    offered = ", ".join(
+        f"('{kind}', '{role}')" for kind, names in SELECTABLE.items() for role in names
+    )
+    statements["filter_domains_in_order"] = base("detected") + (
+        "select concat('extract_', p.k) as path, role, value, min(pos) as first_row from ("
+        "select c.k, c.pos, r.role, c.value from cells c join resolved r on c.k = r.k and c.col = r.col "
+        f"join (values {offered}) o(kind, role) on o.kind = r.asset_type and o.role = r.role "
+        "where c.k in (select k from resolved where role = 'model')) p group by all"
+    )
     return statements
 
 
+# The patterns tried, in order, with what strptime calls them and how their text must look.
+DATE_PATTERNS = [
+    ("ISO", "%Y-%m-%d", r"\d{4}-\d{2}-\d{2}"),
+    ("dd/MM/yyyy", "%d/%m/%Y", r"\d{2}/\d{2}/\d{4}"),
+    ("MM/dd/yyyy", "%m/%d/%Y", r"\d{2}/\d{2}/\d{4}"),
+    ("dd.MM.yyyy", "%d.%m.%Y", r"\d{2}\.\d{2}\.\d{4}"),
+    ("dd MMM yyyy", "%d %b %Y", r"\d{2} [A-Z][a-z]{2} \d{4}"),
+]
+DATED = f"""
+with dated as (
+  select concat('register_', o_custkey % 200) as path, o_orderkey as pos,
+    case when o_orderkey % 19 = 0 then null when o_orderkey % 23 = 0 then 'unknown'
+         when o_orderkey % 29 = 0 then strftime(o_orderdate, '%Y-%m-%d')
+         else case o_custkey % 200 % 5 when 0 then strftime(o_orderdate, '%Y-%m-%d')
+           when 1 then strftime(o_orderdate, '%d/%m/%Y') when 2 then strftime(o_orderdate, '%m/%d/%Y')
+           when 3 then strftime(o_orderdate, '%d %b %Y') else strftime(o_orderdate, '%d.%m.%Y') end end as value
+  from orders),
+tried as (
+  {" union all ".join(
+      f"select path, pos, value, {i} as place, '{n}' as name, "
+      f"case when regexp_full_match(value, '{p}') then try_strptime(value, '{f}') end as date from dated"
+      for i, (n, f, p) in enumerate(DATE_PATTERNS)
+  )}),
+firsts as (select path, min(pos) as pos from dated where value is not null group by path),
+scores as (
+  select t.path, place, name, count(date) as n_read, count(value) as n_values,
+    count(date) filter (where t.pos = f.pos) as first
+  from tried t left join firsts f on t.path = f.path group by t.path, place, name),
+elected as (
+  select path, case when n_read > 0 then name end as date_format, n_values, n_read from (
+    select *, row_number() over (partition by path order by first desc, n_read desc, place) as choice from scores)
+  where choice = 1)
+"""
+
+
+def dated_sql() -> dict[str, str]:
+    """Statements for the election of date formats."""
+    return {
+        "date_formats": DATED + "select * from elected",
+        "warranty_date_formats": DATED + "select d.path, d.pos, d.value, e.date_format, t.date as warranty_expiry_date "
+        "from dated d join elected e on d.path = e.path "
+        "left join tried t on t.path = d.path and t.pos = d.pos and t.name = e.date_format",
+    }
+
+
+DELIMITED = """
+select c_custkey,
+  case c_custkey % 4 when 0 then concat('said "', c_mktsegment, '"', chr(10), chr(10), 'and, left')
+    when 1 then concat(c_mktsegment, chr(10)) else c_mktsegment end as note,
+  case when c_custkey % 5 <> 0 then c_name end as name,
+  case when c_custkey % 3 = 0 then '6" rack' end as place,
+  cast(case when c_custkey % 3 = 0 then 4 when c_custkey % 5 <> 0 then 3 else 2 end as integer) as width
+from customer"""
+
+
 # ----------------------------------------------------------------------- workbooks
 
 WORKBOOKS = """
@@ -572,7 +689,8 @@ def workbook_sql() -> dict[str, str]:
 
 def all_sql() -> dict[str, str]:
     """Every statement by query name."""
-    statements = workbook_sql() | grid_sql() | register_sql(WORKSTATION)
+    statements = workbook_sql() | grid_sql() | dated_sql() | register_sql(WORKSTATION)
+    statements["delimited_records"] = DELIMITED
     for name, sql in register_sql(MOBILE).items():
         statements[mobile_name(name)] = sql
     return statements

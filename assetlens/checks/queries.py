@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +12,14 @@ from pyspark.sql import functions as F
 from assetlens.checks import derived as inputs
 from assetlens.functions.labels import age_label
 from assetlens.functions.text import normalized
-from assetlens.operators import derive, filters, headers, metrics, quality, roles
+from assetlens.operators import derive, filters, formats, headers, metrics, quality, roles
 from assetlens.operators.filters import FilterSpec
 from assetlens.operators.roles import MOBILE, WORKSTATION
 from assetlens.plans.dashboard import COUNTED_ROLES
 from assetlens.plans.register import Register
-from assetlens.session import staged
-from assetlens.sources import workbooks
+from assetlens.session import new_path, staged
+from assetlens.sinks import exports
+from assetlens.sources import delimited, workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 RegisterQuery = Callable[[Register], DataFrame]
@@ -48,6 +51,7 @@ MOBILE_CHOICES: dict[str, list[str | None]] = {
 }
 SEARCH = "nation_1$|^brand#2[0-3]$"
 LITERAL = "(old)"
+MODELS_PER_BLOCK = 10
 
 
 # ------------------------------------------------------------------------- inputs
@@ -126,6 +130,56 @@ def promote_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.select("path", "header_row", F.size("columns").alias("total_columns"))
 
 
+def promote_override_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = stored_grid(spark, sf_dir)
+    registers = staged(headers.register_table(grid, inputs.overrides(spark, sf_dir)))
+    return headers.promote_headers(grid, registers)
+
+
+def filter_domains_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = stored_grid(spark, sf_dir)
+    rows = headers.canonical_rows(grid, stored_registers(grid), with_present=True)
+    return filters.domains_in_order(rows).drop("sheet")
+
+
+def warranty_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.dated_rows(spark, sf_dir)
+    elected = staged(formats.elected_formats(rows, "value"))
+    return formats.with_elected_dates(rows, elected, "value", "warranty_expiry_date").drop("sheet")
+
+
+def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.elected_formats(inputs.dated_rows(spark, sf_dir), "value").drop("sheet", "last_pos")
+
+
+def delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = delimited.delimited_grid(spark, inputs.printouts(spark, sf_dir))
+    cell = [F.get("cells", F.lit(i)) for i in range(4)]
+    return grid.select(
+        cell[0].cast("bigint").alias("c_custkey"), cell[1].alias("note"), cell[2].alias("name"), cell[3].alias("place"), "width"
+    )
+
+
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three exports of the workstation register, written and read again."""
+    register = workstations(spark, sf_dir)
+    shown, replacement = filters.apply_filters(register, WORKSTATION_SPEC)
+    as_of = datetime.fromisoformat(inputs.AS_OF)
+    folder = new_path(spark, "exports")
+    folders = exports.commit_exports(folder, shown, replacement, filters.warranty_expired(register), as_of)
+    read = [
+        exports.read_export(spark, path).select(
+            F.lit(path.rsplit("/", 1)[1]).alias("export"),
+            *[F.col(f"`{header}`").alias(name) for name, header in EXPORTED.items()],
+        )
+        for path in folders.values()
+    ]
+    return reduce(DataFrame.unionAll, read)
+
+
+EXPORTED = {"asset_tag": "Asset Tag", "model": "Model", "serial_number": "Serial Number", "days_to_expiry": "Days to Expiry"}
+
+
 def registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.register_table(stored_grid(spark, sf_dir))
 
@@ -224,6 +278,13 @@ def shown_pivot(register: Register) -> DataFrame:
     return metrics.region_model_pivot(register, metrics.pivot_models(register))
 
 
+def shown_blocks(register: Register) -> DataFrame:
+    """The cross-tab in blocks, with a block's models as one text."""
+    cells = F.transform(F.map_entries("models"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    blocks = metrics.region_model_blocks(register, MODELS_PER_BLOCK)
+    return blocks.withColumn("models", F.array_join(cells, "|"))
+
+
 def register_queries(kind: str) -> dict[str, RegisterQuery]:
     """What is registered for both kinds of register."""
     spec = WORKSTATION_SPEC if kind == WORKSTATION else MOBILE_SPEC
@@ -256,6 +317,7 @@ def register_queries(kind: str) -> dict[str, RegisterQuery]:
         "age_summary": metrics.age_summary,
         "model_counts": metrics.model_counts,
         "region_model_cube": metrics.region_model_cube,
+        "region_model_blocks": shown_blocks,
         "model_share": metrics.model_share,
         "top_departments": lambda r: metrics.top_values(r, "department"),
         "top_locations": lambda r: metrics.top_values(r, "location"),
@@ -306,6 +368,12 @@ INGEST: dict[str, Query] = {
     "header_override": header_override,
     "promote_header": promote_header,
     "promote_override": promote_override,
+    "promote_override_rows": promote_override_rows,
+    "filter_domains_in_order": filter_domains_in_order,
+    "date_formats": date_formats,
+    "warranty_date_formats": warranty_date_formats,
+    "delimited_records": delimited_records,
+    "export_files": export_files,
     "clean_columns": clean_columns,
     "column_catalogue": column_catalogue,
     "normalize_headers": normalize_headers,

@@ -23,26 +23,30 @@ def moment(as_of: datetime | str | None = None) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
+def iso_date(text: Column) -> Column:
+    """TIMESTAMP_NTZ of an ISO date, with or without a time of day, or NULL."""
+    return F.regexp_extract(text, ISO_DATE, 0).try_cast("timestamp_ntz")
+
+
+def patterned_date(text: Column, pattern: str) -> Column:
+    """TIMESTAMP_NTZ of text in a Spark date pattern, or NULL.
+
+    It is parsed against a fixed zone, so that a clock change of the session zone cannot move a value.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(pattern + " XXX"))
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    return epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def lenient_date(value: Column, formats: Sequence[str] = ()) -> Column:
     """TIMESTAMP_NTZ, or NULL for text that is no date.
 
     ISO dates, with or without a time of day, are always read. `formats` adds Spark date
-    patterns, tried in order; they are parsed against a fixed zone, so that a clock change of
-    the session zone cannot move a value.
+    patterns, tried in order.
     """
     text = value.cast("string")
-    parsed = [F.regexp_extract(text, ISO_DATE, 0).try_cast("timestamp_ntz")]
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    for pattern in formats:
-        instant = F.try_to_timestamp(
-            F.concat(text, F.lit(" +00:00")), F.lit(pattern + " XXX")
-        )
-        seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
-        parsed.append(
-            epoch
-            + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-        )
-    return F.coalesce(*parsed)
+    return F.coalesce(iso_date(text), *[patterned_date(text, pattern) for pattern in formats])
 
 
 def whole_days(start: Column, end: Column) -> Column:

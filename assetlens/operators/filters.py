@@ -137,6 +137,23 @@ def filter_domains(register: Register) -> DataFrame:
     return register.df.select(F.inline(pairs)).distinct().orderBy("role", "value")
 
 
+def domains_in_order(rows: DataFrame) -> DataFrame:
+    """Per register of canonical `rows` (with `present`): role, value and first_row, the position where it first stands.
+
+    The values a person may choose from, missing ones included, in the order in which they appear in the
+    register, which `first_row` gives. One aggregate; a register's size or a frequent value doesn't matter.
+    """
+    offered = [
+        F.when(F.col("asset_type") == kind, F.array(*[F.lit(role) for role in roles])) for kind, roles in SELECTABLE.items()
+    ]
+    chosen = F.array_intersect(F.coalesce(*offered), F.col("present"))
+    every = sorted({role for roles in SELECTABLE.values() for role in roles})
+    pairs = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("value")) for r in every])
+    kept = F.filter(pairs, lambda pair: F.array_contains(chosen, pair["role"]))
+    named = rows.select("path", "sheet", "pos", F.inline(kept))
+    return named.groupBy("path", "sheet", "role", "value").agg(F.min("pos").alias("first_row"))
+
+
 def warranty_drilldown(register: Register) -> DataFrame:
     """Rows per shown status with the columns of the lists; needs the warranty columns.
 

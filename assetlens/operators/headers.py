@@ -267,9 +267,12 @@ def promote_headers(
 
 
 def canonical_rows(
-    grid: DataFrame, registers: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
+    grid: DataFrame,
+    registers: DataFrame,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    with_present: bool = False,
 ) -> DataFrame:
-    """All usable registers as one table under role names.
+    """All usable registers as one table under role names; `with_present` adds `present`, the roles a register has.
 
     Registers without a model column are left out; `missing_model` lists them. `cells` keeps
     the values of all columns, for searches and exports. Give a stored table of registers where
@@ -285,6 +288,8 @@ def canonical_rows(
         F.transform("columns", lambda c: c["col"]).alias("cols"),
         *[F.col(f"roles.{role}.col").alias(f"at_{role}") for role in ROLES],
     )
+    has = F.array_compact(F.array(*[F.when(F.col(f"at_{role}").isNotNull(), F.lit(role)) for role in ROLES]))
+    extra = [has.alias("present")] if with_present else []
     present = F.transform("cells", without_markers)
     rows = data_rows(grid, slim, rows_per_slice).withColumn("cells", present)
     return rows.select(
@@ -293,4 +298,5 @@ def canonical_rows(
         "asset_type",
         *[F.expr(f"get(cells, at_{role})").alias(role) for role in ROLES],
         F.expr("transform(cols, i -> get(cells, i))").alias("cells"),
+        *extra,
     )

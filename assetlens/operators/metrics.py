@@ -14,10 +14,14 @@ from assetlens.operators.filters import (
     marked_for_replacement,
     selected,
 )
+from assetlens.operators.ranks import with_row_numbers
 from assetlens.plans.register import Register
+from assetlens.session import staged
 
 # Fixed value: how many values a ranking shows.
 TOP = 10
+#: Models in one row of the cross-tab in blocks.
+MODELS_PER_BLOCK = 1000
 
 
 def kpi_columns(total: Column, replacement: Column) -> list[Column]:
@@ -239,11 +243,38 @@ def region_model_map(register: Register) -> DataFrame | None:
     return by_region.unionByName(grand).orderBy("is_total", "region")
 
 
+def region_model_blocks(register: Register, models_per_block: int = MODELS_PER_BLOCK) -> DataFrame | None:
+    """The cross-tab in wide form, cut into blocks of neighbouring models, for any number of models.
+
+    Models are numbered in their order, and each run of `models_per_block` is a block. A row has a region
+    and a block: `first_model` and `last_model` of the block, `models` with the region's count of each of
+    the block's models that it has, and `total`, their sum. Rows with `is_total` and no region are the
+    totals of all regions. So a row holds a bounded number of models, none is gathered on the driver,
+    and the plan is the same for any number of them. Totals are summed over the counted cells. A region that
+    has none of a block's models has no row for it.
+    """
+    cells = region_model_counts(register)
+    if cells is None:
+        return None
+    cells = staged(cells)
+    totals = cells.groupBy("model").agg(F.sum("n").alias("n"))
+    block = F.floor(F.col("place") / models_per_block).alias("block")
+    numbered = staged(with_row_numbers(totals, ["model"], "place").select("model", "n", block))
+    ends = numbered.groupBy("block").agg(F.min("model").alias("first_model"), F.max("model").alias("last_model"))
+    of_regions = cells.join(numbered.select("model", "block"), "model").withColumn("is_total", F.lit(False))
+    of_all = numbered.withColumns({"region": F.lit(None).cast("string"), "is_total": F.lit(True)})
+    listed = F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "n")))).alias("models")
+    rows = of_regions.unionByName(of_all).groupBy("is_total", "region", "block").agg(listed, F.sum("n").alias("total"))
+    return rows.join(ends, "block").select(
+        "region", "block", "first_model", "last_model", "models", "total", "is_total"
+    )
+
+
 def pivot_models(register: Register) -> list[str]:
     """The models in order, as columns for the wide cross-tab.
 
     Runs a job and holds the list on the driver, as the plan with a column per model does anyway;
-    for very many models use `region_model_map` or the long form, `region_model_cube`.
+    for very many models use `region_model_blocks` or the long form, `region_model_cube`.
     """
     rows = value_counts(register, "model").select("model").orderBy("model")
     return [row["model"] for row in rows.collect()]

@@ -1,12 +1,15 @@
 """Rules that are easily got wrong, one test each."""
 
+import re
+
 import pytest
 
 from assetlens import FilterSpec, Register, apply_filters
 from assetlens.errors import SearchPatternError
 from assetlens.functions.dates import lenient_date, moment
-from assetlens.operators import filters, metrics, quality
+from assetlens.operators import filters, formats, metrics, quality
 from assetlens.operators.derive import age_known, derived, with_age
+from assetlens.operators.headers import canonical_rows, register_table
 from templates import table
 
 
@@ -219,6 +222,69 @@ def test_wide_form_without_a_column_per_model(spark):
     assert [(x["region"], x["models"], x["total"]) for x in nothing] == [(None, [], 0)]
 
 
+def test_cross_tab_in_blocks_of_very_many_models(spark):
+    """No list of models anywhere, rows of bounded size, and a plan that doesn't know how many models there are."""
+    rows = spark.range(300_000).selectExpr(
+        "concat('m', lpad(id % 100000, 6, '0')) AS Model", "if(id % 3 = 0, 'p', 'q') AS Place"
+    )
+    r = Register.of(rows)
+    blocks = metrics.region_model_blocks(r)
+    found = blocks.selectExpr("*", "size(models) AS n").drop("models").collect()
+    assert {x["n"] for x in found} == {1000} and len(found) == 300
+    assert sum(x["total"] for x in found if x["is_total"]) == 300_000
+    assert {x["region"] for x in found} == {None, "p", "q"}
+    ends = sorted((x["block"], x["first_model"], x["last_model"]) for x in found if x["is_total"])
+    assert ends == [(b, f"m{b * 1000:06}", f"m{b * 1000 + 999:06}") for b in range(100)]
+    one = blocks.where("region = 'p' and block = 7").first()
+    assert one["models"] == {f"m{k:06}": 1 for k in range(7000, 8000)}
+    few = Register.of(spark.createDataFrame([("m", "p")], "Model string, Place string"))
+    shape = [re.sub(r"\d+", "", metrics.region_model_blocks(x)._jdf.queryExecution().optimizedPlan().toString()) for x in (r, few)]
+    assert len(shape[0].splitlines()) == len(shape[1].splitlines())
+    assert len(metrics.region_model_blocks(few).collect()) == 2
+    assert metrics.region_model_blocks(few.with_rows(few.df.where("model = 'z'"))).count() == 0
+
+
+def test_domains_in_order_of_appearance(spark):
+    header = ["Asset Tag", "Model", "User", "Site", "Place"]
+    cells = [header, ["1", "b", "u", "s2", ""], ["2", "a", "u", "s1", "x"], ["3", "b", "u", "s2", "x"]]
+    rows = [("p", "s", k, c) for k, c in enumerate(cells)]
+    grid = spark.createDataFrame(rows, "path string, sheet string, pos bigint, cells array<string>")
+    found = filters.domains_in_order(canonical_rows(grid, register_table(grid), with_present=True)).collect()
+    domains: dict = {}
+    for x in sorted(found, key=lambda x: x["first_row"]):
+        domains.setdefault(x["role"], []).append(x["value"])
+    assert domains == {"model": ["b", "a"], "site": ["s2", "s1"], "place": [None, "x"]}
+
+
+def test_date_formats_are_elected_by_the_first_value(spark):
+    values = {
+        "iso": [None, "2020-05-04", "04/05/2020", "2020-13-01"],
+        "day first": ["13/01/2020", "02/01/2020", "2020-01-05"],
+        "month first": ["01/13/2020", "02/01/2020", "02/14/2020"],
+        "either": ["01/02/2020", "03/04/2020"],
+        "either, but later": ["01/02/2020", "03/25/2020"],
+        "unread first": ["unknown", "04 May 2020", "05 May 2020", "2020-01-01"],
+        "nothing": [None, None],
+        "no dates": ["x", "17"],
+    }
+    rows = [(p, "s", k, v) for p, vs in values.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "path string, sheet string, pos bigint, value string")
+    elected = formats.elected_formats(df, "value")
+    found = {x["path"]: (x["date_format"], x["n_values"], x["n_read"]) for x in elected.collect()}
+    assert found == {
+        "iso": ("ISO", 3, 1), "day first": ("dd/MM/yyyy", 3, 2), "month first": ("MM/dd/yyyy", 3, 3),
+        "either": ("dd/MM/yyyy", 2, 2), "either, but later": ("MM/dd/yyyy", 2, 2),
+        "unread first": ("dd MMM yyyy", 4, 2), "nothing": (None, 0, 0), "no dates": (None, 2, 0),
+    }
+    dated = formats.with_elected_dates(df, elected, "value", "date", rows_per_slice=2)
+    dates = {(x["path"], x["pos"]): x["date"] and f"{x['date']:%Y-%m-%d}" for x in dated.collect()}
+    assert len(dates) == len(rows)
+    assert [dates["iso", k] for k in range(4)] == [None, "2020-05-04", None, None]
+    assert [dates["day first", k] for k in range(3)] == ["2020-01-13", "2020-01-02", None]
+    assert dates["either, but later", 0] == "2020-01-02" and dates["unread first", 3] is None
+    assert dates["no dates", 1] is None
+
+
 def test_domains_of_a_typed_register(spark):
     from assetlens.plans.register import Register
 

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 
 from assetlens import FilterSpec, Register, dashboard
+from assetlens.sinks import exports
 from assetlens.sinks.exports import export_name, with_typed_headers, write_export
 from templates import (
     AS_OF,
@@ -57,3 +58,47 @@ def test_headers_that_clash_keep_column_names(spark, tmp_path):
     assert with_typed_headers(register).columns == ["model", "model_2"]
     write_export(register, str(tmp_path / "x"))
     assert spark.read.parquet(str(tmp_path / "x")).first() == ("a", "b")
+
+
+def odd_register(spark):
+    rows = [("m1", "", None), (" m2 ", 'say "x"', "a,b"), ("m3", "two\nlines", "é"), (None, None, None)]
+    return Register.of(spark.createDataFrame(rows, "Model string, `Asset Tag` string, Place string"))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_committed_exports(spark, tmp_path, fmt):
+    register = odd_register(spark)
+    folder = str(tmp_path / "out")
+    manifest = exports.commit_export(register, folder, fmt)
+    assert manifest["rows"] == 4 and exports.read_manifest(spark, folder) == manifest
+    back = exports.read_export(spark, folder)
+    assert back.columns == ["Model", "Asset Tag", "Place"]
+    expected = [tuple((v or None) if fmt == "csv" else v for v in r) for r in register.df.collect()]
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(expected, key=repr)
+    assert exports.content_digest(back) == (manifest["rows"], manifest["digest"])
+    with pytest.raises(FileExistsError):
+        exports.commit_export(register, folder, fmt)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    broken = odd_register(spark)
+    broken = broken.with_rows(broken.df.selectExpr("*", "raise_error(model) AS broken"))
+    with pytest.raises(Exception, match="m1|m2|m3|null"):
+        exports.commit_export(broken, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(FileNotFoundError):
+        exports.read_export(spark, str(tmp_path / "out"))
+
+
+def test_the_digest_tells_rows_apart(spark):
+    rows = odd_register(spark).df
+    assert exports.content_digest(rows) == exports.content_digest(rows.repartition(3).orderBy("place"))
+    for other in (rows.where("model <> 'm1'"), rows.na.fill("x"), rows.union(rows.limit(1))):
+        assert exports.content_digest(other) != exports.content_digest(rows)
+
+
+def test_committed_names(spark, tmp_path):
+    register = Register.of(table(spark, WORKSTATION_HEADERS, WORKSTATION_ROWS))
+    folders = exports.commit_exports(str(tmp_path), register, register.where(register.col("model") == "zzz"), None, DAY)
+    assert {k: v.rsplit("/", 1)[1] for k, v in folders.items()} == {"all": "workstation_assets_20250615"}
