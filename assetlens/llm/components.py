@@ -40,7 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = frames.staged(edges.filter("a != b").distinct(), "edges")
     before, now = None, state(edges)
     while now[0] and now != before:
-        edges = frames.staged(small_star(frames.staged(large_star(edges), "edges")), "edges")
+        large = frames.staged(large_star(edges), "edges")
+        frames.dropped(edges)
+        edges = frames.staged(small_star(large), "edges")
+        frames.dropped(large)
         before, now = now, state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assetlens.session import checkpoint_folder
+
 SLOT_BITS = 26
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names; in a local session without one, a new folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that executors share")
-        folder = tempfile.mkdtemp(prefix="assetlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return checkpoint_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +31,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `staged`, once nothing that is still to be computed reads them."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of jobs that are over.
+
+    They do so when the driver's JVM finds that nothing refers to them, which it may not look for in hours.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def whole(text: Column) -> Column:

@@ -18,14 +18,17 @@ from assetlens.llm.components import components
 GROUP_TOKENS = 16_384
 #: A token is demoted in the order of tokens if more sets than this have it among their first.
 FEW = 4
-#: Of the tokens counted that often, at most so many are demoted, the most frequent ones.
-MOST_DEMOTED = 1 << 20
-ROUNDS = 2
+#: Tokens are counted over so many times the first tokens: some come first only once others are demoted.
+LOOKED_AT = 2
 #: Linked sets must have one first token in common, and one more for so many tokens they have.
 TOKENS_PER_COMMON = 20
 SLOTS = 24
+#: Frequent tokens are told apart up to this logarithm of their number.
+TOP_LEVEL = 31
 #: Bits of the tables that tell which tokens and sets may matter: 16 MB each.
 TABLE_BITS = 27
+#: Rows of a class, and so of copies of one text, that may meet in one task.
+ROWS_PER_SLICE = 100_000
 FLUSH_BYTES = 4 << 20
 
 
@@ -42,18 +45,19 @@ def common(n: int) -> int:
     return 1 + n // TOKENS_PER_COMMON
 
 
-def first_tokens(tokens: np.ndarray, per_cent: int, demoted: np.ndarray | None) -> np.ndarray:
+def first_count(count: int, per_cent: int) -> int:
+    return count - needed(count, per_cent) + common(count)
+
+
+def first_tokens(tokens: np.ndarray, per_cent: int, demoted: np.ndarray) -> np.ndarray:
     """As many tokens as may be missing, and `common(n)` more: so many any linked set has among its own.
 
     Of two sizes the smaller number holds, as each set's first tokens include those for it.
     They come first in the order of (times demoted, hash). Any order finds all links, as long as
     it is the same for all sets; one with frequent tokens last finds few others.
     """
-    count = len(tokens) - needed(len(tokens), per_cent) + common(len(tokens))
-    if demoted is None:
-        return tokens[:count]
     level = demoted[tokens >> np.uint64(64 - SLOTS)]
-    return tokens[np.lexsort((tokens, level))[:count]]
+    return tokens[np.lexsort((tokens, level))[: first_count(len(tokens), per_cent)]]
 
 
 def over_sets(size: int, make, columns: list[pa.Field]):
@@ -94,52 +98,61 @@ ADDRESS = pa.field("cls", pa.binary())
 TOKENS = pa.field("tokens", pa.list_(pa.int64()))
 
 
-def firsts(
-    texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray | None, table: np.ndarray | None = None
-) -> DataFrame:
-    """cls and first tokens of each set; with `table` only those tokens that it holds."""
-    hints = texts.sparkSession.sparkContext.broadcast((demoted, table))
+def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
+    """How late tokens come in the order, by the top bits of their hash: a table of fixed size, 16 MB.
+
+    The tokens that come first by hash alone, and as many after them, are counted over all sets (more
+    than once, if tasks share copies of a set). A frequent one is demoted by the logarithm of its count;
+    of tokens with the same top bits the most frequent counts. Spark makes a bitmap per level of these, so that
+    the driver gets no tokens, and no more than the bitmaps however many tokens there are. The table
+    is a hint: whatever it holds, the links are the same.
+    """
 
     def make(address: bytes, tokens: np.ndarray) -> tuple | None:
-        demoted, table = hints.value
-        some = first_tokens(tokens, per_cent, demoted)
-        if table is not None:
-            some = some[held(table, some)]
-        return (address, some) if len(some) else None
+        return address, tokens[: LOOKED_AT * first_count(len(tokens), per_cent)]
+
+    looked_at = texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
+    counts = looked_at.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    slot = F.shiftrightunsigned("token", 64 - SLOTS)
+    level = F.least(F.floor(F.log2("n")).cast("int"), F.lit(TOP_LEVEL))
+    levels = counts.filter(F.col("n") > FEW).groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
+    at = F.col("slot") + 1
+    bitmaps = levels.groupBy("level", F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    demoted = np.zeros(1 << SLOTS, dtype=np.uint8)
+    for row in bitmaps.collect():
+        bits = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little")
+        demoted[(row.bucket - 1) * len(bits) :][: len(bits)][bits == 1] = row.level
+    return demoted
 
-    return texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
 
+def firsts(texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray) -> DataFrame:
+    """cls and first tokens of each set."""
+    order = texts.sparkSession.sparkContext.broadcast(demoted)
 
-def token_counts(texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray | None) -> DataFrame:
-    """How many sets have each token among their first (more, if tasks share copies of a set)."""
-    found = firsts(texts, size, per_cent, demoted).select(F.explode("tokens").alias("token"))
-    return found.groupBy("token").agg(F.count("*").alias("n"))
+    def make(address: bytes, tokens: np.ndarray) -> tuple | None:
+        return address, first_tokens(tokens, per_cent, order.value)
 
+    return texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
 
-def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
-    """How late tokens come in the order, by the top bits of their hash: a table of fixed size, 16 MB.
 
-    Each round counts the tokens that come first so far, over all sets; the frequent ones are
-    demoted by the logarithm of their count. The number kept is bounded by raising the count from
-    which a token is frequent. The table is a hint: whatever it holds, the links are the same.
-    """
-    demoted = None
-    for _ in range(ROUNDS):
-        counts = token_counts(texts, size, per_cent, demoted).filter(F.col("n") > FEW)
-        level = F.floor(F.log2("n")).cast("int").alias("level")
-        counts = frames.staged(counts.select("token", level), "frequent")
-        at_level = counts.groupBy("level").count().orderBy(F.desc("level")).collect()
-        kept, least = 0, 99
-        for level, n in at_level:
-            if (kept := kept + n) > MOST_DEMOTED:
-                break
-            least = level
-        if demoted is None:
-            demoted = np.zeros(1 << SLOTS, dtype=np.uint8)
-        table = counts.filter(F.col("level") >= least).toArrow()
-        slots = table["token"].to_numpy().view(np.uint64) >> np.uint64(64 - SLOTS)
-        np.maximum.at(demoted, slots, table["level"].to_numpy().astype(np.uint8))
-    return demoted
+def only_held(sets: DataFrame, table: np.ndarray) -> DataFrame:
+    """`sets` (cls, tokens) with only those tokens that the table may hold, without sets that have none."""
+    kept = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy().view(np.uint64)
+            there = held(kept.value, tokens)
+            before = np.append(0, np.cumsum(there))
+            ends = before[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+            some = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[there].view(np.int64)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), some], ["cls", "tokens"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 def linked(
@@ -175,7 +188,7 @@ def linked(
 
 
 def verified(per_cent: int):
-    """Links between and within groups: spanning ones as (cls, other), all counted per cls."""
+    """Links between and within groups: as many of them as span their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +198,7 @@ def verified(per_cent: int):
                 queries, group = sides[0], sides[0] if own else sides[1]
                 names = [name for name, _ in queries] + ([] if own else [name for name, _ in group])
                 shift = 0 if own else len(queries)
-                parent, count, edges = list(range(len(names))), [0] * len(names), []
+                parent, edges = list(range(len(names))), []
 
                 def root(x: int, parent: list[int] = parent) -> int:
                     while parent[x] != x:
@@ -193,18 +206,13 @@ def verified(per_cent: int):
                     return x
 
                 for query, other in linked(queries, group, per_cent, own):
-                    x, y = query, other + shift
-                    count[x] += 1
-                    count[y] += 1
-                    if root(x) != root(y):
-                        parent[root(x)] = root(y)
-                        edges.append((names[x], names[y], 0))
-                edges += [(name, None, n) for name, n in zip(names, count, strict=True) if n]
+                    x, y = root(query), root(other + shift)
+                    if x != y:
+                        parent[x] = y
+                        edges.append((names[query], names[other + shift]))
                 if edges:
-                    a, b, n = zip(*edges, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"]
-                    )
+                    a, b = zip(*edges, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
@@ -277,10 +285,12 @@ def met(sets: DataFrame, keys: list[str], per_cent: int) -> DataFrame:
     """Links of the sets (`keys`, cls, tokens, side 0 or 1) that meet under the same keys."""
     listed = [F.collect_list(F.when(F.col("side") == k, F.struct("cls", "tokens"))).alias(f"side_{k}") for k in (0, 1)]
     meeting = sets.groupBy(*keys).agg(*listed).select("side_0", "side_1")
-    return frames.staged(meeting.mapInArrow(verified(per_cent), "a binary, b binary, n bigint"), "links")
+    return frames.staged(meeting.mapInArrow(verified(per_cent), "a binary, b binary"), "links")
 
 
-def through_hubs(texts: DataFrame, found: DataFrame, grouped: DataFrame, size: int, per_cent: int, width: float) -> DataFrame:
+def through_hubs(
+    texts: DataFrame, found: DataFrame, grouped: DataFrame, size: int, per_cent: int, width: float
+) -> DataFrame:
     """node and root of components that links with hubs show; there may be more links.
 
     Hubs of a token are the sets with the smallest and the largest address that have it among their
@@ -292,99 +302,132 @@ def through_hubs(texts: DataFrame, found: DataFrame, grouped: DataFrame, size: i
     both = F.array(*[f(F.struct("cls", "band")) for f in (F.min, F.max)])
     hubs = cells.groupBy("token").agg(both.alias("hubs"), F.count("*").alias("n")).filter("n > 1")
     hubs = frames.staged(hubs.select("token", F.explode(F.array_distinct("hubs")).alias("hub")), "hubs")
-    hubs = hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.band").alias("hub_band"))
-    shared = cells.select("group", "band", "token").distinct().join(hubs, "token").filter("abs(band - hub_band) <= 1")
+    named = hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.band").alias("hub_band"))
+    shared = cells.select("group", "band", "token").distinct().join(named, "token")
+    shared = shared.filter("abs(band - hub_band) <= 1")
     ends = frames.staged(enough_cells(shared, width, ["hub", "group"], ("band", "hub_band")), "hub-ends")
+    frames.dropped(hubs)
+    frames.forget_shuffles(texts.sparkSession)
     wanted = grouped.join(ends.select("group").distinct(), "group", "left_semi").select("cls").union(ends.select("hub"))
-    sets = frames.staged(opened_sets(texts, size, frames.staged(wanted.distinct(), "hub-wanted")), "hub-sets")
-    one = ends.join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", "group", F.col("hub").alias("cls"), "tokens", F.lit(0).alias("side"))
-    two = sets.join(grouped.select("cls", "group"), "cls").join(ends, "group").select("hub", "group", "cls", "tokens", F.lit(1).alias("side"))
-    return components(met(one.union(two), ["hub", "group"], per_cent).filter("b IS NOT NULL").select("a", "b"))
+    wanted = frames.staged(wanted.distinct(), "hub-wanted")
+    sets = frames.staged(opened_sets(texts, size, wanted), "hub-sets")
+    hub_sets = sets.withColumnRenamed("cls", "hub")
+    one = ends.join(hub_sets, "hub").select("hub", "group", F.col("hub").alias("cls"), "tokens", F.lit(0).alias("side"))
+    placed = sets.join(grouped.select("cls", "group"), "cls")
+    two = placed.join(ends, "group").select("hub", "group", "cls", "tokens", F.lit(1).alias("side"))
+    links = met(one.union(two), ["hub", "group"], per_cent)
+    frames.dropped(ends, wanted, sets)
+    frames.forget_shuffles(texts.sparkSession)
+    return components(links)
+
+
+def candidates(cells: DataFrame, width: float) -> DataFrame:
+    """Pairs of groups (a, b) that aren't of one component so far and have enough cells in common."""
+    one, two = cells.alias("one"), cells.alias("two")
+    apart = F.coalesce(F.col("one.comp") != F.col("two.comp"), F.lit(True))
+    near = F.abs(F.col("one.band") - F.col("two.band")) <= 1
+    ordered = F.col("one.group") < F.col("two.group")
+    pairs = one.join(two, (F.col("one.token") == F.col("two.token")) & ordered & near & apart)
+    pairs = pairs.select(
+        *[F.col(f"one.{c}").alias(f"{c}_a") for c in ("group", "band")],
+        *[F.col(f"two.{c}").alias(f"{c}_b") for c in ("group", "band")],
+    ).withColumnsRenamed({"group_a": "a", "group_b": "b"})
+    return enough_cells(pairs, width, ["a", "b"], ("band_a", "band_b"))
+
+
+def with_results(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """`rows` (id, n, cls, ...) with the columns of `results` (cls, copies, ...), which has a row per class.
+
+    The copies of a class with more than ROWS_PER_SLICE rows are spread over slices by their ids. There is
+    at most one such class per ROWS_PER_SLICE rows, so the list of them is small enough to be broadcast.
+    """
+    slices = F.ceil(F.col("copies") / ROWS_PER_SLICE).cast("int")
+    hot = F.broadcast(results.filter(F.col("copies") > ROWS_PER_SLICE).select("cls", slices.alias("slices")))
+    spread = F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("slices")))
+    left = rows.join(hot, "cls", "left").withColumn("slice", spread.cast("int")).drop("slices")
+    every = F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))
+    return left.join(results.withColumn("slice", every).drop("copies"), ["cls", "slice"], "left")
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, per_cent: int = 90,
-    count_links: bool = True,
-) -> DataFrame:
-    """Per row of `docs`: id, n_shingles, component_id, set_id and, with `count_links`, n_links.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, per_cent: int = 90
+) -> DataFrame:
+    """Per row of `docs`: id, n_shingles, component_id and set_id.
 
     A text's set holds its distinct shingles of `size` words, A-Z as a-z; of fewer words, the whole
     sequence. Two sets link when 100 * intersection >= per_cent * union. component_id is the
-    smallest id reachable by links, n_links the number of other sets linked with the row's.
+    smallest id reachable by links.
 
     1. Equal sets are one class; all else works on classes. Classes with the same smallest token
        and about the same size make a group, cut by the classes' address where it is large.
-    2. The matrix has a cell per group and token that comes first in one of its sets. Groups
-       with enough cells of the same tokens, and sizes that allow a link, are candidates.
-       Bit tables of fixed size spare tokens that no other set has among its first.
-    3. Sets of candidate groups are read once more; a bit table spares the others.
+    2. The matrix has a cell per group and token that comes first in one of its sets. Bit tables of
+       fixed size spare tokens that no other set has among its first.
+    3. Links with hubs are found first (`through_hubs`), and the sets of a component found so make groups
+       of their own: a cluster of n similar sets costs no pairs of its groups.
+    4. Groups with enough cells of the same tokens, and sizes that allow a link, are candidates, if they
+       aren't of one component yet. Their sets are read once more; a bit table spares the others.
        Each pair of candidate groups meets in one row, where the union of one bounds
        the overlap with each set of the other before its sets are compared, exactly.
-    4. Spanning links of each pair of groups give the components.
-
-    To count links, all candidate groups must meet, and a cluster of similar sets has pairs of groups
-    by the square. Components don't need that: without `count_links`, links with hubs are found
-    first, the sets of a component found so make groups of their own, and only groups that aren't of
-    one component meet. The components are the same.
+    5. Spanning links of each pair of groups, and the components of hubs, give the components.
 
     Texts without words, missing ones included, have no shingles and are alone. A missing id is
-    passed over by the minimum; a component without ids has none. Repeated rows are one class. An
-    empty table gives an empty one; further columns are not read.
+    passed over by the minimum; a component without ids has none. Repeated rows are one class. Texts of any
+    length are whole; the sets of two groups, or of a longer text's one set, have to fit into a task. An
+    empty table gives an empty one; further columns are not read. Tables written on the way are deleted
+    once they have been read.
     """
+    spark = docs.sparkSession
     whole = frames.whole(F.col(text_col)).alias("text")
     texts = docs.select(whole)
     rows = frames.staged(addressed(docs.select(F.col(id_col).alias("id"), whole), size), "sets")
     width = float(np.log(100 / per_cent) * 1.0001) if per_cent < 100 else 1e-9
     band = F.floor(F.log(F.col("n").cast("double")) / width).alias("band")
-    classes = frames.staged(
-        rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min("id").alias("min_id")).select("*", band),
-        "classes",
+    per_class = rows.filter("n > 0").groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("low").alias("low"), F.min("id").alias("min_id"), F.count("*").alias("copies")
     )
+    classes = frames.staged(per_class.select("*", band), "classes")
+
+    first = frames.staged(firsts(texts, size, per_cent, demotions(texts, size, per_cent)), "firsts")
+    counts = first.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = frames.staged(only_held(first, bit_table(counts.filter("n > 1").select("token"))), "found")
+    frames.dropped(first)
+    frames.forget_shuffles(spark)
+
     grouped = in_groups(classes.withColumn("root", F.lit(None).cast("binary")))
-    demoted = demotions(texts, size, per_cent)
-    shared = bit_table(token_counts(texts, size, per_cent, demoted).filter("n > 1").select("token"))
-    found = firsts(texts, size, per_cent, demoted, shared)
-    known = None
-    if not count_links:
-        found = frames.staged(found, "firsts")
-        known = frames.staged(through_hubs(texts, found, grouped, size, per_cent, width), "hub-components")
-        grouped = in_groups(classes.join(known.withColumnRenamed("node", "cls"), "cls", "left"))
-    cells = frames.staged(
-        found.join(grouped, "cls").select("group", "band", "comp", F.explode("tokens").alias("token")).distinct(), "matrix"
-    )
-    one, two = cells.alias("one"), cells.alias("two")
-    apart = F.coalesce(F.col("one.comp") != F.col("two.comp"), F.lit(True))
-    pairs = one.join(
-        two,
-        (F.col("one.token") == F.col("two.token")) & (F.col("one.group") < F.col("two.group"))
-        & (F.abs(F.col("one.band") - F.col("two.band")) <= 1) & apart,
-    ).select(F.col("one.group").alias("a"), F.col("two.group").alias("b"), F.col("one.band").alias("band_a"), F.col("two.band").alias("band_b"))
-    pairs = frames.staged(enough_cells(pairs, width, ["a", "b"], ("band_a", "band_b")), "pairs")
+    known = frames.staged(through_hubs(texts, found, grouped, size, per_cent, width), "hub-components")
+    grouped = in_groups(classes.join(known.withColumnRenamed("node", "cls"), "cls", "left"))
+    cells = found.join(grouped, "cls").select("group", "band", "comp", F.explode("tokens").alias("token"))
+    cells = frames.staged(cells.distinct(), "matrix")
+    pairs = frames.staged(candidates(cells, width), "pairs")
+    frames.dropped(found, cells)
+    frames.forget_shuffles(spark)
+
     owner = F.coalesce("comp", F.xxhash64("cls"))
     inner = grouped.groupBy("group").agg(F.min(owner).alias("least"), F.max(owner).alias("most")).filter("least != most")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("group")).union(
         inner.select(F.col("group").alias("a"), F.col("group").alias("b"), "group")
     )
     ends = frames.staged(ends, "ends")
-    wanted = frames.staged(grouped.join(ends.select("group").distinct(), "group").select("group", "cls"), "wanted")
+    wanted = grouped.join(ends.select("group").distinct(), "group").select("group", "cls")
+    wanted = frames.staged(wanted, "wanted")
     sets = opened_sets(texts, size, wanted).join(wanted, "cls").join(ends, "group")
-    links = met(sets.select("a", "b", "cls", "tokens", (F.col("group") != F.col("a")).cast("int").alias("side")), ["a", "b"], per_cent)
-    spanning = links.filter("b IS NOT NULL").select("a", "b")
-    forest = components(spanning if known is None else spanning.union(known.select("node", "root")))
+    side = (F.col("group") != F.col("a")).cast("int").alias("side")
+    links = met(sets.select("a", "b", "cls", "tokens", side), ["a", "b"], per_cent)
+    frames.dropped(pairs, ends, wanted)
+    frames.forget_shuffles(spark)
+
+    forest = components(links.union(known.select("node", "root")))
     named = classes.join(forest.withColumnRenamed("node", "cls"), "cls")
     smallest = named.groupBy("root").agg(F.min("min_id").alias("component"))
     placed = named.select("cls", "root").join(smallest, "root").select("cls", "component")
-    results = classes.join(placed, "cls", "left").select("cls", F.coalesce("component", "min_id").alias("component_id"))
-    extra = []
-    if count_links:
-        degrees = links.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_links"))
-        results = results.join(degrees, "cls", "left")
-        extra = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    return rows.join(frames.staged(results, "class-results"), "cls", "left").select(
+    results = classes.join(placed, "cls", "left").select(
+        "cls", "copies", F.coalesce("component", "min_id").alias("component_id")
+    )
+    results = frames.staged(results, "class-results")
+    return with_results(rows, results).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        *extra,
         F.lower(F.hex("cls")).alias("set_id"),
     )
 
@@ -394,14 +437,19 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Of each component one row stays: one with the smallest id, and of several such rows the first
     by number. Rows without words are no duplicates of anything and all stay. Rows get their
-    number when they are written once, are decided on without their texts, and texts of those that
-    stay move once.
+    number when they are written once, and are decided on without their texts. A bitmap of fixed size tells
+    which rows may have to go: only their texts are shuffled. Missing ids come after all others;
+    an empty table gives an empty one; columns may bear any name.
     """
     rows = frames.staged(frames.numbered(docs.select(F.struct("*").alias("row"))), "dedup-docs")
-    text = F.col(f"row.`{text_col}`").alias("text")
-    found = similar_groups(rows.select(F.struct(F.col(f"row.`{id_col}`").isNull().alias("missing"), F.col(f"row.`{id_col}`").alias("id"), "marker").alias("place"), text), "place", "text", count_links=False, **rule)
-    stay = found.filter(F.col("place") == F.col("component_id")).select(F.col("place.marker").alias("marker"))
-    return rows.join(frames.staged(stay, "dedup-stay"), "marker", "left_semi").select("row.*")
+    row_id = F.col(f"row.`{id_col}`")
+    place = F.struct(row_id.isNull().alias("missing"), row_id.alias("id"), "marker").alias("place")
+    found = similar_groups(rows.select(place, F.col(f"row.`{text_col}`").alias("text")), "place", "text", **rule)
+    go = found.filter(F.col("place") != F.col("component_id")).select(F.col("place.marker").alias("marker"))
+    go = frames.staged(go, "dedup-go")
+    asked = frames.with_possible(rows, frames.slot_bitmaps(go), "marker")
+    stay = asked.filter("NOT possible").select("row.*")
+    return stay.union(asked.filter("possible").join(go, "marker", "left_anti").select("row.*"))
 
 
 def addressed(rows: DataFrame, size: int) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from assetlens.llm import components, ngram_join, shingles
+from assetlens.llm import components, frames, ngram_join, shingles
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -40,12 +40,11 @@ def check(docs, size, per_cent):
     for r in rows:
         classes[shingle_set(r.text, size)].append(r.doc_id)
     classes.pop(frozenset(), None)
-    sets, index, links, degree = list(classes), defaultdict(list), [], Counter()
+    sets, index, links = list(classes), defaultdict(list), []
     for at, tokens in enumerate(sets):
         for other, common in Counter(k for t in tokens for k in index[t]).items():
             if 100 * common >= per_cent * (len(tokens) + len(sets[other]) - common):
                 links.append((at, other))
-                degree.update((at, other))
         for t in tokens:
             index[t].append(at)
     root = roots(range(len(sets)), links)
@@ -58,15 +57,11 @@ def check(docs, size, per_cent):
         tokens = shingle_set(r.text, size)
         if tokens:
             at = number[tokens]
-            want[(r.doc_id, len(tokens), min(least[root[at]], default=None), degree[at])] += 1
+            want[(r.doc_id, len(tokens), min(least[root[at]], default=None))] += 1
         else:
-            want[(r.doc_id, 0, r.doc_id, 0)] += 1
+            want[(r.doc_id, 0, r.doc_id)] += 1
     found = ngram_join.similar_groups(docs, size=size, per_cent=per_cent).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found) == want
-    found = ngram_join.similar_groups(docs, size=size, per_cent=per_cent, count_links=False).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter(
-        k[:3] for k in want.elements()
-    )
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
     return len(links)
 
 
@@ -86,6 +81,7 @@ def copies(seed, n):
 @pytest.mark.parametrize(("size", "per_cent"), [(3, 90), (5, 80), (2, 60), (1, 100)])
 def test_copies(spark, size, per_cent, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 200)
+    monkeypatch.setattr(ngram_join, "ROWS_PER_SLICE", 3)
     docs = spark.createDataFrame(list(copies(size, 250)), "doc_id bigint, text string")
     assert check(docs, size, per_cent) > 0 or per_cent == 100
 
@@ -95,6 +91,38 @@ def test_tables(spark, medium, size, per_cent):
     assert check(spark.read.parquet(f"{medium}/documents.parquet"), size, per_cent) > 0
 
 
+def test_demotion_is_a_hint(spark, monkeypatch):
+    """Whatever tokens are demoted, the links are the same."""
+    docs = spark.createDataFrame(list(copies(7, 200)), "doc_id bigint, text string")
+    for few, looked_at in ((0, 1), (1, 50), (10**9, 2)):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        monkeypatch.setattr(ngram_join, "LOOKED_AT", looked_at)
+        assert check(docs, 3, 80) > 0
+
+
+def test_levels(spark):
+    """A token's level is the logarithm of how many sets have it among their first."""
+    texts = [("a b",)] * 3 + [(f"a b {k}",) for k in range(40)]
+    docs = spark.createDataFrame(texts, "text string")
+    demoted = ngram_join.demotions(docs, 1, 50)
+    sets = [shingles.shingle_set(w, 1) for w in shingles.texts_words(pa.array([t for t, in texts]))]
+    looked_at = [s[: ngram_join.LOOKED_AT * ngram_join.first_count(len(s), 50)] for s in sets[2:]]
+    counts = Counter(int(t) for s in looked_at for t in s)
+    for token, n in counts.items():
+        if n >= 40:
+            assert demoted[token >> 40] == 5
+    assert max(counts.values()) >= 40 and demoted.astype(bool).sum() == sum(n > ngram_join.FEW for n in counts.values())
+
+
+def test_tables_are_deleted(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(list(copies(3, 100)), "doc_id bigint, text string")
+    monkeypatch.setattr(frames, "shared_folder", lambda spark: str(tmp_path))
+    assert ngram_join.similar_groups(docs).count() == 100
+    left = {path.name.rsplit("-", 1)[0] for path in tmp_path.iterdir()}
+    assert "sets" in left
+    assert not left & {"firsts", "found", "matrix", "pairs", "ends", "wanted", "hubs", "hub-ends", "hub-sets"}
+
+
 def test_awkward(awkward, nothing):
     check(awkward, 3, 90)
     assert ngram_join.similar_groups(nothing).count() == 0

@@ -11,7 +11,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from assetlens.llm import decontaminate, ngram_join, quality, shingles
+from assetlens.llm import decontaminate, ngram_join, quality, queries, shingles
 
 
 def words_of(text):
@@ -44,17 +44,18 @@ def plain_tiles(text, item, least=5):
         marked_item.update(range(there, there + size))
 
 
-def test_tiles():
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_tiles(least):
     draw = random.Random(2)
     for _ in range(150):
-        item = draw.choices(range(4 if draw.random() < 0.3 else 40), k=draw.randint(5, 25))
+        item = draw.choices(range(4 if draw.random() < 0.3 else 40), k=draw.randint(least, 25))
         text = draw.choices(range(40), k=10)
         for _ in range(draw.randint(0, 4)):
             start = draw.randrange(len(item))
             text += item[start : start + draw.randint(3, 20)] + draw.choices(range(40), k=draw.randint(0, 3))
-        hashes = [shingles.windows(np.array(x, dtype=np.uint64) + np.uint64(9), 5).view(np.int64) for x in (text, item)]
+        hashes = [shingles.windows(np.array(x, dtype=np.uint64) + np.uint64(9), least).view(np.int64) for x in (text, item)]
         places = np.flatnonzero(np.isin(hashes[0], hashes[1]))
-        assert decontaminate.tiles(places, hashes[0][places], hashes[1], 5) == plain_tiles(text, item)
+        assert decontaminate.tiles(places, hashes[0][places], hashes[1], least) == plain_tiles(text, item, least)
 
 
 @pytest.fixture(scope="module")
@@ -77,28 +78,57 @@ def planted(spark):
     return spark.createDataFrame([*rows, rows[0], (None, rows[0][1]), (7, None)], "doc_id bigint, text string"), spark.createDataFrame([*tests, (9, tests[0][1]), (8, None), (None, "")], "item_id bigint, text string")
 
 
+def plain_leaks(docs, items, least=decontaminate.TILE_WORDS, coverage=decontaminate.COVERAGE):
+    """(doc_id, item_id, item_words, covered_words) by tiling every item that has a tile's words in common."""
+    items = [(i, words) for i, words in ((i, words_of(text)) for i, text in items) if words]
+    out = Counter()
+    for doc_id, text in docs:
+        words = words_of(text)
+        for item, own in items:
+            tile = min(least, len(own))
+            grams = {tuple(words[i : i + tile]) for i in range(len(words) - tile + 1)}
+            if any(tuple(own[i : i + tile]) in grams for i in range(len(own) - tile + 1)):
+                covered = sum(t[0] for t in plain_tiles(words, own, tile))
+                if covered >= coverage * len(own):
+                    out[doc_id, item, len(own), covered] += 1
+    return out
+
+
+def leak_rows(docs, tests):
+    return Counter((r.doc_id, r.item_id, r.item_words, r.covered_words) for r in decontaminate.leaks(docs, tests).collect())
+
+
+def pairs_of(df, key):
+    return [(r[key], r.text) for r in df.collect()]
+
+
 def test_planted_leaks(planted):
     docs, tests = planted
-    found = Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, tests).collect())
-    assert found == {(100, 0): 2, (100, 9): 2, (None, 0): 1, (None, 9): 1, (101, 0): 1, (101, 9): 1, (103, 1): 1, (105, 2): 1}
+    found = leak_rows(docs, tests)
+    assert found == plain_leaks(pairs_of(docs, "doc_id"), pairs_of(tests, "item_id"))
+    pairs = Counter()
+    for (doc, item, _, _), n in found.items():
+        pairs[doc, item] += n
+    assert pairs == {(100, 0): 2, (100, 9): 2, (None, 0): 1, (None, 9): 1, (101, 0): 1, (101, 9): 1, (103, 1): 1, (104, 3): 1, (105, 2): 1}
     kept = decontaminate.without_leaks(docs, tests)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([*range(20), 7, 102, 104])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*range(20), 7, 102])
 
 
-def test_leaks_against_plain(spark, small):
+def test_query_against_plain(spark, small):
     docs, tests = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
-    want = {}
-    items = {t.item_id: words_of(t.text) for t in tests.collect()}
-    for d in docs.collect():
-        text = words_of(d.text)
-        grams = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
-        for item, words in items.items():
-            if any(tuple(words[i : i + 5]) in grams for i in range(len(words) - 4)):
-                covered = sum(t[0] for t in plain_tiles(text, words))
-                if covered >= 0.8 * len(words):
-                    want[d.doc_id, item] = (len(words), covered)
-    rows = decontaminate.leaks(docs, tests).collect()
-    assert want and {(r.doc_id, r.item_id): (r.item_words, r.covered_words) for r in rows} == want
+    want = plain_leaks(pairs_of(docs, "doc_id"), pairs_of(tests, "item_id"))
+    rows = queries.op2_tiled_leaks(spark, small).collect()
+    assert want and Counter((r.doc_id, r.item_id, r.item_words, r.covered_words) for r in rows) == want
+
+
+def test_every_fourth_word_changed(spark):
+    """The rule is one, whatever an item's length."""
+    words = {n: [f"item{n}w{k}" for k in range(n)] for n in (12, 24, 25, 48, 100)}
+    texts = [(n, " ".join("changed" if k % 4 == 3 else w for k, w in enumerate(item))) for n, item in words.items()]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(n, " ".join(item)) for n, item in words.items()], "item_id bigint, text string")
+    found = decontaminate.leaks(docs, tests, coverage=0.7).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(n, n) for n in words}
 
 
 def test_edited_leaks(spark):
@@ -117,15 +147,17 @@ def test_short_items(spark):
     tests = spark.createDataFrame([(1, "one"), (2, "two words"), (4, "four words in all"), (0, "")], "item_id bigint, text string")
     texts = ["words two", "these two words", "x four words in all y", "four words here in all", "only One."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    rows = decontaminate.leaks(docs, tests, whole_short=True).collect()
+    rows = decontaminate.leaks(docs, tests).collect()
     assert sorted((r.doc_id, r.item_id, r.covered_words, r.tiles) for r in rows) == [(1, 2, 2, "1:0:2"), (2, 4, 4, "1:0:4"), (4, 1, 1, "1:0:1")]
-    assert decontaminate.leaks(docs, tests).isEmpty()
+    assert leak_rows(docs, tests) == plain_leaks(pairs_of(docs, "doc_id"), pairs_of(tests, "item_id"))
 
 
 def test_leaks_awkward(awkward, nothing, planted):
     tests = awkward.selectExpr("doc_id AS item_id", "text", "marker")
-    rows = decontaminate.leaks(awkward, tests).collect()
-    assert {(1, 2), (2, 1), (7, 7), (8, 8), (9, 9)} <= {(r.doc_id, r.item_id) for r in rows}
+    short = [(k, text) for k, text in pairs_of(awkward, "doc_id") if len(text or "") < 10_000]
+    some = {k: n for k, n in leak_rows(awkward, tests).items() if k[0] != 7 and k[1] != 7}
+    assert some == plain_leaks(short, short)
+    assert (7, 7) in {k[:2] for k in leak_rows(awkward, tests)}
     assert decontaminate.without_leaks(awkward, tests).columns == awkward.columns
     assert decontaminate.leaks(nothing, tests).count() == 0
     assert decontaminate.leaks(awkward, tests.limit(0)).count() == 0
@@ -198,7 +230,8 @@ def test_pipeline(spark, medium):
         left -= set(group)
         want.append(min(group))
     assert ids[1] == sorted(want)
-    leaked = {r.doc_id for r in decontaminate.leaks(docs, spark.read.parquet(f"{medium}/benchmark.parquet")).collect()}
+    items = pairs_of(spark.read.parquet(f"{medium}/benchmark.parquet"), "item_id")
+    leaked = {k[0] for k in plain_leaks([(k, given[k].text) for k in ids[1]], items)}
     assert leaked and ids[2] == [k for k in ids[1] if k not in leaked]
     assert max(Counter(ids[3]).values()) == 2 and set(ids[3]) <= set(ids[2]) and ids[4] == ids[3]
     assert sharded.columns == [*docs.columns, "shard", "slot"]
