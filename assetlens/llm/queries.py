@@ -94,17 +94,113 @@ def op8_source_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+#: crc32 of bytes by the table of its 256 steps.
+OP8_SQL = """
+WITH steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+    list_prepend(b::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda x, bit: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS step),
+d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+         md5('23:' || coalesce(doc_id::VARCHAR, '')) AS draw,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes
+  FROM documents),
+c AS (
+  SELECT * EXCLUDE (bytes, step), xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, bytes), lambda crc, b: xor(crc >> 8, step[((xor(crc, b) & 255) + 1)::INT])))::BIGINT AS text_crc32
+  FROM d, steps),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY k ORDER BY draw, doc_id NULLS FIRST) - 0.5::DOUBLE)
+            / count(*) OVER (PARTITION BY k) AS fraction, count(*) OVER () AS total FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY fraction, k, draw) - 1 AS place FROM r),
+s AS (SELECT *, place * 24 // total AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INT AS shard,
+       (place - (shard * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM s
+"""
+
+
 def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
-    return warc.read_archives(archives, payloads=False).drop("url")
+    return warc.read_archives(archives, payloads=False).drop("url", "archive", "at")
+
+
+#: A SHA-1 in hexadecimal, by five digits at a time, as four letters of base 32.
+BASE32_SQL = "list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda bits: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr({0}, 5 * i::INT + 1, 5))::BIGINT >> bits) & 31) + 1)::INT, 1)), 'string_agg', '')), 'string_agg', '')"
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id, sha1(payload) AS digest FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {BASE32_SQL.format("digest")} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
 
 
 def op6_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), size=3, per_cent=90)
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), size=3, per_cent=90).drop("set_id")
+
+
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(
+    range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM d),
+sized AS (SELECT doc_id, len(s)::BIGINT AS n, s FROM sets),
+tokens AS (SELECT doc_id, n, unnest(s) AS token FROM sized),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b
+  ON a.token = b.token AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sized UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, n AS n_shingles, component_id
+FROM sized JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = doc_id
+"""
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), frames.new_path(spark, "ledger")).drop("blob")
+    """Two deliveries to one ledger: the second, of all documents, scans only contents that the first hadn't."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = frames.new_path(spark, "ledger")
+    secret_scan.scan(docs.filter("crc32(cast(doc_id AS string)) % 2 = 0"), ledger)
+    return secret_scan.scan(docs, ledger).drop("blob")
+
+
+#: Of a kind: its name, its pattern, and which group must have how many characters.
+SECRET_SQL = [
+    (
+        "assign",
+        r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        8,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]{32,}", 0, 32),
+]
+
+
+def spans_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of a kind: what lies between them tells where they start."""
+    return f"""
+  SELECT doc_id, {order} AS kind, '{kind}' AS name, begins, begins + length(m) AS ends FROM (
+    SELECT doc_id, unnest(found) AS m, unnest(groups) AS g, unnest(list_transform(range(1, len(found) + 1), lambda i:
+      list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0)))::BIGINT AS begins
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {group}) AS groups,
+                 string_split_regex(t, '{pattern}') AS gaps FROM d))
+  WHERE length(g) >= {least}"""
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(spans_sql(i, *kind) for i, kind in enumerate(SECRET_SQL))}),
+listed AS (
+  SELECT doc_id, string_agg(name || ':' || begins || ':' || ends, ',' ORDER BY begins, kind) AS spans,
+         count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
 
 
 def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +335,10 @@ def llm_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op4_source_mix": OP4_SQL,
+        "op5_dictionary_warc": OP5_SQL,
+        "op6_ngram_groups": OP6_SQL,
+        "op7_secret_ledger": OP7_SQL,
+        "op8_source_shards": OP8_SQL,
         "op12_merkle_manifest": OP12_SQL,
         "op13_ranked_search": OP13_SQL,
     }

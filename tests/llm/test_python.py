@@ -106,6 +106,32 @@ def test_ledger_is_incremental(spark, awkward, nothing, tmp_path):
     assert secret_scan.scan(nothing, path).count() == 0
 
 
+def test_a_second_version_of_the_rules(spark, awkward, tmp_path):
+    """Contents are scanned once per version; what an earlier version found stays and isn't mixed in."""
+    path = str(tmp_path / "ledger")
+    before = {r.blob: r.spans for r in secret_scan.scan(awkward, path).collect()}
+    word = secret_scan.Rules("2", (re.compile("alpha", re.I), re.compile("long"), re.compile("zzz")), (bool,) * 3)
+    after = secret_scan.scan(awkward, path, rules=word).collect()
+    assert len(after) == awkward.count()
+    assert {r.n_assign for r in after if r.doc_id in (1, 2)} == {1}
+    assert {r.n_access for r in after if r.doc_id == 7} == {60_000}
+    entries = secret_scan.ledger(spark, path)
+    assert {r.rules: r["count"] for r in entries.groupBy("rules").count().collect()} == {"1": len(before), "2": len(before)}
+    assert {r.blob: r.spans for r in secret_scan.scan(awkward, path).collect()} == before
+    assert secret_scan.ledger(spark, path).count() == 2 * len(before)
+
+
+def test_seen_contents_are_not_scanned(spark, awkward, tmp_path):
+    """A ledger that is told other findings keeps to them: texts it has are not read again."""
+    path = str(tmp_path / "ledger")
+    secret_scan.scan(awkward.filter("doc_id = 8"), path)
+    told = secret_scan.ledger(spark, path).selectExpr("blob", "rules", "7L AS n_assign", "n_access", "n_hex", "base_sha256", "'told' AS spans")
+    other = str(tmp_path / "other")
+    told.write.parquet(other)
+    rows = {r.doc_id: (r.n_assign, r.spans) for r in secret_scan.scan(awkward, other).collect()}
+    assert rows[8] == (7, "told") and rows[1] == (0, "")
+
+
 def test_archives(spark, awkward, nothing, tmp_path, monkeypatch):
     pages = awkward.selectExpr("doc_id AS page_id", "lang AS url", "text AS html", "marker", "row", "size")
     listed = warc.write_archives(pages, str(tmp_path / "warc"))
