@@ -668,6 +668,8 @@ def workbook_sql() -> dict[str, str]:
     """Statements for triage, sheet list and grid."""
     bodies = {
         "workbook_triage": "select path, accepted from files",
+        "upload_triage": "select concat('f', k % 16, '/', path) as path, k % 25 = 0 as is_empty, "
+        "accepted and k % 25 <> 0 as accepted from files",
         "sheet_list": "select path, 0 as sheet_no, 'Assets' as sheet from good union all "
         "select path, 1, 'Notes' from good where k % 3 = 0",
         "workbook_grid": "select path, 'Assets' as sheet, cast(0 as bigint) as pos, 1 as width, "

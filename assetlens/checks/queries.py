@@ -82,6 +82,12 @@ def workbook_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbooks.triage(inputs.workbooks(spark, sf_dir)).select("path", "accepted")
 
 
+def upload_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = workbooks.uploads(spark, inputs.upload_folder(spark, sf_dir))
+    name = F.substring_index("path", "/", -2).alias("path")
+    return workbooks.triage(files).select(name, (F.col("length") == 0).alias("is_empty"), "accepted")
+
+
 def sheet_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbooks.sheet_list(inputs.workbooks(spark, sf_dir)).drop("error")
 
@@ -101,12 +107,12 @@ def workbook_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid, as a table where there is a folder for it: several branches read it."""
-    return staged(inputs.grid(spark, sf_dir))
+    """The grid, which is a stored table: several branches read it."""
+    return inputs.grid(spark, sf_dir)
 
 
 def stored_registers(grid: DataFrame) -> DataFrame:
-    """The registers of a grid, likewise."""
+    """The registers of a grid, as a stored table."""
     return staged(headers.register_table(grid))
 
 
@@ -361,6 +367,7 @@ WORKSTATION_ONLY: dict[str, RegisterQuery] = {
 
 INGEST: dict[str, Query] = {
     "workbook_triage": workbook_triage,
+    "upload_triage": upload_triage,
     "sheet_list": sheet_list,
     "workbook_grid": workbook_grid,
     "workbook_register": workbook_register,

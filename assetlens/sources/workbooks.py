@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.sources.cells import Workbook
+from assetlens.sources.listing import listed_files
 
 ZIP_MAGIC = b"PK"
 ROWS_PER_BATCH = 4096
@@ -55,18 +54,9 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """All files under `path` as `path, length, content`, those without content too.
-
-    The scan passes over empty files, so they are taken from the list of files it was planned with.
-    """
-    files = workbook_files(spark, path)
-    names = [(re.sub("^([a-z0-9.+-]+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()]
-    listed = spark.createDataFrame(names, "path string")
-    empty = listed.join(files.select("path"), "path", "left_anti")
-    return files.unionByName(
-        empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
-    )
+def uploads(spark: SparkSession, path: str, levels: int = 1) -> DataFrame:
+    """All files under `path` as `path, length, head`, those without content too, for `triage`."""
+    return listed_files(spark, path, levels)
 
 
 def is_zip(content: Column) -> Column:
@@ -75,11 +65,12 @@ def is_zip(content: Column) -> Column:
 
 
 def triage(files: DataFrame) -> DataFrame:
-    """Per file, whether it can be a workbook at all.
+    """Per file (`uploads`, or files with their `content`), whether it can be a workbook at all.
 
     Files without content are no workbooks either; of `uploads` they are listed as such.
     """
-    return files.select("path", "length", is_zip(F.col("content")).alias("accepted"))
+    start = F.col("head" if "head" in files.columns else "content")
+    return files.select("path", "length", is_zip(start).alias("accepted"))
 
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:

@@ -9,6 +9,7 @@ from assetlens import open_workbook
 from assetlens.checks.packing import pack_workbook
 from assetlens.errors import SheetNotFound
 from assetlens.sources import workbooks
+from assetlens.sources.listing import listed_files
 from assetlens.sources.cells import column_index, is_date_format, moment_text
 from templates import WORKSTATION_HEADERS, WORKSTATION_ROWS
 
@@ -81,6 +82,21 @@ def test_triage_lists_empty_files(spark, folder, tmp_path):
     assert sorted((r["path"].rsplit("/", 1)[-1], r["accepted"]) for r in rows) == [("a b%20+é.xlsx", True), ("none é+.xlsx", False)]
 
 
+@pytest.mark.parametrize("levels", [0, 1, 2, 5])
+def test_files_in_folders_of_folders(spark, tmp_path, levels):
+    """Every file comes once, however deep it lies and however many levels are split into tasks."""
+    expected = {}
+    for number, folder in enumerate(["", "a", "a/b", "a/b/c", "d", "e f/é"]):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for name, content in (("x.xlsx", b"PK\x03\x04rest"), ("y", b""), (f"z{number}", b"ab")):
+            (tmp_path / folder / name).write_bytes(content)
+            expected[f"file:{tmp_path / folder / name}"] = (len(content), content[:4])
+    rows = listed_files(spark, str(tmp_path), levels).collect()
+    assert {r["path"]: (r["length"], bytes(r["head"])) for r in rows} == expected and len(rows) == len(expected)
+    scanned = {r["path"] for r in workbooks.workbook_files(spark, str(tmp_path)).select("path").collect()}
+    assert {r["path"] for r in rows if r["length"]} == scanned
+
+
 def test_sheets(files):
     sheets = by_name(workbooks.sheet_list(files))
     assert [r["sheet"] for r in sheets["shared_True.xlsx"]] == ["Assets", "Flags & more", "Empty"]
