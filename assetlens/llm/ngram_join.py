@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +19,14 @@ GROUP_TOKENS = 16_384
 #: A token is demoted in the order of tokens if more sets than this have it among their first.
 FEW = 4
 #: Tokens are counted over so many times the first tokens: some come first only once others are demoted.
-LOOKED_AT = 2
+LOOKED_AT = 1.5
+#: A group meets so many hubs, those with the most cells in common; what they leave apart meets later.
+HUBS_PER_GROUP = 4
 #: Linked sets must have one first token in common, and one more for so many tokens they have.
 TOKENS_PER_COMMON = 20
 SLOTS = 24
+#: A group meets about so many sets that ask it at a time.
+SETS_PER_CHUNK = 64
 #: Frequent tokens are told apart up to this logarithm of their number.
 TOP_LEVEL = 31
 #: Bits of the tables that tell which tokens and sets may matter: 16 MB each.
@@ -101,7 +105,7 @@ TOKENS = pa.field("tokens", pa.list_(pa.int64()))
 def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
     """How late tokens come in the order, by the top bits of their hash: a table of fixed size, 16 MB.
 
-    The tokens that come first by hash alone, and as many after them, are counted over all sets (more
+    The tokens that come first by hash alone, and some after them, are counted over all sets (more
     than once, if tasks share copies of a set). A frequent one is demoted by the logarithm of its count;
     of tokens with the same top bits the most frequent counts. Spark makes a bitmap per level of these, so that
     the driver gets no tokens, and no more than the bitmaps however many tokens there are. The table
@@ -109,7 +113,7 @@ def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
     """
 
     def make(address: bytes, tokens: np.ndarray) -> tuple | None:
-        return address, tokens[: LOOKED_AT * first_count(len(tokens), per_cent)]
+        return address, tokens[: int(LOOKED_AT * first_count(len(tokens), per_cent))]
 
     looked_at = texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
     counts = looked_at.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -274,11 +278,11 @@ def opened_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 
 
 def enough_cells(cells: DataFrame, width: float, keys: list[str], bands: tuple[str, str]) -> DataFrame:
-    """`keys` of joined cells that have as many tokens in common as linked sets of these bands must."""
+    """`keys` and n of joined cells that have n tokens in common, as many as linked sets of these bands must."""
     # All sets of a group are at least as large as its band begins.
     smaller = F.floor(F.exp(F.least(*bands) * width) * (1 - 1e-9))
     found = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.min(smaller).alias("smaller"))
-    return found.filter(F.col("n") >= 1 + F.floor(F.col("smaller") / TOKENS_PER_COMMON)).select(*keys)
+    return found.filter(F.col("n") >= 1 + F.floor(F.col("smaller") / TOKENS_PER_COMMON)).select(*keys, "n")
 
 
 def met(sets: DataFrame, keys: list[str], per_cent: int) -> DataFrame:
@@ -294,8 +298,8 @@ def through_hubs(
     """node and root of components that links with hubs show; there may be more links.
 
     Hubs of a token are the sets with the smallest and the largest address that have it among their
-    first tokens. Each hub meets the groups it has enough cells in common with, so the work grows
-    with the number of cells. A cluster of sets that are all alike becomes one component, without
+    first tokens. Each group meets the few hubs that it has the most cells in common with, so the work grows
+    with the number of cells and sets. A cluster of sets that are all alike becomes one component, without
     the pairs of its groups.
     """
     cells = found.join(grouped, "cls").select("cls", "group", "band", F.explode("tokens").alias("token"))
@@ -305,15 +309,20 @@ def through_hubs(
     named = hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.band").alias("hub_band"))
     shared = cells.select("group", "band", "token").distinct().join(named, "token")
     shared = shared.filter("abs(band - hub_band) <= 1")
-    ends = frames.staged(enough_cells(shared, width, ["hub", "group"], ("band", "hub_band")), "hub-ends")
+    best = Window.partitionBy("group").orderBy(F.desc("n"), "hub")
+    ends = enough_cells(shared, width, ["hub", "group"], ("band", "hub_band")).withColumn("nth", F.row_number().over(best))
+    ends = frames.staged(ends.filter(F.col("nth") <= HUBS_PER_GROUP).select("hub", "group"), "hub-ends")
     frames.dropped(hubs)
     frames.forget_shuffles(texts.sparkSession)
-    wanted = grouped.join(ends.select("group").distinct(), "group", "left_semi").select("cls").union(ends.select("hub"))
-    wanted = frames.staged(wanted.distinct(), "hub-wanted")
-    sets = frames.staged(opened_sets(texts, size, wanted), "hub-sets")
-    hub_sets = sets.withColumnRenamed("cls", "hub")
+    hub = ends.select(F.col("hub").alias("cls")).distinct().withColumn("is_hub", F.lit(True))
+    meeting = ends.select("group").distinct().withColumn("meets", F.lit(True))
+    wanted = grouped.select("cls", "group").join(hub, "cls", "left").join(meeting, "group", "left")
+    wanted = frames.staged(wanted.filter("is_hub OR meets"), "hub-wanted")
+    sets = frames.staged(opened_sets(texts, size, wanted).join(wanted, "cls"), "hub-sets")
+    frames.forget_shuffles(texts.sparkSession)
+    hub_sets = sets.filter("is_hub").select(F.col("cls").alias("hub"), "tokens")
     one = ends.join(hub_sets, "hub").select("hub", "group", F.col("hub").alias("cls"), "tokens", F.lit(0).alias("side"))
-    placed = sets.join(grouped.select("cls", "group"), "cls")
+    placed = sets.filter("meets").select("group", "cls", "tokens")
     two = placed.join(ends, "group").select("hub", "group", "cls", "tokens", F.lit(1).alias("side"))
     links = met(one.union(two), ["hub", "group"], per_cent)
     frames.dropped(ends, wanted, sets)
@@ -322,17 +331,29 @@ def through_hubs(
 
 
 def candidates(cells: DataFrame, width: float) -> DataFrame:
-    """Pairs of groups (a, b) that aren't of one component so far and have enough cells in common."""
-    one, two = cells.alias("one"), cells.alias("two")
+    """Sets and groups (cls, group) of `cells` (cls, group, band, comp, token) that have enough cells in common.
+
+    A set meets the union of a group's first tokens, not the group's sets. Groups of one component so far don't
+    meet, and of two groups the one with the smaller number asks.
+    """
+    unions = cells.select("group", "band", "comp", "token").distinct()
+    one, two = cells.alias("one"), unions.alias("two")
     apart = F.coalesce(F.col("one.comp") != F.col("two.comp"), F.lit(True))
     near = F.abs(F.col("one.band") - F.col("two.band")) <= 1
     ordered = F.col("one.group") < F.col("two.group")
     pairs = one.join(two, (F.col("one.token") == F.col("two.token")) & ordered & near & apart)
     pairs = pairs.select(
-        *[F.col(f"one.{c}").alias(f"{c}_a") for c in ("group", "band")],
-        *[F.col(f"two.{c}").alias(f"{c}_b") for c in ("group", "band")],
-    ).withColumnsRenamed({"group_a": "a", "group_b": "b"})
-    return enough_cells(pairs, width, ["a", "b"], ("band_a", "band_b"))
+        "cls", F.col("two.group").alias("group"), F.col("one.band").alias("own_band"), F.col("two.band").alias("band")
+    )
+    return enough_cells(pairs, width, ["cls", "group"], ("own_band", "band")).drop("n")
+
+
+def in_chunks(pairs: DataFrame) -> DataFrame:
+    """`pairs` (cls, group) with `chunk`: a group that many sets ask meets them in chunks, each in a row of its own."""
+    counts = pairs.groupBy("group").agg(F.ceil(F.count("*") / SETS_PER_CHUNK).alias("chunks"))
+    return pairs.join(counts, "group").select(
+        "cls", "group", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk")
+    )
 
 
 def with_results(rows: DataFrame, results: DataFrame) -> DataFrame:
@@ -364,15 +385,15 @@ def similar_groups(
        fixed size spare tokens that no other set has among its first.
     3. Links with hubs are found first (`through_hubs`), and the sets of a component found so make groups
        of their own: a cluster of n similar sets costs no pairs of its groups.
-    4. Groups with enough cells of the same tokens, and sizes that allow a link, are candidates, if they
-       aren't of one component yet. Their sets are read once more; a bit table spares the others.
-       Each pair of candidate groups meets in one row, where the union of one bounds
-       the overlap with each set of the other before its sets are compared, exactly.
-    5. Spanning links of each pair of groups, and the components of hubs, give the components.
+    4. Sets with enough cells in common with a group's union, and sizes that allow a link, are candidates, if
+       they aren't of one component yet. They and the group are read once more; a bit table spares the others.
+       A group meets the sets that ask it in one row, or in chunks of them, where its union bounds
+       the overlap with each before its sets are compared, exactly. Groups of several components also meet themselves.
+    5. Spanning links of each meeting, and the components of hubs, give the components.
 
     Texts without words, missing ones included, have no shingles and are alone. A missing id is
     passed over by the minimum; a component without ids has none. Repeated rows are one class. Texts of any
-    length are whole; the sets of two groups, or of a longer text's one set, have to fit into a task. An
+    length are whole; the sets of a group and a chunk, or a long text's one set, have to fit into a task. An
     empty table gives an empty one; further columns are not read. Tables written on the way are deleted
     once they have been read.
     """
@@ -396,24 +417,23 @@ def similar_groups(
     grouped = in_groups(classes.withColumn("root", F.lit(None).cast("binary")))
     known = frames.staged(through_hubs(texts, found, grouped, size, per_cent, width), "hub-components")
     grouped = in_groups(classes.join(known.withColumnRenamed("node", "cls"), "cls", "left"))
-    cells = found.join(grouped, "cls").select("group", "band", "comp", F.explode("tokens").alias("token"))
+    cells = found.join(grouped, "cls").select("cls", "group", "band", "comp", F.explode("tokens").alias("token"))
     cells = frames.staged(cells.distinct(), "matrix")
-    pairs = frames.staged(candidates(cells, width), "pairs")
+    pairs = frames.staged(in_chunks(candidates(cells, width)), "pairs")
     frames.dropped(found, cells)
     frames.forget_shuffles(spark)
 
     owner = F.coalesce("comp", F.xxhash64("cls"))
     inner = grouped.groupBy("group").agg(F.min(owner).alias("least"), F.max(owner).alias("most")).filter("least != most")
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("group")).union(
-        inner.select(F.col("group").alias("a"), F.col("group").alias("b"), "group")
-    )
-    ends = frames.staged(ends, "ends")
-    wanted = grouped.join(ends.select("group").distinct(), "group").select("group", "cls")
-    wanted = frames.staged(wanted, "wanted")
-    sets = opened_sets(texts, size, wanted).join(wanted, "cls").join(ends, "group")
-    side = (F.col("group") != F.col("a")).cast("int").alias("side")
-    links = met(sets.select("a", "b", "cls", "tokens", side), ["a", "b"], per_cent)
-    frames.dropped(pairs, ends, wanted)
+    asked = pairs.select("group", "chunk").distinct().withColumn("side", F.lit(1))
+    alone = inner.select("group", F.lit(-1).alias("chunk"), F.lit(0).alias("side"))
+    asked = frames.staged(asked.union(alone), "asked")
+    asking = pairs.withColumn("side", F.lit(0))
+    members = grouped.select("cls", "group").join(asked, "group").select("cls", "group", "chunk", "side")
+    meeting = frames.staged(asking.union(members), "meeting")
+    sets = opened_sets(texts, size, meeting.select("cls").distinct()).join(meeting, "cls")
+    links = met(sets, ["group", "chunk"], per_cent)
+    frames.dropped(pairs, asked, meeting)
     frames.forget_shuffles(spark)
 
     forest = components(links.union(known.select("node", "root")))

@@ -1,4 +1,9 @@
-"""A corpus made ready for training: the stages, in order, and their run."""
+"""A corpus made ready for training: the stages, in order, and their run.
+
+All stages keep to this: a missing text is an empty one; an empty text has the classifier's score of one and is
+nobody's duplicate; texts of any length are read whole; rows may repeat, as may ids, and missing ids
+come last; tables may be empty; the columns of `documents` pass through unchanged.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +17,30 @@ PER_CENT = 80
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from `labels`, doesn't reject."""
+    """Documents that the quality classifier, learned from `labels`, doesn't reject. Equal texts stay or go together."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; documents without words are no group."""
+    """One document of each group of near duplicates, with the smallest id, of repeated rows one.
+
+    Documents without words are no group and all stay.
+    """
     return ngram_join.one_per_group(docs, size=SHINGLE_WORDS, per_cent=PER_CENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of `benchmark`."""
+    """Documents without passages of `benchmark`; items without words count nothing."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its source's target weight asks for."""
+    """Each row as often as its source's target weight asks for, not at all for some; a missing source is a source."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with the shard and slot they go to."""
+    """The rows with the shard and slot they go to; ties go by id and then by the number of the row."""
     return sharding.shard_documents(docs)
 
 
