@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import operator
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.errors import SearchPatternError
+from assetlens.functions.patterns import java_pattern
 from assetlens.functions.text import contains_ignoring_case, matches_ignoring_case
 from assetlens.operators.roles import MOBILE, WORKSTATION
 from assetlens.plans.register import Register
@@ -91,12 +91,9 @@ def check_pattern(pattern: str) -> None:
 
 
 def found_in(columns: Sequence[Column], text: str, regex: bool = True) -> Column:
-    """Whether any of the columns holds the text, ignoring case; by default a regular expression."""
+    """Whether any of the columns holds the text, ignoring case; by default a regular expression as Python has it."""
     if regex:
-        try:
-            re.compile(text)
-        except re.error as error:
-            raise SearchPatternError(f"{text!r}: {error}") from error
+        text = java_pattern(text)
         check_pattern(text)
     found = matches_ignoring_case if regex else contains_ignoring_case
     # A chain of tests, not an array of values: it stays in generated code and stops at a hit.
