@@ -10,11 +10,14 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+import regex
 
 from assetlens.llm import decontaminate, ngram_join, quality, queries, shingles
 
 
 def words_of(text):
+    """Runs of letters and digits, A-Z lower-cased; marks and symbols of all scripts separate them."""
+    text = regex.sub(decontaminate.MARKS, " ", text or "")
     return re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
