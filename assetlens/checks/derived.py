@@ -101,14 +101,24 @@ def _text(column: str) -> Column:
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Line items with their parts, orders, customers and places; of times only the days.
+
+    Orders meet their customers and line items their parts before both meet. So a line item is shuffled at
+    most twice, and without the columns of its order, which are shuffled once an order.
+    """
+    bought = (
+        table(spark, sf_dir, "orders")
+        .withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    return (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+    )
 
 
 def _tag(prefix: str) -> Column:
@@ -147,7 +157,7 @@ def _year() -> Column:
 
 def _warranty() -> Column:
     key = F.col("l_orderkey")
-    expiry = F.add_months(F.col("l_shipdate").cast("date"), 36).cast("string")
+    expiry = F.add_months("l_shipdate", 36).cast("string")
     return F.when(key % 41 == 0, "unknown").when(key % 43 == 0, None).otherwise(expiry)
 
 
