@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import string
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from assetlens.session import checkpoint_folder
 
 SLOT_BITS = 26
+#: Spark gives Python about so many bytes at a time while it writes or counts; whole rows, however long.
+ARROW_BATCH = "4m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,13 +28,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_BATCH for the jobs started meanwhile.
+
+    Spark's own 64 MB are held several times over by each task, in the JVM outside of its heap and in its Python
+    worker, and both keep much of what they once had. All rows come, in more batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ARROW_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table in the shared folder and read from there.
 
     Cuts lineage, freezes row numbers given in `df`, and outlives lost executors.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.staged_path = path
     return table
