@@ -34,6 +34,8 @@ TABLE_BITS = 27
 #: Rows of a class, and so of copies of one text, that may meet in one task.
 ROWS_PER_SLICE = 100_000
 FLUSH_BYTES = 4 << 20
+#: Tokens are counted so many bytes of sets at a time before Spark sums the counts.
+COUNTED_BYTES = 8 << 20
 
 
 def set_address(tokens: np.ndarray) -> bytes:
@@ -102,21 +104,48 @@ ADDRESS = pa.field("cls", pa.binary())
 TOKENS = pa.field("tokens", pa.list_(pa.int64()))
 
 
+def token_counts(size: int, per_cent: int):
+    """An Arrow function over texts: token and n, counted over some sets at a time, each once per task."""
+
+    def counted(firsts: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
+        (token, n), (other, m) = (np.unique(np.concatenate(some), return_counts=True) for some in (firsts, others))
+        token, n = np.concatenate([token, other[m > FEW]]), np.concatenate([n, m[m > FEW]])
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        firsts, others, held = [], [], 0
+        for batch in batches:
+            for words in shingles.texts_words(batch.column(0)):
+                tokens = shingles.shingle_set(words, size)
+                if not len(tokens) or (address := set_address(tokens)) in seen:
+                    continue
+                seen.add(address)
+                looked_at = int(LOOKED_AT * first_count(len(tokens), per_cent))
+                firsts.append(tokens[:looked_at])
+                others.append(tokens[looked_at:])
+                held += tokens.nbytes
+                if held > COUNTED_BYTES:
+                    yield counted(firsts, others)
+                    firsts, others, held = [], [], 0
+        if firsts:
+            yield counted(firsts, others)
+
+    return run
+
+
 def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
     """How late tokens come in the order, by the top bits of their hash: a table of fixed size, 16 MB.
 
     The tokens that come first by hash alone, and some after them, are counted over all sets (more
-    than once, if tasks share copies of a set). A frequent one is demoted by the logarithm of its count;
+    than once, if tasks share copies of a set); all others where sets read one after another have them more than
+    FEW times, as those of a cluster of changed copies, in which nearly all tokens are frequent. A frequent one is demoted by the logarithm of its count;
     of tokens with the same top bits the most frequent counts. Spark makes a bitmap per level of these, so that
     the driver gets no tokens, and no more than the bitmaps however many tokens there are. The table
     is a hint: whatever it holds, the links are the same.
     """
-
-    def make(address: bytes, tokens: np.ndarray) -> tuple | None:
-        return address, tokens[: int(LOOKED_AT * first_count(len(tokens), per_cent))]
-
-    looked_at = texts.mapInArrow(over_sets(size, make, [ADDRESS, TOKENS]), "cls binary, tokens array<bigint>")
-    counts = looked_at.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = texts.mapInArrow(token_counts(size, per_cent), "token bigint, n bigint")
+    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
     slot = F.shiftrightunsigned("token", 64 - SLOTS)
     level = F.least(F.floor(F.log2("n")).cast("int"), F.lit(TOP_LEVEL))
     levels = counts.filter(F.col("n") > FEW).groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
@@ -125,7 +154,9 @@ def demotions(texts: DataFrame, size: int, per_cent: int) -> np.ndarray:
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
     )
     demoted = np.zeros(1 << SLOTS, dtype=np.uint8)
-    for row in bitmaps.collect():
+    with frames.small_batches(texts.sparkSession):
+        rows = bitmaps.collect()
+    for row in rows:
         bits = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little")
         demoted[(row.bucket - 1) * len(bits) :][: len(bits)][bits == 1] = row.level
     return demoted
@@ -142,7 +173,7 @@ def firsts(texts: DataFrame, size: int, per_cent: int, demoted: np.ndarray) -> D
 
 
 def only_held(sets: DataFrame, table: np.ndarray) -> DataFrame:
-    """`sets` (cls, tokens) with only those tokens that the table may hold, without sets that have none."""
+    """`sets` (cls, tokens) with only those tokens that the table may hold, and their ranks; without sets that have none."""
     kept = sets.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +182,16 @@ def only_held(sets: DataFrame, table: np.ndarray) -> DataFrame:
             tokens = lists.flatten().to_numpy().view(np.uint64)
             there = held(kept.value, tokens)
             before = np.append(0, np.cumsum(there))
-            ends = before[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
-            some = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[there].view(np.int64)))
-            out = pa.RecordBatch.from_arrays([batch.column(0), some], ["cls", "tokens"])
+            counts = lists.value_lengths().to_numpy()
+            starts = np.append(0, np.cumsum(counts))
+            rank = np.arange(len(tokens), dtype=np.int32) - np.repeat(starts[:-1], counts).astype(np.int32)
+            ends = before[starts]
+            at = pa.array(ends.astype(np.int32))
+            some = [pa.ListArray.from_arrays(at, pa.array(v[there])) for v in (tokens.view(np.int64), rank)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), *some], ["cls", "tokens", "ranks"])
             yield out.filter(pa.array(np.diff(ends) > 0))
 
-    return sets.mapInArrow(run, sets.schema)
+    return sets.mapInArrow(run, "cls binary, tokens array<bigint>, ranks array<int>")
 
 
 def linked(
@@ -277,6 +312,19 @@ def opened_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("cls").agg(F.any_value("tokens").alias("tokens"))
 
 
+def with_cells(found: DataFrame, grouped: DataFrame, per_cent: int) -> DataFrame:
+    """A cell (cls, n, group, band, comp, token, reach) per first token of each set.
+
+    Linked sets of nx and ny tokens share ceil(per_cent * (nx + ny) / (100 + per_cent)) at least. So many of
+    them stand after a set's first common ones in the order of tokens, that a token of the given rank is among those
+    with sets of at most `reach` tokens only.
+    """
+    last = F.col("n") - F.col("cell.ranks") + F.floor(F.col("n") / TOKENS_PER_COMMON)
+    reach = F.floor(last * (100 + per_cent) / per_cent + 1e-6).cast("bigint") - F.col("n")
+    one = found.join(grouped, "cls").withColumn("cell", F.explode(F.arrays_zip("tokens", "ranks")))
+    return one.select("cls", "n", "group", "band", "comp", F.col("cell.tokens").alias("token"), reach.alias("reach"))
+
+
 def enough_cells(cells: DataFrame, width: float, keys: list[str], bands: tuple[str, str]) -> DataFrame:
     """`keys` and n of joined cells that have n tokens in common, as many as linked sets of these bands must."""
     # All sets of a group are at least as large as its band begins.
@@ -297,13 +345,16 @@ def through_hubs(
 ) -> DataFrame:
     """node and root of components that links with hubs show; there may be more links.
 
-    Hubs of a token are the sets with the smallest and the largest address that have it among their
-    first tokens. Each group meets the few hubs that it has the most cells in common with, so the work grows
+    Hubs of a token are, of the sets that have it among their first tokens, the one whose first tokens are
+    shared with others most, by its size, and the one with the smallest address. Of a cluster of changed copies the
+    former has changed least, so that most others link with it. Each group meets the few hubs that it has the most cells in common with, so the work grows
     with the number of cells and sets. A cluster of sets that are all alike becomes one component, without
     the pairs of its groups.
     """
-    cells = found.join(grouped, "cls").select("cls", "group", "band", F.explode("tokens").alias("token"))
-    both = F.array(*[f(F.struct("cls", "band")) for f in (F.min, F.max)])
+    cells = found.join(grouped, "cls").withColumn("share", F.size("tokens") / F.col("n"))
+    cells = cells.select("cls", "group", "band", "share", F.explode("tokens").alias("token"))
+    central = F.max_by(F.struct("cls", "band"), F.struct("share", "cls"))
+    both = F.array(F.min(F.struct("cls", "band")), central)
     hubs = cells.groupBy("token").agg(both.alias("hubs"), F.count("*").alias("n")).filter("n > 1")
     hubs = frames.staged(hubs.select("token", F.explode(F.array_distinct("hubs")).alias("hub")), "hubs")
     named = hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.band").alias("hub_band"))
@@ -331,17 +382,18 @@ def through_hubs(
 
 
 def candidates(cells: DataFrame, width: float) -> DataFrame:
-    """Sets and groups (cls, group) of `cells` (cls, group, band, comp, token) that have enough cells in common.
+    """Sets and groups (cls, group) of `cells` (`with_cells`) that have enough cells in common.
 
-    A set meets the union of a group's first tokens, not the group's sets. Groups of one component so far don't
-    meet, and of two groups the one with the smaller number asks.
+    A set meets the union of a group's first tokens, not the group's sets, where their sizes are in reach of each
+    other. Groups of one component so far don't meet, and of two groups the one with the smaller number asks.
     """
-    unions = cells.select("group", "band", "comp", "token").distinct()
+    unions = cells.groupBy("group", "band", "comp", "token").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
     one, two = cells.alias("one"), unions.alias("two")
     apart = F.coalesce(F.col("one.comp") != F.col("two.comp"), F.lit(True))
     near = F.abs(F.col("one.band") - F.col("two.band")) <= 1
     ordered = F.col("one.group") < F.col("two.group")
-    pairs = one.join(two, (F.col("one.token") == F.col("two.token")) & ordered & near & apart)
+    reached = (F.col("one.n") <= F.col("two.reach")) & (F.col("two.n") <= F.col("one.reach"))
+    pairs = one.join(two, (F.col("one.token") == F.col("two.token")) & ordered & near & apart & reached)
     pairs = pairs.select(
         "cls", F.col("two.group").alias("group"), F.col("one.band").alias("own_band"), F.col("two.band").alias("band")
     )
@@ -417,8 +469,7 @@ def similar_groups(
     grouped = in_groups(classes.withColumn("root", F.lit(None).cast("binary")))
     known = frames.staged(through_hubs(texts, found, grouped, size, per_cent, width), "hub-components")
     grouped = in_groups(classes.join(known.withColumnRenamed("node", "cls"), "cls", "left"))
-    cells = found.join(grouped, "cls").select("cls", "group", "band", "comp", F.explode("tokens").alias("token"))
-    cells = frames.staged(cells.distinct(), "matrix")
+    cells = frames.staged(with_cells(found, grouped, per_cent).distinct(), "matrix")
     pairs = frames.staged(in_chunks(candidates(cells, width)), "pairs")
     frames.dropped(found, cells)
     frames.forget_shuffles(spark)

@@ -159,3 +159,40 @@ def test_word_hashes(monkeypatch):
         for skip in (0, 3):
             got = [list(map(int, w)) for w in shingles.texts_words(pa.array(texts)[skip:])]
             assert got == want[skip:]
+
+
+def changed_copies(n, of=200, changes=12):
+    """Copies of one text, each changed in so many places that few link, and the text itself."""
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(of)]
+    yield 0, " ".join(base)
+    for at in range(1, n):
+        text = list(base)
+        for place in draw.sample(range(of), changes if at % 4 else 1):
+            text[place] = f"new{at}-{place}"
+        yield at, " ".join(text)
+
+
+def test_cluster_of_changed_copies(spark, monkeypatch):
+    """Of a cluster whose sets share nearly all tokens, those too far from each other aren't candidates."""
+    docs = spark.createDataFrame(list(changed_copies(160)), "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 800)
+    seen = []
+    candidates = ngram_join.candidates
+
+    def counted(*args):
+        pairs = candidates(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    assert check(docs, 3, 90) > 0
+    assert seen == [0]
+
+
+def test_frequent_tokens_of_clusters_are_demoted(spark):
+    """Also those that aren't among the first of any set by hash."""
+    docs = spark.createDataFrame(list(changed_copies(60)), "doc_id bigint, text string").coalesce(1)
+    demoted = ngram_join.demotions(docs.select("text"), 3, 90)
+    (words,) = shingles.texts_words(pa.array([docs.first().text]))
+    assert demoted[shingles.shingle_set(words, 3) >> np.uint64(40)].all()
