@@ -232,7 +232,8 @@ class Codec:
         new = [word for word in asked if word not in self.older] if self.older else asked
         if len(new) < len(asked):
             self.known.update((word, self.older[word]) for word in asked if word in self.older)
-        plain = [word for word in new if word.rfind(SPACE) < 1] if self.agendas else []
+        # By length, so that words merged together have rows of about one width and end in about as many rounds.
+        plain = sorted((word for word in new if word.rfind(SPACE) < 1), key=len) if self.agendas else []
         for begin in range(0, len(plain), LEARNED_TOGETHER):
             some = plain[begin : begin + LEARNED_TOGETHER]
             self.known.update(zip(some, self.agendas.merged(some), strict=True))

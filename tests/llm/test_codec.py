@@ -99,3 +99,16 @@ def test_other_models_are_refused(own, tmp_path):
     path.write_bytes(spec.SerializeToString())
     with pytest.raises(ValueError, match="merge-type"):
         piece_codec.Codec(str(path))
+
+
+def test_words_of_one_width_are_merged_together(monkeypatch):
+    """Short words don't wait in wide rows for the rounds of long ones."""
+    own = piece_codec.Codec(tokenizer_path(piece_codec.MODEL))
+    merged, widths = own.agendas.merged, []
+    monkeypatch.setattr(piece_codec, "LEARNED_TOGETHER", 8)
+    monkeypatch.setattr(own.agendas, "merged", lambda words: widths.append(list(map(len, words))) or merged(words))
+    words = {"▁" + "abcdefgh"[k % 8] * (1 + k % 16) for k in range(160)}
+    own.learn(words)
+    flat = [n for some in widths for n in some]
+    assert flat == sorted(flat) and len(flat) == len(words)
+    assert own.differences() == []
