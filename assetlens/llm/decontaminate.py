@@ -246,10 +246,14 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **r
     """The rows of `docs` whose text covers no test item, with the columns of `docs`.
 
     Missing and empty texts stay, as do all rows where there are no items; equal texts stay or go
-    together. Only hashes of texts are compared. Columns may bear any name; an empty table gives an empty one.
+    together. Only hashes of texts are compared. A bitmap of fixed size tells which rows may have to go: only their
+    texts are shuffled. Columns may bear any name; an empty table gives an empty one.
     """
     rows = docs.select(F.struct("*").alias("row"))
     text = frames.whole(F.col(f"row.`{text_col}`"))
     found = leaks(docs, items, text_col=text_col, **rule).select("text_key").distinct()
+    found = frames.staged(found, "leaked")
     keyed = rows.withColumn("text_key", F.sha2(text, 256))
-    return keyed.join(frames.staged(found, "leaked"), "text_key", "left_anti").select("row.*")
+    asked = frames.with_possible(keyed, frames.slot_bitmaps(found), "text_key")
+    stay = asked.filter("NOT possible").select("row.*")
+    return stay.union(asked.filter("possible").join(found, "text_key", "left_anti").select("row.*"))

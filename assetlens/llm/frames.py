@@ -8,12 +8,15 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetlens.session import checkpoint_folder
 
 SLOT_BITS = 26
+#: A file has fewer rows than two to this power.
+FILE_ROW_BITS = 40
 #: Spark gives Python about so many bytes at a time while it writes or counts; whole rows, however long.
 ARROW_BATCH = "4m"
 
@@ -96,6 +99,44 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("marker", F.monotonically_increasing_id())
 
 
+def is_stored(docs: DataFrame) -> bool:
+    """Whether `docs` is a table just as it is read from Parquet files: a folder of them, or some by name."""
+    files = docs.inputFiles()
+    folders = sorted({path.rsplit("/", 1)[0] for path in files})
+    read = docs.sparkSession.read.schema(docs.schema)
+    for paths in (folders, files) if files else ():
+        # Spark tells paths with and without file:// apart.
+        for own in (paths, [path.removeprefix("file://") for path in paths]):
+            try:
+                if docs.sameSemantics(read.parquet(*own)):
+                    return True
+            except AnalysisException:  # a name that can't be given back as it is told
+                continue
+    return False
+
+
+def as_rows(docs: DataFrame, name: str) -> DataFrame:
+    """`marker`, a number per row, and `row`, a struct of all columns: the same at each read.
+
+    A row of a stored table has the number of its file, by path, and its place in there; nothing is
+    written but the list of files. All other rows are numbered as they are written to a table.
+    """
+    if not is_stored(docs):
+        return staged(numbered(docs.select(F.struct("*").alias("row"))), name)
+    place = docs.metadataColumn("_metadata")
+    read = docs.select(
+        place["file_path"].alias("path"), place["row_index"].alias("at"), F.struct(*map(quoted, docs.columns)).alias("row")
+    )
+    files = read.select("path").distinct()
+    files = staged(files.select("path", F.row_number().over(Window.orderBy("path")).alias("file")), f"{name}-files")
+    number = F.shiftleft(F.col("file").cast("bigint"), FILE_ROW_BITS) + F.col("at")
+    return read.join(F.broadcast(files), "path").select(number.alias("marker"), "row")
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def slot_of(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << SLOT_BITS)) + 1
 

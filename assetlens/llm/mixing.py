@@ -129,11 +129,11 @@ def mix(
 ) -> DataFrame:
     """The mixed rows, with the columns of `docs`: each row as often as the mix takes it.
 
-    The same rules as `mix_sizes`. Rows are written with a number once, decided on without
+    The same rules as `mix_sizes`. Rows have a number (`frames.as_rows`), are decided on without
     their texts, and joined with their number of copies. Their columns travel in one struct,
     so no name of theirs can clash.
     """
-    rows = frames.staged(frames.numbered(docs.select(F.struct("*").alias("row"))), "mix-docs")
+    rows = frames.as_rows(docs, "mix-docs")
     source = F.col(f"row.`{source_col}`")
     narrow = rows.select(
         "marker",

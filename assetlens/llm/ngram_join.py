@@ -283,7 +283,7 @@ def held(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def in_groups(classes: DataFrame) -> DataFrame:
-    """cls, n, band, comp and group of each class (with `root`, of a component known so far, or null).
+    """cls, number, n, band, comp and group of each class (with `root`, of a component known so far, or null).
 
     Classes of one component and about the same size make a group; so do classes of none that have
     the same smallest token. Large ones are cut by the classes' address.
@@ -296,7 +296,7 @@ def in_groups(classes: DataFrame) -> DataFrame:
     same = [F.col(f"classes.{k}").eqNullSafe(F.col(f"large.{k}")) for k in keys]
     part = F.pmod(F.xxhash64("cls"), F.coalesce("slices", F.lit(1)))
     joined = classes.alias("classes").join(large, same, "left").select("classes.*", part.alias("part"))
-    return frames.staged(joined.select("cls", "n", "band", "comp", F.xxhash64(*keys, "part").alias("group")), "groups")
+    return frames.staged(joined.select("cls", "number", "n", "band", "comp", F.xxhash64(*keys, "part").alias("group")), "groups")
 
 
 def opened_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -346,18 +346,19 @@ def through_hubs(
     """node and root of components that links with hubs show; there may be more links.
 
     Hubs of a token are, of the sets that have it among their first tokens, the one whose first tokens are
-    shared with others most, by its size, and the one with the smallest address. Of a cluster of changed copies the
-    former has changed least, so that most others link with it. Each group meets the few hubs that it has the most cells in common with, so the work grows
-    with the number of cells and sets. A cluster of sets that are all alike becomes one component, without
+    shared with others most, by its size, and the one with the smallest number. Of a cluster of changed copies the
+    former has changed least, so that most others link with it. Each group meets the few hubs that it has the most cells in common with,
+    all at once, so that its sets move once and the work grows with the number of cells and sets. A cluster of sets that are all alike becomes one component, without
     the pairs of its groups.
     """
-    cells = found.join(grouped, "cls").withColumn("share", F.size("tokens") / F.col("n"))
-    cells = cells.select("cls", "group", "band", "share", F.explode("tokens").alias("token"))
-    central = F.max_by(F.struct("cls", "band"), F.struct("share", "cls"))
-    both = F.array(F.min(F.struct("cls", "band")), central)
+    share = F.round(F.size("tokens") / F.col("n"), 3).cast("float").alias("share")
+    cells = found.join(grouped, "cls").select("number", "group", "band", share, F.explode("tokens").alias("token"))
+    central = F.max_by(F.struct("number", "band"), F.struct("share", "number"))
+    both = F.array(F.min(F.struct("number", "band")), central)
     hubs = cells.groupBy("token").agg(both.alias("hubs"), F.count("*").alias("n")).filter("n > 1")
     hubs = frames.staged(hubs.select("token", F.explode(F.array_distinct("hubs")).alias("hub")), "hubs")
-    named = hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.band").alias("hub_band"))
+    frames.forget_shuffles(texts.sparkSession)
+    named = hubs.select("token", F.col("hub.number").alias("hub"), F.col("hub.band").alias("hub_band"))
     shared = cells.select("group", "band", "token").distinct().join(named, "token")
     shared = shared.filter("abs(band - hub_band) <= 1")
     best = Window.partitionBy("group").orderBy(F.desc("n"), "hub")
@@ -365,22 +366,32 @@ def through_hubs(
     ends = frames.staged(ends.filter(F.col("nth") <= HUBS_PER_GROUP).select("hub", "group"), "hub-ends")
     frames.dropped(hubs)
     frames.forget_shuffles(texts.sparkSession)
-    hub = ends.select(F.col("hub").alias("cls")).distinct().withColumn("is_hub", F.lit(True))
+    hub = ends.select(F.col("hub").alias("number")).distinct().withColumn("is_hub", F.lit(True))
     meeting = ends.select("group").distinct().withColumn("meets", F.lit(True))
-    wanted = grouped.select("cls", "group").join(hub, "cls", "left").join(meeting, "group", "left")
+    wanted = grouped.select("cls", "number", "group").join(hub, "number", "left").join(meeting, "group", "left")
     wanted = frames.staged(wanted.filter("is_hub OR meets"), "hub-wanted")
     sets = frames.staged(opened_sets(texts, size, wanted).join(wanted, "cls"), "hub-sets")
     frames.forget_shuffles(texts.sparkSession)
-    hub_sets = sets.filter("is_hub").select(F.col("cls").alias("hub"), "tokens")
-    one = ends.join(hub_sets, "hub").select("hub", "group", F.col("hub").alias("cls"), "tokens", F.lit(0).alias("side"))
-    placed = sets.filter("meets").select("group", "cls", "tokens")
-    two = placed.join(ends, "group").select("hub", "group", "cls", "tokens", F.lit(1).alias("side"))
-    links = met(one.union(two), ["hub", "group"], per_cent)
+    hub_sets = sets.filter("is_hub").select(F.col("number").alias("hub"), "cls", "tokens")
+    one = ends.join(hub_sets, "hub").select("group", "cls", "tokens", F.lit(0).alias("side"))
+    two = sets.filter("meets").select("group", "cls", "tokens", F.lit(1).alias("side"))
+    links = met(one.union(two), ["group"], per_cent)
     frames.dropped(ends, wanted, sets)
     frames.forget_shuffles(texts.sparkSession)
     return components(links)
 
 
+def between_owners(cells: DataFrame) -> DataFrame:
+    """`cells` without those whose token is in one component only, or in one group of none: no candidates meet there.
+
+    A bitmap of fixed size tells which tokens may be in several; it lets some others pass, which only cost time.
+    """
+    owner = F.coalesce("comp", "group")
+    owners = cells.groupBy("token").agg(F.min(owner).alias("least"), F.max(owner).alias("most"))
+    several = frames.slot_bitmaps(owners.filter("least != most").select("token"))
+    return frames.with_possible(cells, several, "token").filter("possible").drop("possible")
+
+
 def candidates(cells: DataFrame, width: float) -> DataFrame:
     """Sets and groups (cls, group) of `cells` (`with_cells`) that have enough cells in common.
 
@@ -458,9 +469,11 @@ def similar_groups(
     per_class = rows.filter("n > 0").groupBy("cls").agg(
         F.first("n").alias("n"), F.first("low").alias("low"), F.min("id").alias("min_id"), F.count("*").alias("copies")
     )
-    classes = frames.staged(per_class.select("*", band), "classes")
+    classes = frames.staged(per_class.select("*", band, F.monotonically_increasing_id().alias("number")), "classes")
 
-    first = frames.staged(firsts(texts, size, per_cent, demotions(texts, size, per_cent)), "firsts")
+    demoted = demotions(texts, size, per_cent)
+    frames.forget_shuffles(spark)
+    first = frames.staged(firsts(texts, size, per_cent, demoted), "firsts")
     counts = first.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     found = frames.staged(only_held(first, bit_table(counts.filter("n > 1").select("token"))), "found")
     frames.dropped(first)
@@ -469,9 +482,12 @@ def similar_groups(
     grouped = in_groups(classes.withColumn("root", F.lit(None).cast("binary")))
     known = frames.staged(through_hubs(texts, found, grouped, size, per_cent, width), "hub-components")
     grouped = in_groups(classes.join(known.withColumnRenamed("node", "cls"), "cls", "left"))
-    cells = frames.staged(with_cells(found, grouped, per_cent).distinct(), "matrix")
+    matrix = frames.staged(with_cells(found, grouped, per_cent).distinct(), "matrix")
+    cells = frames.staged(between_owners(matrix), "cells")
+    frames.dropped(found, matrix)
+    frames.forget_shuffles(spark)
     pairs = frames.staged(in_chunks(candidates(cells, width)), "pairs")
-    frames.dropped(found, cells)
+    frames.dropped(cells)
     frames.forget_shuffles(spark)
 
     owner = F.coalesce("comp", F.xxhash64("cls"))
@@ -507,12 +523,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of `docs` but for near duplicates, with the columns of `docs`.
 
     Of each component one row stays: one with the smallest id, and of several such rows the first
-    by number. Rows without words are no duplicates of anything and all stay. Rows get their
-    number when they are written once, and are decided on without their texts. A bitmap of fixed size tells
+    by number. Rows without words are no duplicates of anything and all stay. Rows have a
+    number (`frames.as_rows`) and are decided on without their texts. A bitmap of fixed size tells
     which rows may have to go: only their texts are shuffled. Missing ids come after all others;
     an empty table gives an empty one; columns may bear any name.
     """
-    rows = frames.staged(frames.numbered(docs.select(F.struct("*").alias("row"))), "dedup-docs")
+    rows = frames.as_rows(docs, "dedup-docs")
     row_id = F.col(f"row.`{id_col}`")
     place = F.struct(row_id.isNull().alias("missing"), row_id.alias("id"), "marker").alias("place")
     found = similar_groups(rows.select(place, F.col(f"row.`{text_col}`").alias("text")), "place", "text", **rule)

@@ -90,9 +90,10 @@ def shard_documents(
 ) -> DataFrame:
     """The rows of `docs` with `shard` and `slot`, by the same rules as `shard_rows`.
 
-    Columns of `docs` with these two names give way. Texts move once, to meet their place.
+    Columns of `docs` with these two names give way. Texts move once, to meet their place; a stored table
+    isn't written again (`frames.as_rows`).
     """
-    rows = frames.staged(frames.numbered(docs.select(F.struct("*").alias("row"))), "shard-docs")
+    rows = frames.as_rows(docs, "shard-docs")
     narrow = rows.select(
         "marker",
         F.col(f"row.`{id_col}`").alias("id"),
