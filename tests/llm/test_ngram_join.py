@@ -196,3 +196,14 @@ def test_frequent_tokens_of_clusters_are_demoted(spark):
     demoted = ngram_join.demotions(docs.select("text"), 3, 90)
     (words,) = shingles.texts_words(pa.array([docs.first().text]))
     assert demoted[shingles.shingle_set(words, 3) >> np.uint64(40)].all()
+
+
+def test_cells_of_one_owner_are_left_out(spark):
+    """Tokens of one component, or of one group of none, make no candidates."""
+    at = [(1, 1, 5), (1, 2, 5), (2, 1, 5), (2, 3, None), (3, 3, None), (3, 3, None), (4, 3, None), (4, 4, None)]
+    rows = [(bytes([k]), 10, group, 1, comp, token, 10) for k, (token, group, comp) in enumerate(at)]
+    cells = spark.createDataFrame(rows, "cls binary, n bigint, group bigint, band bigint, comp bigint, token bigint, reach bigint")
+    left = ngram_join.between_owners(cells)
+    assert left.columns == cells.columns and sorted(r.token for r in left.collect()) == [2, 2, 4, 4]
+    found = [sorted(map(tuple, ngram_join.candidates(some, 0.1).collect())) for some in (cells, left)]
+    assert found[0] == found[1] and len(found[0]) == 2
